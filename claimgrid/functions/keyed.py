@@ -57,19 +57,12 @@ def contains_join(left: DataFrame, text: str, right: DataFrame, needle: str, key
     n = F.lower(F.col(needle))
     r = right.where(F.length(n) > 0).withColumn("_gram", F.substring(n, 1, gram))
     t = F.lower(F.col(text))
-    grams = F.array_distinct(
-        F.flatten(
-            F.array(
-                *[
-                    F.when(
-                        F.length(t) >= g,
-                        F.transform(F.sequence(F.lit(1), F.length(t) - g + 1), lambda i, g=g: F.substr(t, i, F.lit(g))),
-                    ).otherwise(F.array().cast("array<string>"))
-                    for g in range(1, gram + 1)
-                ]
-            )
-        )
-    )
+
+    def pieces(g: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(t) - g + 1)
+        return F.when(F.length(t) >= g, F.transform(starts, lambda i: F.substr(t, i, F.lit(g)))).otherwise(F.array().cast("array<string>"))
+
+    grams = F.array_distinct(F.flatten(F.array(*[pieces(g) for g in range(1, gram + 1)])))
     # only grams that some needle starts with travel on
     starts = r.select(*keys, "_gram").distinct()
     probe = left.withColumn("_row", F.struct(*left.columns)).select("_row", *keys, F.explode(grams).alias("_gram"))

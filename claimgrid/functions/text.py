@@ -11,6 +11,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def each(array: Column, name: str, **fixed: str) -> Column:
+    """Array of structs: the element as ``name`` plus the fixed fields."""
+    return F.transform(array, lambda v: F.struct(v.alias(name), *[F.lit(x).alias(k) for k, x in fixed.items()]))
+
+
 def norm_text(c) -> Column:
     """Trim, fold full-width blanks and runs of white space to one blank; null becomes ''."""
     return F.trim(F.regexp_replace(F.coalesce(col(c).cast("string"), F.lit("")), r"(?U)[\s　]+", " "))

@@ -19,13 +19,7 @@ K = "project_id"
 
 def rule_hits(text: str, rules: list[tuple[str, str, int]]) -> Column:
     """Array of (kind, value) for every match of every rule; the patterns are literals and compile once."""
-    found = [
-        F.transform(
-            F.regexp_extract_all(text, F.lit(p), F.lit(g)),
-            lambda v, kind=kind: F.struct(F.lit(kind).alias("kind"), v.alias("value")),
-        )
-        for kind, p, g in rules
-    ]
+    found = [T.each(F.regexp_extract_all(text, F.lit(p), F.lit(g)), "value", kind=kind) for kind, p, g in rules]
     return F.flatten(F.array(*found))
 
 
@@ -176,9 +170,9 @@ def citations(body: DataFrame, names: dict[str, list[str]] = V.DATABASE_REFERENC
                 F.regexp_extract_all(flat, F.lit(p), F.lit(1)).alias("context"),
                 F.regexp_extract_all(flat, F.lit(p), F.lit(2)).alias("refs"),
             )
-            arrays.append(F.transform(zipped, lambda z, n=name: F.struct(F.lit(n).alias("resource"), z["context"].alias("context"), z["refs"].alias("refs"))))
+            arrays.append(T.each(zipped, "hit", resource=name))
     hits = body.select(K, F.explode(F.flatten(F.array(*arrays))).alias("h"))
-    each = hits.select(K, "h.resource", F.trim("h.context").alias("context"), F.explode(expand_refs("h.refs")).alias("ref"))
+    each = hits.select(K, "h.resource", F.trim("h.hit.context").alias("context"), F.explode(expand_refs("h.hit.refs")).alias("ref"))
     return each.dropDuplicates([K, "resource", "ref", "context"])
 
 

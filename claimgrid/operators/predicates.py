@@ -39,8 +39,7 @@ def text_anomalies(lines: DataFrame, rules=V.TEXT_ANOMALIES, starts=V.TRUNCATED_
         gap = max(reach - len(right), 0)
         guarded = rf"(?<!{right}.{{0,{gap}}})(?:{pattern})(?!.{{0,{gap}}}{right})" if len(right) <= reach else pattern
         hits = F.regexp_extract_all("text", F.lit(guarded), F.lit(0))
-        arrays.append(F.transform(hits, lambda h, r=right, s=severity: F.struct(
-            h.alias("found"), F.lit(r).alias("correct"), F.lit(s).alias("severity"))))
+        arrays.append(T.each(hits, "found", correct=right, severity=severity))
     cut = F.when(F.substring(F.trim("text"), 1, 1).isin(starts), F.array(F.struct(
         F.substring(F.trim("text"), 1, 6).alias("found"), F.lit("?").alias("correct"), F.lit("WARNING").alias("severity")))).otherwise(
         F.array().cast("array<struct<found:string,correct:string,severity:string>>"))
@@ -56,8 +55,7 @@ def forbidden_terms(lines: DataFrame, projects: DataFrame, terms=V.FORBIDDEN_TER
     for ptype, words in terms.items():
         for word, severity in words.items():
             hits = F.regexp_extract_all("text", F.lit(rf"(?iU)\b{word}\b"), F.lit(0))
-            arrays.append(F.when(F.col("project_type") == ptype, F.transform(hits, lambda h, s=severity: F.struct(
-                h.alias("term"), F.lit(s).alias("severity")))))
+            arrays.append(F.when(F.col("project_type") == ptype, T.each(hits, "term", severity=severity)))
     hit = F.flatten(F.array_compact(F.array(*arrays)))
     return typed.select(K, "line", "project_type", F.explode(hit).alias("h")).select(K, "line", "project_type", "h.*")
 
