@@ -152,7 +152,7 @@ def _(s):
 
 @query("J05_dataset_presence", """
 with r as (select distinct project_id, 'GSE' || (10000 + n) as ds from {v_vars} v where pr = '4'),
-d as (select distinct s_suppkey as project_id, 'GSE' || (10000 + cast(s_acctbal as bigint) % 60) as ds from supplier),
+d as (select distinct s_suppkey as project_id, 'GSE' || (10000 + cast(floor(s_acctbal) as bigint) % 60) as ds from supplier),
 c as (select distinct project_id, 'GSE' || (10000 + q) as ds from {v_code_vars} v where kind = 'RO'),
 a as (select project_id, ds, 'r' as s from r union all select *, 'd' from d union all select *, 'c' from c),
 g as (select project_id, ds as dataset, bool_or(s = 'r') as in_report, bool_or(s = 'd') as in_dirs, bool_or(s = 'c') as in_code from a group by 1, 2)
@@ -162,7 +162,7 @@ def _(s):
     def ids(d):
         return X.identifiers(d).where("kind = 'dataset'").select(K, F.col("value").alias("dataset"))
 
-    folders = s.supplier.select(F.col("s_suppkey").alias(K), F.concat(F.lit("GSE"), F.col("s_acctbal").cast("long") % 60 + 10000).alias("dataset"))
+    folders = s.supplier.select(F.col("s_suppkey").alias(K), F.concat(F.lit("GSE"), F.floor("s_acctbal") % 60 + 10000).alias("dataset"))
     return J.dataset_presence(ids(s.v_report_lines), folders, ids(s.v_code_lines))
 
 
@@ -245,7 +245,7 @@ with c as (select o_custkey % 97 as project_id, case o_orderstatus when 'F' then
 f as (select distinct project_id, path as p from {v_files} a union select distinct project_id, module from {v_files} b)
 select project_id, claimed_path, line, 'MAJOR' as severity from c where not exists (select 1 from f where f.project_id = c.project_id and f.p = c.claimed_path)""")
 def _(s):
-    t = F.when(F.col("o_orderstatus") == "F", "结果文件见：01_DEGs/。").when(F.col("o_orderstatus") == "O", F.concat(F.lit("详见 02_Enrichment/volcanol_plot_"), F.col("o_orderkey") % 60, F.lit(".csv，"))).otherwise("详见：09_Other/x.csv 。")
+    t = F.when(F.col("o_orderstatus") == "F", "结果文件：01_DEGs/。").when(F.col("o_orderstatus") == "O", F.concat(F.lit("详见 02_Enrichment/volcanol_plot_"), F.col("o_orderkey") % 60, F.lit(".csv，"))).otherwise("详见：09_Other/x.csv 。")
     t = F.regexp_replace(t, "详见 ", "详见")
     lines = s.orders.select((F.col("o_custkey") % 97).alias(K), F.col("o_orderkey").alias("line"), t.alias("text"))
     return J.missing_paths(J.path_claims(lines), s.v_files)
@@ -339,13 +339,13 @@ def _(s):
 
 
 @query("J16_odds_ratio_contradiction", """
-with s as (select o_custkey as project_id, o_orderkey as sentence_no, o_orderstatus as st, 'zeta ' || substr(o_orderpriority, 1, 1) as v from orders where o_orderstatus in ('F', 'O')),
-r as (select o_custkey as project_id, 'zeta_' || substr(o_orderpriority, 1, 1) as variable, round(cast(min(o_orderkey) % 20 as double) / 10, 1) as odds_ratio from orders group by 1, 2)
+with s as (select o_custkey as project_id, o_orderkey as sentence_no, o_orderstatus as st, 'zeta ' || substr(o_orderpriority, 1, 1) || ' x' as v from orders where o_orderstatus in ('F', 'O')),
+r as (select o_custkey as project_id, 'zeta_' || substr(o_orderpriority, 1, 1) || '_x' as variable, round(cast(min(o_orderkey) % 20 as double) / 10, 1) as odds_ratio from orders group by 1, 2)
 select s.project_id, sentence_no, variable, odds_ratio from s join r on r.project_id = s.project_id and replace(variable, '_', ' ') = s.v where (st = 'F' and odds_ratio < 1) or (st = 'O' and odds_ratio > 1)""")
 def _(s):
     w = F.when(F.col("o_orderstatus") == "F", "为危险因素").when(F.col("o_orderstatus") == "O", "为保护因素").otherwise("无关")
-    sent = s.orders.select(F.col("o_custkey").alias(K), F.col("o_orderkey").alias("sentence_no"), F.concat(F.lit("Zeta "), F.substring("o_orderpriority", 1, 1), w).alias("sentence"))
-    reg = s.orders.groupBy(F.col("o_custkey").alias(K), F.concat(F.lit("zeta_"), F.substring("o_orderpriority", 1, 1)).alias("variable")).agg((F.min("o_orderkey") % 20 / 10).cast("string").alias("odds_ratio"))
+    sent = s.orders.select(F.col("o_custkey").alias(K), F.col("o_orderkey").alias("sentence_no"), F.concat(F.lit("Zeta "), F.substring("o_orderpriority", 1, 1), F.lit(" x"), w).alias("sentence"))
+    reg = s.orders.groupBy(F.col("o_custkey").alias(K), F.concat(F.lit("zeta_"), F.substring("o_orderpriority", 1, 1), F.lit("_x")).alias("variable")).agg((F.min("o_orderkey") % 20 / 10).cast("string").alias("odds_ratio"))
     return J.or_contradiction(sent, reg).select(K, "sentence_no", "variable", "odds_ratio")
 
 
