@@ -19,7 +19,8 @@ def predictor_sets(models: DataFrame) -> DataFrame:
     """Distinct predictor sets of each script with the first model that uses each."""
     return models.groupBy(K, "path", "predictors").agg(
         F.count(F.lit(1)).alias("models"), F.min(F.struct("line", "model")).alias("m")
-    ).select(K, "path", "predictors", "models", F.col("m.line").alias("line"), F.col("m.model").alias("model"), F.size("predictors").alias("size"))
+    ).select(K, "path", "predictors", F.concat_ws(",", "predictors").alias("set_key"), "models", F.col("m.line").alias("line"), F.col("m.model").alias("model"),
+             F.size("predictors").alias("size"))
 
 
 def nested_models(models: DataFrame) -> DataFrame:
@@ -28,20 +29,23 @@ def nested_models(models: DataFrame) -> DataFrame:
     Equal sets are collapsed first. A superset holds every predictor of the subset, so the subset looks
     for candidates under its rarest predictor only.
     """
-    sets = predictor_sets(models)
+    return _nested(predictor_sets(models)).drop("small_key", "large_key").withColumn("severity", F.lit("CRITICAL"))
+
+
+def _nested(sets: DataFrame) -> DataFrame:
     inv = sets.select(K, "path", F.explode("predictors").alias("_p"))
     freq = inv.groupBy(K, "path", "_p").agg(F.count(F.lit(1)).alias("_f"))
     small = sets.select("*", F.explode("predictors").alias("_p")).join(freq, [K, "path", "_p"])
-    small = small.groupBy(K, "path", "predictors").agg(
-        F.min(F.struct("_f", "_p")).alias("_k"), F.first("model").alias("model"), F.first("line").alias("line"), F.first("size").alias("size"))
-    small = small.select(K, "path", F.col("_k._p").alias("_p"), F.struct("predictors", "model", "line", "size").alias("a"))
-    large = sets.select(K, "path", F.explode("predictors").alias("_p"), F.struct("predictors", "model", "line", "size").alias("b"))
+    small = small.groupBy(K, "path", "predictors", "set_key", "model", "line", "size").agg(F.min(F.struct("_f", "_p")).alias("_k"))
+    small = small.select(K, "path", F.col("_k._p").alias("_p"), F.struct("predictors", "set_key", "model", "line", "size").alias("a"))
+    large = sets.select(K, "path", F.explode("predictors").alias("_p"), F.struct("predictors", "set_key", "model", "line", "size").alias("b"))
     pair = small.join(large, [K, "path", "_p"]).where(
         (F.col("b.size") > F.col("a.size")) & (F.size(F.array_except("a.predictors", "b.predictors")) == 0))
     return pair.select(
         K, "path", F.col("a.model").alias("model_small"), F.col("a.line").alias("line_small"), F.col("b.model").alias("model_large"),
         F.col("b.line").alias("line_large"), F.concat_ws(",", F.array_sort(F.array_except("b.predictors", "a.predictors"))).alias("missing"),
-    ).withColumn("severity", F.lit("CRITICAL"))
+        F.col("a.set_key").alias("small_key"), F.col("b.set_key").alias("large_key"),
+    )
 
 
 def differing_models(models: DataFrame) -> DataFrame:
@@ -52,13 +56,9 @@ def differing_models(models: DataFrame) -> DataFrame:
     """
     sets = predictor_sets(models).where("size >= 3")
     n = sets.groupBy(K, "path").agg(F.count(F.lit(1)).alias("_n"))
-    nested = nested_models(models)
-    big = sets.select(K, "path", F.col("line").alias("_line"))
-    a = nested.select(K, "path", F.col("line_small").alias("_line"), F.col("line_large").alias("_other"))
-    b = nested.select(K, "path", F.col("line_large").alias("_line"), F.col("line_small").alias("_other"))
-    inside = a.union(b).join(big, [K, "path", "_line"], "left_semi").join(big.withColumnRenamed("_line", "_other"), [K, "path", "_other"], "left_semi")
-    near = inside.groupBy(K, "path", F.col("_line").alias("line")).agg(F.count(F.lit(1)).alias("_nested"))
-    d = sets.join(n, [K, "path"]).join(near, [K, "path", "line"], "left")
+    pair = F.explode(F.array("small_key", "large_key")).alias("set_key")
+    near = _nested(sets).select(K, "path", pair).groupBy(K, "path", "set_key").agg(F.count(F.lit(1)).alias("_nested"))
+    d = sets.join(n, [K, "path"]).join(near, [K, "path", "set_key"], "left")
     d = d.withColumn("differs_from", F.col("_n") - 1 - F.coalesce("_nested", F.lit(0)))
     return d.where("differs_from > 0").select(K, "path", "model", "line", "size", "differs_from").withColumn("severity", F.lit("WARNING"))
 

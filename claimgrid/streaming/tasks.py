@@ -106,7 +106,7 @@ def attempt_stream(events: DataFrame, limit: int = V.TASK_SECONDS_MAX, late: str
     flat = per_minute.select(F.window_time("window").alias("minute"), "task_id", "attempt", "dispatches", "terminals", "completions", "polls",
                              "start_us", "finish_us", "first_poll_us", "last_poll_us")
     return flat.groupBy("task_id", "attempt").transformWithStateInPandas(
-        statefulProcessor=AttemptProcessor(limit), outputStructType=STATUS_SCHEMA, outputMode="Append", timeMode="EventTime", eventTimeColumnName="minute")
+        statefulProcessor=AttemptProcessor(limit), outputStructType=STATUS_SCHEMA, outputMode="Append", timeMode="EventTime")
 
 
 def run_available(spark: SparkSession, df: DataFrame, name: str, schema: str) -> DataFrame:
