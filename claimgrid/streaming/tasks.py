@@ -47,7 +47,9 @@ class AttemptProcessor(StatefulProcessor):
 
     def _out(self, key, s, status) -> pd.DataFrame:
         seconds = (s[5] - s[4]) / 1e6 if s[4] is not None and s[5] is not None else None
-        return pd.DataFrame({"task_id": [key[0]], "attempt": [key[1]], "status": [status], "seconds": [seconds], "polls": [s[3]]})
+        # plain object columns: the Arrow writer does not take chunked string columns
+        text = {"task_id": pd.Series([str(key[0])], dtype=object), "status": pd.Series([status], dtype=object)}
+        return pd.DataFrame({"task_id": text["task_id"], "attempt": [int(key[1])], "status": text["status"], "seconds": pd.Series([seconds], dtype="float64"), "polls": [int(s[3])]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         s = list(self.state.get()) if self.state.exists() else [0, 0, 0, 0, None, None, None, None]
@@ -66,7 +68,7 @@ class AttemptProcessor(StatefulProcessor):
         if base is not None:
             # the verdict is given when the time limit has passed by the watermark: all events are in then
             self.handle.registerTimer(int(base // 1000) + self.limit * 1000 + 60_000)
-        yield pd.DataFrame({c.split()[0]: [] for c in STATUS_SCHEMA.split(", ")})
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.state.exists():
