@@ -72,11 +72,11 @@ def _(s):
 
 @query("J37_relative_gap", """
 with m as (select l_orderkey, sum(l_quantity) as q from lineitem group by 1)
-select o_orderkey as project_id, round(abs(o_totalprice / 2000 - q) / q, 6) as gap, case when abs(o_totalprice / 2000 - q) / q > 0.2 then 'serious' when abs(o_totalprice / 2000 - q) / q > 0.05 then 'record' else 'ok' end as grade from orders join m on l_orderkey = o_orderkey""")
+select o_orderkey as project_id, abs(o_totalprice / 2000 - q) / q as gap, case when abs(o_totalprice / 2000 - q) / q > 0.2 then 'serious' when abs(o_totalprice / 2000 - q) / q > 0.05 then 'record' else 'ok' end as grade from orders join m on l_orderkey = o_orderkey""")
 def _(s):
     m = s.lineitem.groupBy(F.col("l_orderkey").alias(K)).agg(F.sum("l_quantity").alias("actual")).withColumn("label", F.lit("q"))
     c = s.orders.select(F.col("o_orderkey").alias(K), F.lit("q").alias("label"), (F.col("o_totalprice") / 2000).alias("claimed"))
-    return J.relative_gap(c, m).select(K, F.round("gap", 6).alias("gap"), "grade")
+    return J.relative_gap(c, m).select(K, "gap", "grade")
 
 
 @query("J33_entity_counts", """

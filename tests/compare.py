@@ -45,8 +45,10 @@ def rows_of(columns: list[str], rows) -> list[tuple]:
 
 
 def compare(spark, con, name: str, sf: str, queries, oracles) -> tuple[bool, str]:
+    t = time.time()
     df = queries[name](spark, sf)
     got = rows_of(df.columns, df.collect())
+    took = time.time() - t
     if name not in oracles:
         return True, f"rows only: {len(got)}"
     cur = con.execute(oracles[name])
@@ -55,11 +57,11 @@ def compare(spark, con, name: str, sf: str, queries, oracles) -> tuple[bool, str
     if sorted(df.columns) != sorted(cols):
         return False, f"columns {sorted(df.columns)} vs {sorted(cols)}"
     if got != want:
-        extra = [r for r in got if r not in set(want)][:3] if len(got) < 200_000 else []
-        lost = [r for r in want if r not in set(got)][:3] if len(want) < 200_000 else []
+        in_got, in_want = set(got), set(want)
+        extra, lost = [r for r in got if r not in in_want][:3], [r for r in want if r not in in_got][:3]
         kinds = ([type(x).__name__ for x in got[0]] if got else [], [type(x).__name__ for x in want[0]] if want else [])
         return False, f"{len(got)} vs {len(want)} rows; only here {extra}; only oracle {lost}; types {kinds}"
-    return True, f"{len(got)} rows"
+    return True, f"{len(got)} rows, spark {took:.1f}s"
 
 
 def main() -> int:
