@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from claimgrid.functions import text as T
+from claimgrid.functions.keyed import first_k
 from claimgrid.functions.numbers import hamming
 from claimgrid.operators.extract import K
 from claimgrid.rules import values as V
@@ -68,22 +69,15 @@ def differing_models(models: DataFrame) -> DataFrame:
 BANDS = 8  # eight bands of eight bits: five differing bits leave at least three bands untouched
 
 
-def _band(c: Column, i: int) -> Column:
-    return F.shiftrightunsigned(c, 8 * i).bitwiseAND(F.lit(255))
-
-
-def _band_keys(c: Column, max_dist: int) -> Column:
-    """Every choice of the bands that must agree, as one key. Two fingerprints within the distance share a key."""
+def _band_keys(max_dist: int) -> tuple[Column, Column]:
+    """(choices, key): every choice of the bands that must agree as a literal list of shifts, and the key of one
+    choice ``c`` with its number ``n``. Two fingerprints within the distance share at least one key."""
     must = BANDS - max_dist
-    if must < 1:
-        raise ValueError(f"max_dist must be below {BANDS}")
-    keys = []
-    for n, pick in enumerate(combinations(range(BANDS), must)):
-        value = F.lit(0).cast("long")
-        for i in pick:
-            value = F.shiftleft(value, 8).bitwiseOR(_band(c, i))
-        keys.append(F.struct(F.lit(n).alias("n"), value.alias("v")))
-    return F.array(*keys)
+    if not 1 <= must <= 6:
+        raise ValueError(f"max_dist must be between {BANDS - 6} and {BANDS - 1}")
+    picks = F.array(*[F.array(*[F.lit(8 * i) for i in pick]) for pick in combinations(range(BANDS), must)])
+    key = F.expr("aggregate(c, cast(n as bigint), (acc, i) -> shiftleft(acc, 8) | (shiftrightunsigned(fingerprint, i) & 255))")
+    return picks, key
 
 
 def near_duplicates(fp: DataFrame, max_dist: int = 5) -> DataFrame:
@@ -92,21 +86,16 @@ def near_duplicates(fp: DataFrame, max_dist: int = 5) -> DataFrame:
     ``fp``: project_id, asset, fingerprint. Exact copies are collapsed to one row per fingerprint before
     any pair is formed, so a fingerprint shared by a third of all assets costs one row. Each fingerprint
     is then sent to the key of every choice of three of its eight bands (24 bits each), which finds all
-    pairs within five bits; a pair is kept at its first common key only.
+    pairs within five bits. A pair found under several keys is reported once.
     """
     one = fp.groupBy(K, "fingerprint").agg(F.min("asset").alias("asset"), F.count(F.lit(1)).alias("copies"))
-    keyed = one.select(K, F.struct("fingerprint", "asset", "copies").alias("x"), F.explode(_band_keys(F.col("fingerprint"), max_dist)).alias("k"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    cond = (F.col(f"a.{K}") == F.col(f"b.{K}")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.x.asset") < F.col("b.x.asset"))
-    pairs = a.join(b, cond).where(hamming("a.x.fingerprint", "b.x.fingerprint") <= max_dist)
-    first = F.filter(F.arrays_zip(
-        _band_keys(F.col("a.x.fingerprint"), max_dist).alias("p"), _band_keys(F.col("b.x.fingerprint"), max_dist).alias("q")),
-        lambda z: z["p"]["v"] == z["q"]["v"])
-    pairs = pairs.where(F.get(first, F.lit(0))["p"]["n"] == F.col("a.k.n"))
-    return pairs.select(
-        F.col(f"a.{K}").alias(K), F.col("a.x.asset").alias("asset_a"), F.col("b.x.asset").alias("asset_b"),
-        F.col("a.x.copies").alias("copies_a"), F.col("b.x.copies").alias("copies_b"),
-        hamming("a.x.fingerprint", "b.x.fingerprint").alias("distance")).withColumn("severity", F.lit("WARNING"))
+    picks, key = _band_keys(max_dist)
+    keyed = one.select(K, "fingerprint", "asset", "copies", F.posexplode(picks).alias("n", "c")).select(K, "fingerprint", "asset", "copies", key.alias("_k"))
+    a = keyed.select(K, "_k", F.col("fingerprint").alias("fp_a"), F.col("asset").alias("asset_a"), F.col("copies").alias("copies_a"))
+    b = keyed.select(K, "_k", F.col("fingerprint").alias("fp_b"), F.col("asset").alias("asset_b"), F.col("copies").alias("copies_b"))
+    near = a.join(b, [K, "_k"]).where((F.col("asset_a") < F.col("asset_b")) & (hamming("fp_a", "fp_b") <= max_dist))
+    pairs = near.groupBy(K, "asset_a", "asset_b", "copies_a", "copies_b").agg(F.min(hamming("fp_a", "fp_b")).alias("distance"))
+    return pairs.withColumn("severity", F.lit("WARNING"))
 
 
 def same_fingerprint(fp: DataFrame) -> DataFrame:
@@ -178,12 +167,17 @@ def history_hints(findings: DataFrame, history: DataFrame, k: int = 3) -> DataFr
     words are found through their frequency in the history, and a finding looks under its three rarest.
     The Jaccard score is exact for every candidate.
     """
-    h = history.select(F.col("finding_id").alias("past_id"), "category", F.col("description").alias("past"), F.explode(T.tokens("description")).alias("_w"))
-    freq = h.groupBy("category", "_w").agg(F.count(F.lit(1)).alias("_f"))
-    f = findings.select("finding_id", "category", "description", F.explode(T.tokens("description")).alias("_w")).join(freq, ["category", "_w"])
-    rare = f.groupBy("finding_id", "category", "description").agg(F.slice(F.array_sort(F.collect_set(F.struct("_f", "_w"))), 1, 3).alias("_r"))
-    near = rare.select("finding_id", "category", "description", F.explode("_r._w").alias("_w")).join(h, ["category", "_w"]).drop("_w").distinct()
-    scored = near.withColumn("score", F.round(T.token_jaccard("description", "past"), 6))
-    from claimgrid.functions.keyed import first_k
-
+    h = history.select(F.col("finding_id").alias("past_id"), "category", F.explode(T.tokens("description")).alias("_w"))
+    f = findings.select("finding_id", "category", F.explode(T.tokens("description")).alias("_w"))
+    # only words of current findings are counted and kept, before anything is shuffled by word
+    used = h.join(f.select("category", "_w").distinct(), ["category", "_w"], "left_semi")
+    freq = used.groupBy("category", "_w").agg(F.count(F.lit(1)).alias("_f"))
+    rare = first_k(f.join(freq, ["category", "_w"]), ["finding_id"], [F.asc("_f"), F.asc("_w")], 3)
+    near = rare.select("finding_id", "category", "_w").join(used, ["category", "_w"]).select("finding_id", "past_id").distinct()
+    # the texts are joined to the candidate ids last, so that they do not travel with every word
+    past = history.select(F.col("finding_id").alias("past_id"), T.tokens("description").alias("_p"))
+    now = findings.select("finding_id", T.tokens("description").alias("_n"))
+    both = near.join(now, "finding_id").join(past, "past_id")
+    union = F.size("_n") + F.size("_p") - F.size(F.array_intersect("_n", "_p"))
+    scored = both.withColumn("score", F.round(F.size(F.array_intersect("_n", "_p")) / union, 6))
     return first_k(scored.select("finding_id", "past_id", "score"), ["finding_id"], [F.desc("score"), F.asc("past_id")], k)
