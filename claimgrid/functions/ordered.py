@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from claimgrid.session import cut
+
 SPAN = 1_000_000
 
 
@@ -104,6 +106,8 @@ def bracket(points: DataFrame, probes: DataFrame, keys: list[str], value: str, s
         .groupBy(*keys, "_x")
         .agg(F.max("_pt").alias("_pt"), F.max("_pr").alias("_pr"))
     )
+    # read four times below: written once, so that the extraction behind the points runs once
+    both = cut(both)
     both = last_known(both, keys, "_x", F.col("_pt"), "below", span)
     both = next_known(both, keys, "_x", F.col("_pt"), "above", span)
     return both.where("_pr is not null").select(*keys, F.col("_x").alias(value), "below", "above")

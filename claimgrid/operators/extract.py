@@ -318,7 +318,8 @@ def models(code: DataFrame) -> DataFrame:
     clean = F.transform(F.split(rhs, r"\+"), lambda p: F.trim(F.regexp_replace(p, r"[()]", "")))
     preds = F.array_sort(F.array_distinct(F.filter(clean, lambda p: p.rlike(r"^[A-Za-z_][\w.]*$"))))
     return (
-        code.where(~F.trim("text").startswith("#") & F.col("text").rlike(V.MODEL))
+        # the tilde test is cheap and keeps the pattern away from all other lines
+        code.where(F.col("text").contains("~") & ~F.trim("text").startswith("#") & F.col("text").rlike(V.MODEL))
         .select(
             K, "path", "line", F.regexp_extract("text", V.MODEL, 1).alias("model"),
             F.lower(F.regexp_extract("text", V.MODEL, 2)).alias("function"),

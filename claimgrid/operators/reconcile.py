@@ -15,12 +15,6 @@ from claimgrid.rules import values as V
 # --- counts ---------------------------------------------------------------------------------------
 
 
-def _probe(claims: DataFrame, measured: DataFrame, value: str, prefix: str) -> DataFrame:
-    """Nearest claims around each measured value; the claims of a label are never gathered."""
-    b = bracket(claims.select(K, "label", F.col("claimed").alias(value)), measured, [K, "label"], value)
-    return b.select(K, "label", value, F.col("below").alias(f"{prefix}_below"), F.col("above").alias(f"{prefix}_above"))
-
-
 def _distance(value: str, below: str, above: str) -> Column:
     return F.least(F.col(value) - F.col(below), F.col(above) - F.col(value))
 
@@ -32,8 +26,12 @@ def crossref(claims: DataFrame, counts: DataFrame) -> DataFrame:
     Outcomes, first that holds: ok (a claim within 1 of the total), ok_significant (within 1 of the
     significant rows), subset (every claim is smaller), close (within max(5, 10 %)), mismatch.
     """
-    near = _probe(claims, counts, "total", "t")
-    near_sig = _probe(claims, counts, "significant", "s")
+    # nearest claims around each measured value, totals and significant rows in one pass; the claims of a
+    # label are never gathered
+    probes = counts.select(K, "label", F.explode(F.array(F.col("total").cast("long"), F.col("significant").cast("long"))).alias("_v"))
+    b = bracket(claims.select(K, "label", F.col("claimed").cast("long").alias("_v")), probes, [K, "label"], "_v")
+    near = b.select(K, "label", F.col("_v").alias("total"), F.col("below").alias("t_below"), F.col("above").alias("t_above"))
+    near_sig = b.select(K, "label", F.col("_v").alias("significant"), F.col("below").alias("s_below"), F.col("above").alias("s_above"))
     d = counts.join(near, [K, "label", "total"]).where("t_below is not null or t_above is not null")
     d = d.join(near_sig, [K, "label", "significant"], "left")
     gap = _distance("total", "t_below", "t_above")
