@@ -384,7 +384,7 @@ def _(s):
 
 VIEWS["v_tables_text"] = """
 select o_custkey as project_id, o_orderkey * 4 + i as line, case i when 0 then concat('note ', o_orderkey) when 1 then '| ID | Severity | Count |' when 2 then '|---|:--:|---|' else concat('| F-', o_orderkey, ' | ', o_orderpriority, ' | ', o_custkey, ' |') end as text
-from {orders} cross join (select 0 as i union all select 1 union all select 2 union all select 3) as x"""
+from (select *, 0 as i from {orders} as o0 union all select *, 1 as i from {orders} as o1 union all select *, 2 as i from {orders} as o2 union all select *, 3 as i from {orders} as o3) as x"""
 
 
 @query("X23_pipe_tables", "select o_custkey as project_id, 'F-' || o_orderkey as id, o_orderpriority as severity, cast(o_custkey as varchar) as n from orders")
@@ -436,7 +436,7 @@ select o_custkey as project_id, o_orderkey * 4 + i as line, o_orderkey as ok, o_
   when 0 then concat('### P01-', o_orderkey, ' [', case o_orderstatus when 'F' then 'FATAL' when 'O' then 'MAJOR' else 'WARNING' end, '] title ', o_orderpriority)
   when 1 then case when o_orderstatus = 'P' then 'plain text' else concat('#### 具体错误 1：wrong ', o_orderkey) end
   when 2 then concat('- **证据**：', case when o_orderstatus = 'F' then '' else 'value ' end, case when o_orderstatus = 'F' then '' else cast(o_custkey as varchar(20)) end) else '- **原报告位置**：report.docx > 图 3' end as text
-from {orders} cross join (select 0 as i union all select 1 union all select 2 union all select 3) as x"""
+from (select *, 0 as i from {orders} as o0 union all select *, 1 as i from {orders} as o1 union all select *, 2 as i from {orders} as o2 union all select *, 3 as i from {orders} as o3) as x"""
 
 
 @query("X27_issue_blocks", """
