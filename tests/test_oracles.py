@@ -7,7 +7,7 @@ from __spark_entry__ import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
 Q, O = queries(), oracle_sql()
-SLOW = {"G01_clusters", "G01_cluster_invariants", "R02_attempt_stream"}  # covered by their own tests
+SLOW = {"G01_clusters", "G01_cluster_invariants"}  # the clusters have their own tests
 
 
 @pytest.fixture(scope="module")
