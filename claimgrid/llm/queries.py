@@ -1,4 +1,4 @@
 """All queries of the subpackage, with the SQL that checks them where SQL can express them."""
 
-from claimgrid.llm import substring  # noqa: F401
+from claimgrid.llm import language, ngram_join, substring, suffix  # noqa: F401
 from claimgrid.llm.tables import ORACLES, QUERIES  # noqa: F401

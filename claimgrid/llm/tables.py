@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 import claimgrid.llm
@@ -14,6 +14,7 @@ from claimgrid.session import shared_path, tune
 
 LAST_ID = (1 << 63) - 1
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
+DEAL = "_deal"
 BATCH_ROWS, BATCH_BYTES = 4000, 32 << 20
 
 
@@ -45,6 +46,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def grouped(df: DataFrame, *keys: str) -> GroupedData:
+    """Like groupBy, but grouped by a hash of the keys besides. A later join on the keys then deals both of its sides
+    out anew, and adaptive execution can split a hot key of the other side, which it can't beneath an aggregate."""
+    return df.groupBy(*keys, F.xxhash64(*keys).alias(DEAL))
+
+
 def crc_part(parts: int, column: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo ``parts`` (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts
