@@ -70,12 +70,13 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data | 32, data)
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and for each document the index of its first word."""
+def words(data: np.ndarray, off: np.ndarray, solid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` (or of runs of ``solid`` bytes), and for each document the
+    index of its first word."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(off), np.int64)
-    solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    solid = ~((data == 32) | ((data >= 9) & (data <= 13))) if solid is None else solid
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     last = solid.copy()

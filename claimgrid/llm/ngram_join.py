@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from claimgrid.llm import flat
 from claimgrid.llm.components import components
 from claimgrid.llm.substring import SECOND
-from claimgrid.llm.tables import DEAL, grouped, keyed, plain_id, query, table, written
+from claimgrid.llm.tables import DEAL, LAST_ID, grouped, keyed, plain_id, query, table, written
 
 BLOCK = 400
 
@@ -199,6 +199,12 @@ def links(docs: DataFrame, found: DataFrame, k: int = 3, percent: int = 90) -> D
     return small.unionByName(stars).unionByName(blocks)
 
 
+def resolved(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The surveyed documents, and (node, label) for the sets that are linked with others."""
+    seen = written(survey(docs, k, percent), "join-survey")
+    return seen, components(links(docs, clusters(seen, percent), k, percent))
+
+
 def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """Components of documents whose sets of distinct ``k``-word shingles have a Jaccard similarity of ``percent``.
 
@@ -207,15 +213,24 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     shingle; a null text or one without words is empty and linked with nothing. A null doc_id is reached last: the
     component of such documents alone has none. Repeated rows have equal sets and so one component.
     """
-    seen = written(survey(docs, k, percent), "join-survey")
-    found = clusters(seen, percent)
-    labels = components(links(docs, found, k, percent))
+    seen, labels = resolved(docs, k, percent)
     placed = seen.select("doc_id", "n", "node").join(labels, "node", "left").withColumn("part", F.coalesce("label", "node"))
     lowest = grouped(placed.filter("part is not null"), "part").agg(F.min("doc_id").alias("low")).drop(DEAL)
     component = F.coalesce("low", "doc_id")
     return placed.join(lowest, "part", "left").select(plain_id(), F.col("n").alias("n_shingles"), F.when(component != (1 << 63) - 1, component).alias("component_id"))
 
 
+def representatives(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
+    """One document of each component, the one with the smallest doc_id, with all columns of docs. Documents without
+    words stay, each once for its doc_id and text."""
+    seen, labels = resolved(docs, k, percent)
+    placed = seen.select("doc_id", "key", "node").join(labels, "node", "left").withColumn("part", F.coalesce("label", "node"))
+    heads = placed.filter("part is not null").groupBy("part").agg(F.min(F.struct("doc_id", "key")).alias("head")).select("head.doc_id", "head.key")
+    stay = heads.unionByName(placed.filter("part is null").select("doc_id", "key").distinct()).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    left = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)), "_key": F.xxhash64("text")})
+    return left.join(stay.hint("shuffle_hash"), ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).drop("_id", "_key")
+
+
 @query("op6_ngram_jaccard_join", r"""
 with d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
 s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' ')) end) as sh from d),

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimgrid.llm import flat
-from claimgrid.llm.tables import DEAL, grouped, keyed, plain_id, query, table, written
+from claimgrid.llm.tables import DEAL, LAST_ID, grouped, keyed, plain_id, query, table, written
 
 CROWD = 256
 SUFFIXES = 400_000
@@ -252,7 +252,7 @@ def _sorted(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, off in flat.slices(batch):
-            sums, gone, runs = [], [], []
+            sums, gone, runs, kept = [], [], [], []
             for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
                 edge = np.zeros(b - a + 1, np.int64)
                 for found in rows.column("found")[i]:
@@ -261,8 +261,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 drop = np.cumsum(edge[:-1]) > 0
                 gone.append(int(drop.sum()))
                 runs.append(int(np.count_nonzero(drop[1:] & ~drop[:-1]) + (drop[:1].sum())))
-                sums.append(hashlib.sha256(data[a:b][~drop].tobytes()).hexdigest())
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sums)], ["doc_id", "key", "n_removed", "n_spans", "cut_sha"])
+                kept.append(data[a:b][~drop].tobytes())
+                sums.append(hashlib.sha256(kept[-1]).hexdigest())
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sums), pa.array(kept, pa.binary())],
+                                             ["doc_id", "key", "n_removed", "n_spans", "cut_sha", "kept"])
 
 
 def repeated_spans(contexts: DataFrame, length: int, widths: tuple[int, ...]) -> DataFrame:
@@ -297,6 +299,29 @@ def scan(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame, Data
     return seen, texts.select("doc_id", "key", "text"), repeated_spans(contexts, length, widths)
 
 
+CUT = "doc_id long, key long, n_removed long, n_spans long, cut_sha string, kept binary"
+
+
+def _cut_rows(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    lists = spans.groupBy("doc_id", "key").agg(F.collect_set(F.struct("low", "high")).alias("found"))
+    return texts.join(lists.hint("shuffle_hash"), ["doc_id", "key"]).mapInArrow(_cut, CUT)
+
+
+def deduped(docs: DataFrame, length: int = 400) -> DataFrame:
+    """All columns of docs, with ``text`` replaced by what remains. Bytes of a character that lost its other bytes go
+    too. Copies of a whole text of at least ``length`` bytes keep nothing."""
+    seen, texts, spans = scan(docs, length)
+    cut = _cut_rows(texts, spans).select("doc_id", "key", "kept").unionByName(
+        seen.filter((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("doc_id", "key", F.lit(b"").alias("kept")))
+    best = cut.groupBy("doc_id", "key").agg(F.min("kept").alias("kept"))
+    names = docs.columns
+    left = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)), "_key": F.xxhash64("text")})
+    joined = left.join(best.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("kept").alias("_kept")).hint("shuffle_hash"), ["_id", "_key"], "left")
+    whole = F.decode(F.try_validate_utf8(F.col("_kept").cast("string")).cast("binary"), "UTF-8")
+    mended = F.regexp_replace(F.make_valid_utf8(F.col("_kept").cast("string")), "\ufffd", "")
+    return joined.withColumn("text", F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.coalesce(whole, mended))).select(*[F.col(f"`{c}`") for c in names])
+
+
 def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     """Remove every byte covered by a string of ``length`` bytes that also starts anywhere else, same document included.
 
@@ -305,8 +330,7 @@ def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     ``length`` lose nothing. Positions in a text are 32-bit, as a text is below 2 GB.
     """
     seen, texts, spans = scan(docs, length)
-    lists = spans.groupBy("doc_id", "key").agg(F.collect_set(F.struct("low", "high")).alias("found"))
-    cut = texts.join(lists.hint("shuffle_hash"), ["doc_id", "key"]).mapInArrow(_cut, "doc_id long, key long, n_removed long, n_spans long, cut_sha string").dropDuplicates(["doc_id", "key"])
+    cut = _cut_rows(texts, spans).drop("kept").dropDuplicates(["doc_id", "key"])
     copy = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     return (seen.select("doc_id", "key", "n_bytes", "sha", "copies").join(cut, ["doc_id", "key"], "left")
             .select(plain_id(), "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
