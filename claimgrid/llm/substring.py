@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimgrid.llm import flat
-from claimgrid.llm.tables import keyed, plain_id, query, table, written
+from claimgrid.llm.tables import DEAL, grouped, keyed, plain_id, query, table, written
 
 SECOND = np.uint64(0xA0761D6478BD642F)
 
@@ -113,11 +113,11 @@ def survey(docs: DataFrame, length: int) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, candidates: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """Texts of the candidate documents, and all their windows of ``length`` that also start in a smaller document."""
-    owners = candidates.groupBy("speaker").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("speaker")
+    owners = grouped(candidates, "speaker").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("speaker")
     lists = candidates.join(owners, "speaker").groupBy("doc_id", "key").agg(F.collect_set("speaker").alias("speakers"))
     texts = written(keyed(docs).join(lists.hint("shuffle_hash"), ["doc_id", "key"]), "substring-texts")
     windows = texts.mapInArrow(_extended(length), "doc_id long, key long, at int, h1 long, h2 long")
-    lowest = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h1", "h2", "lo")
+    lowest = grouped(windows, "h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h1", "h2", "lo")
     return texts, windows.join(lowest, ["h1", "h2"]).filter("doc_id > lo").select("doc_id", "key", "at", "h1", "h2")
 
 
@@ -130,7 +130,7 @@ def dedup(docs: DataFrame, length: int = 50) -> DataFrame:
     Memory: one slice of a few MB and the longest document; no group is ever gathered.
     """
     seen = written(survey(docs, length), "substring-survey")
-    classes = seen.groupBy("h1", "h2", "n_words").agg(F.min("doc_id").alias("head"))
+    classes = grouped(seen, "h1", "h2", "n_words").agg(F.min("doc_id").alias("head")).drop(DEAL)
     seen_in = seen.join(classes, ["h1", "h2", "n_words"])
     candidates = seen_in.filter("doc_id = head").select("doc_id", "key", F.explode("speakers").alias("speaker"))
     texts, found = repeated_windows(docs, candidates, length)
