@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from claimgrid.llm import flat
 from claimgrid.llm.tables import crc_part, query, table, written
 
-FEATURES, WIDTH, RIDGE, SEED, BINS = 192, 3.0, 1.0, 7, 256
+FEATURES, WIDTH, RIDGE, SEED, BINS = 192, 6.0, 0.1, 7, 256
 THRESHOLD = 0.7
 NAMES = ["log_words", "word_bytes", "upper", "symbols", "marks", "stops", "digits", "wide_bytes", "distinct", "twice_in_a_row", "most_frequent", "line_words", "repeated_lines", "bare_words", "loud_words", "long_words"]
 
