@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimgrid.llm.tables import DEAL, WORD_GAP, grouped, query, table, written
+from claimgrid.llm.tables import DEAL, WORD_GAP, grouped, named, query, table, written
 
 LEVELS = ["domain", "lang", "source"]
 PER_BUCKET, MOST_DIGITS = 512, 4
@@ -67,10 +67,10 @@ def mix(docs: DataFrame, domain: Column, weights: list[Column], share_of: tuple[
     A null lang or source is a leaf of its own. A null or empty text has no tokens and is never taken. Repeated rows
     are taken or left together where they fall on the same side of the budget's end; ties in the order keep all of
     the equal rows on one side, so a leaf never exceeds its budget. A weight below 1 takes the node out."""
-    named = docs.select(
+    measured = docs.select(
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("key"), domain.alias("domain"),
         F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), n_tokens().alias("tokens"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("digest"))
-    seen = written(named.filter("tokens > 0"), "mix-tokens")
+    seen = written(measured.filter("tokens > 0"), "mix-tokens")
     leaves = grouped(seen, *LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).drop(DEAL)
     leaves = written(leaves, "mix-leaves")
     total = leaves.agg(F.floor(F.sum("tokens") * share_of[0] / share_of[1]).cast("bigint").alias("budget")).first().budget or 0
@@ -89,9 +89,9 @@ def mix(docs: DataFrame, domain: Column, weights: list[Column], share_of: tuple[
     edge = marked.filter("not inside").withColumn("sum", F.sum("tokens").over(Window.partitionBy("leaf", "bucket").orderBy("turn"))).filter("sum <= open")
     more = marked.filter("inside").select("id", "key").unionByName(edge.select("id", "key")).distinct().withColumn("one", F.lit(1))
     taken = place.select("id", "key", "whole").distinct().join(more, ["id", "key"], "left").select("id", "key", (F.col("whole") + F.coalesce("one", F.lit(0))).alias("mix_copies")).filter("mix_copies > 0")
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_key": F.xxhash64("text")})
-    back = taken.select(F.col("id").alias("_id"), F.col("key").alias("_key"), "mix_copies")
-    return keyed.join(back, ["_id", "_key"]).drop("_id", "_key")
+    back = taken.select(F.col("id").alias("_name"), F.col("key").alias("_key"), "mix_copies")
+    rows = named(docs).withColumn("_name", F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")))
+    return rows.join(back, ["_name", "_key"]).select("row.*", "mix_copies")
 
 
 def domain_of() -> Column:
