@@ -22,6 +22,9 @@ def ready(spark: SparkSession) -> SparkSession:
     """Adaptive joins that split skewed keys, Arrow batches bounded in rows and bytes, and worker functions that travel
     with their code, so that executors need no copy of the package."""
     tune(spark)
+    # a short list of documents filters the texts by a Bloom filter of bounded size before these are shuffled to it
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "16MB")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1GB")
     cloudpickle.register_pickle_by_value(claimgrid.llm)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -34,6 +37,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """_id and _key, which name a document as ``keyed`` does, and ``row`` with all columns, whatever their names."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("_id"), F.xxhash64("text").alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def plain_id() -> Column:
     """doc_id with the stand-in for null taken back."""
     return F.when(F.col("doc_id") == LAST_ID, None).otherwise(F.col("doc_id")).alias("doc_id")
