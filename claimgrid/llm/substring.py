@@ -115,6 +115,7 @@ def repeated_windows(docs: DataFrame, candidates: DataFrame, length: int) -> tup
     """Texts of the candidate documents, and all their windows of ``length`` that also start in a smaller document."""
     owners = grouped(candidates, "speaker").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("speaker")
     lists = candidates.join(owners, "speaker").groupBy("doc_id", "key").agg(F.collect_set("speaker").alias("speakers"))
+    lists = written(lists, "substring-lists").filter("size(speakers) > 0")
     texts = written(keyed(docs).join(lists.hint("shuffle_hash"), ["doc_id", "key"]), "substring-texts")
     windows = texts.mapInArrow(_extended(length), "doc_id long, key long, at int, h1 long, h2 long")
     lowest = grouped(windows, "h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h1", "h2", "lo")
