@@ -100,15 +100,17 @@ def domain_of() -> Column:
     return F.when(number == "", "unsorted").when(F.substring(number, -1, 1).isin("0", "2", "4", "6", "8"), "web").otherwise("reference")
 
 
-WEIGHTS = [
-    F.when(F.col("domain") == "web", 60).when(F.col("domain") == "reference", 35).otherwise(5),
-    F.when(F.col("lang") == "en", 40).when(F.col("lang").isNull(), 5).otherwise(20),
-    F.lit(1),
-]
+def target_weights() -> list[Column]:
+    """Weights of the domains, of the languages of a domain, and of the sources of a language."""
+    return [
+        F.when(F.col("domain") == "web", 60).when(F.col("domain") == "reference", 35).otherwise(5),
+        F.when(F.col("lang") == "en", 40).when(F.col("lang").isNull(), 5).otherwise(20),
+        F.lit(1),
+    ]
 
 
 def production(docs: DataFrame) -> DataFrame:
-    return mix(docs, domain_of(), WEIGHTS)
+    return mix(docs, domain_of(), target_weights())
 
 
 @query("op2_source_mixing", r"""
