@@ -193,13 +193,13 @@ def train(texts: DataFrame) -> tuple[DataFrame, dict]:
     """Counts of all words, and the bounded model for the executors. ``texts``: doc_id, key, text."""
     context = texts.sparkSession.sparkContext
     counts = written(texts.mapInArrow(_tally(lambda hashes, first: hashes), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "lm-words")
-    sums = counts.agg(F.sum("n").alias("tokens"), F.count("*").alias("types")).first()
-    total, types = int(sums.tokens or 0), int(sums.types)
+    end = int(np.array([END]).view(np.int64)[0])
+    sums = counts.agg(F.sum("n").alias("tokens"), F.count("*").alias("types"), F.sum(F.when(F.col("gram") == end, F.col("n"))).alias("ends")).first()
+    total, types, documents = int(sums.tokens or 0), int(sums.types), int(sums.ends or 0)
     known, n = _collected(bounded(counts, MAX_KNOWN))
     order = np.argsort(known.view(np.uint64))
     known, n = known.view(np.uint64)[order], n[order]
     log = np.log10((n + 0.5) / (total + 0.5 * (types + 1)))
-    documents = int(n[known == END].sum())
     top = np.sort(np.argsort(-n, kind="stable")[: MAX_VOCABULARY - 2])
     words, word_n = np.append(known[top], START), np.append(n[top], documents)
     order = np.argsort(words)
