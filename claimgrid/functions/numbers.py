@@ -41,8 +41,8 @@ def level_score(c) -> Column:
         F.when((F.length(low) == 0) | (low == "na"), F.lit(None).cast("double"))
         .when(low.isin("no", "否"), 0.0)
         .when(low.isin("yes", "是"), 1.0)
-        .when(low.startswith(">="), number(F.substring(low, 3, 1000)))
-        .when(low.startswith(">"), number(F.substring(low, 2, 1000)))
+        .when(low.startswith(">="), number(F.regexp_replace(low, "^>=", "")))
+        .when(low.startswith(">"), number(F.regexp_replace(low, "^>", "")))
         .otherwise(number(low))
     )
 

@@ -204,8 +204,8 @@ def species_of_name(c) -> Column:
 
 
 def species_of_symbols(symbols) -> Column:
-    """'human' when over 80 % of the first eight set members are upper-case letters."""
-    head = F.slice(col(symbols), 1, 8)
+    """'human' when over 80 % of the set members are upper-case letters."""
+    head = col(symbols)
     share = F.size(F.filter(head, lambda g: g.rlike(r"^[A-Z]+$"))) / F.greatest(F.size(head), F.lit(1))
     return F.when(share > 0.8, "human").otherwise("unknown")
 

@@ -69,7 +69,7 @@ def max_severity(findings: DataFrame, keys: list[str]) -> DataFrame:
 def count_reconcile(issues: DataFrame, dashboard: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     """Severity counts shown on a dashboard against the parsed entries (each id once), and a reject verdict
     with no counted entry. ``dashboard``: project_id, severity, shown."""
-    one = issues.where(F.col("severity").isin(V.SEVERITIES)).dropDuplicates([K, "issue_id"])
+    one = keep_first(issues.where(F.col("severity").isin(V.SEVERITIES)), [K, "issue_id"], ["severity"])
     parsed = one.groupBy(K, "severity").agg(N(F.lit(1)).alias("parsed"))
     d = parsed.join(dashboard, [K, "severity"], "full_outer")
     zero = F.lit(0).cast("long")
@@ -495,7 +495,7 @@ def coverage_matrix(objects: DataFrame) -> DataFrame:
 
 def attribute(values: DataFrame) -> DataFrame:
     """Which side is wrong when report, result and code do not agree. ``values``: project_id, item, source, value."""
-    g = values.groupBy(K, "item").pivot("source", ["report", "result", "code"]).agg(F.first("value", True))
+    g = values.groupBy(K, "item").pivot("source", ["report", "result", "code"]).agg(F.min("value"))
     r, s, c = F.col("report"), F.col("result"), F.col("code")
     known = r.isNotNull() & s.isNotNull() & c.isNotNull()
     side = F.when(~known, "incomplete").when((r == s) & (s == c), "consistent").when(s == c, "report").when(r == c, "result").when(r == s, "code").otherwise("all_differ")

@@ -77,7 +77,7 @@ def broken_links(links: DataFrame, headings: DataFrame, files: DataFrame) -> Dat
     """Anchors without a heading of that slug, local targets without a file."""
     slugs = headings.select(K, T.heading_slug("title").alias("slug")).distinct()
     local = links.where(~F.col("target").rlike(r"^(?i)(https?:|mailto:)"))
-    anchors = local.where(F.col("target").startswith("#")).withColumn("slug", T.heading_slug(F.substring("target", 2, 1_000)))
+    anchors = local.where(F.col("target").startswith("#")).withColumn("slug", T.heading_slug(F.expr("substr(target, 2)")))
     a = anchors.join(slugs, [K, "slug"], "left_anti").select(K, "line", "target", F.lit("anchor").alias("problem"))
     paths = local.where(~F.col("target").startswith("#")).withColumn("path", F.regexp_replace("target", r":\d+$", ""))
     p = paths.join(files.select(K, "path").distinct(), [K, "path"], "left_anti").select(K, "line", "target", F.lit("path").alias("problem"))
@@ -203,7 +203,7 @@ def report_binding(report: DataFrame, crosswalk: DataFrame, canonical: DataFrame
 
 def report_counts_match(report: DataFrame, decision: DataFrame) -> DataFrame:
     """Severity counts of the report rows against those of the decision."""
-    r = report.dropDuplicates([K, "report_id"]).groupBy(K, F.upper("severity").alias("severity")).agg(F.count(F.lit(1)).alias("in_report"))
+    r = keep_first(report, [K, "report_id"], ["severity"]).groupBy(K, F.upper("severity").alias("severity")).agg(F.count(F.lit(1)).alias("in_report"))
     d = r.join(decision.select(K, "severity", "in_decision"), [K, "severity"], "full_outer")
     zero = F.lit(0).cast("long")
     return d.select(K, "severity", F.coalesce("in_report", zero).alias("in_report"), F.coalesce("in_decision", zero).alias("in_decision")).where("in_report <> in_decision")

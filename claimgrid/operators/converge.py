@@ -104,7 +104,7 @@ def prepare(findings: DataFrame, routes: list[str]) -> DataFrame:
     sem = [T.norm_lower(f) for f in V.SEMANTIC_FIELDS]
     full = reduce(lambda a, b: a & b, [F.length(s) > 0 for s in sem])
     return d.select(
-        K, "agent", "pos", (F.element_at(order, F.col("agent")).cast("long") * SPAN + F.col("pos")).alias("ord"), "severity", "description", *V.EVIDENCE_FIELDS, "finding_key",
+        K, "agent", "pos", (F.coalesce(F.element_at(order, F.col("agent")).cast("long"), F.raise_error(F.concat(F.lit("unknown route "), F.coalesce("agent", F.lit("null")))).cast("long")) * SPAN + F.col("pos")).alias("ord"), "severity", "description", *V.EVIDENCE_FIELDS, "finding_key",
         raw_finding_id().alias("raw_finding_id"), cluster_key().alias("cluster_key"), T.norm_lower("location").alias("_loc"),
         T.norm_text("dimension").alias("_dim"), T.norm_text("rule").alias("_rule"), T.tokens("description").alias("_tok"),
         F.when(cat.isin(V.PROTECTED_CATEGORIES), cat).otherwise("").alias("_cat"), F.array(*sem).alias("_sem"), full.alias("_full"),
@@ -177,9 +177,14 @@ def link_pairs(items: DataFrame, threshold: float = 0.4) -> DataFrame:
     left = items.select(K, F.col("_cat").alias("_c"), x.alias("a"), keys("left").alias("_k"))
     right = items.select(K, F.col("_cat").alias("_c"), x.alias("b"), keys("right").alias("_k"))
     near = left.join(right, [K, "_c", "_k"]).where("a.agent <> b.agent and a.ord < b.ord").select(K, "a", "b")
-    # locations without section numbers, one inside the other
-    plain = items.where((F.col("_loc") != "") & F.col("_best").isNull()).select(K, F.col("_loc"), x.alias("x"))
-    inside = contains_join(plain.select(K, "_loc", F.col("x").alias("p")), "_loc", plain.select(K, F.col("_loc").alias("_in"), F.col("x").alias("q")), "_in", [K])
+    # one location inside the other, where one of them at least has no section number
+    located = items.where(F.col("_loc") != "").select(K, "_loc", F.col("_best").isNull().alias("_bare"), x.alias("x"))
+    bare = located.where("_bare")
+
+    def within(outer: DataFrame, inner: DataFrame) -> DataFrame:
+        return contains_join(outer.select(K, "_loc", F.col("x").alias("p")), "_loc", inner.select(K, F.col("_loc").alias("_in"), F.col("x").alias("q")), "_in", [K]).select(K, "p", "q")
+
+    inside = within(located, bare).unionByName(within(bare, located.where("not _bare")))
     inside = inside.select(K, F.when(F.col("p.ord") < F.col("q.ord"), F.col("p")).otherwise(F.col("q")).alias("a"),
                            F.when(F.col("p.ord") < F.col("q.ord"), F.col("q")).otherwise(F.col("p")).alias("b")).where("a.agent <> b.agent")
     ok = near.unionByName(inside).where(linked("a", "b", threshold))

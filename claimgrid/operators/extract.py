@@ -234,7 +234,7 @@ def table_value(row: str, *aliases: str) -> Column:
 
 def bullets(lines: DataFrame) -> DataFrame:
     t = F.trim("text")
-    item = F.when(t.startswith("- "), F.trim(F.substring(t, 3, 1_000_000))).when(
+    item = F.when(t.startswith("- "), F.trim(F.regexp_replace(t, "^- ", ""))).when(
         t.rlike(r"^\d+\.\s+"), F.regexp_replace(t, r"^\d+\.\s+", "")
     )
     return lines.select(K, "line", item.alias("item")).where("item is not null")

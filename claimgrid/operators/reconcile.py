@@ -207,7 +207,7 @@ def missing_paths(claimed: DataFrame, files: DataFrame) -> DataFrame:
     """Claimed paths that are neither a delivered file nor a folder above one (top folder optional)."""
     parts = T.path_parts("path")
     ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat_ws("/", F.slice(parts, F.lit(1), n)))
-    inner = F.slice(parts, 2, 1_000)
+    inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1)))
     below = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(inner)), lambda n: F.concat_ws("/", F.slice(inner, F.lit(1), n))))
     have = files.select(K, F.explode(F.concat(ups, F.coalesce(below, F.array().cast("array<string>")))).alias("claimed_path")).distinct()
     return claimed.join(have, [K, "claimed_path"], "left_anti").withColumn("severity", F.lit("MAJOR"))
@@ -303,14 +303,21 @@ def raw_p_downstream(results: DataFrame, downstream: DataFrame) -> DataFrame:
 def unknown_symbols(symbols: DataFrame, table_symbols: DataFrame, distance: int = 2) -> DataFrame:
     """Symbols of the text that no result table holds, with the nearest table symbol within two edits.
 
-    Candidates share the project, the first letter and a length within the distance.
+    Two words within ``distance`` edits have a common rest after at most ``distance`` letters are left out of each,
+    so candidates share the project and such a rest.
     """
     have = table_symbols.select(K, "symbol").distinct()
     lost = symbols.select(K, "symbol").distinct().join(have, [K, "symbol"], "left_anti")
-    size = F.length("symbol")
-    left = lost.withColumn("_f", F.substring("symbol", 1, 1)).withColumn("_len", F.explode(F.sequence(size - distance, size + distance)))
-    right = have.select(K, F.col("symbol").alias("_s"), F.substring("symbol", 1, 1).alias("_f"), size.alias("_len"))
-    near = left.join(right, [K, "_f", "_len"]).withColumn("_d", F.levenshtein("symbol", "_s")).where(F.col("_d") <= distance)
+
+    def rests(symbols: DataFrame) -> DataFrame:
+        out = symbols.withColumn("_rest", F.col("symbol"))
+        for _ in range(distance):
+            shorter = F.expr("case when length(_rest) > 0 then transform(sequence(1, length(_rest)), i -> concat(substr(_rest, 1, i - 1), substr(_rest, i + 1))) else array() end")
+            out = out.withColumn("_rest", F.explode(F.array_distinct(F.concat(F.array("_rest"), shorter)))).distinct()
+        return out
+
+    near = rests(lost).join(rests(have).withColumnRenamed("symbol", "_s"), [K, "_rest"]).select(K, "symbol", "_s").distinct()
+    near = near.withColumn("_d", F.levenshtein("symbol", "_s")).where(F.col("_d") <= distance)
     best = near.groupBy(K, "symbol").agg(F.min(F.struct("_d", "_s")).alias("b"))
     return lost.join(best, [K, "symbol"], "left").select(K, "symbol", F.col("b._s").alias("nearest"), F.col("b._d").alias("edits")).withColumn("severity", F.lit("WARNING"))
 

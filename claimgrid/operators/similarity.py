@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from claimgrid.functions import text as T
 from claimgrid.functions.keyed import first_k
@@ -160,19 +160,21 @@ def species_mismatch(classified: DataFrame, projects: DataFrame) -> DataFrame:
     return d.where("data_species <> 'unknown' and species <> data_species").withColumn("severity", F.lit("FATAL"))
 
 
-def history_hints(findings: DataFrame, history: DataFrame, k: int = 3) -> DataFrame:
-    """Past findings of the same category that share words with a current one, best ``k`` as hints.
+def history_hints(findings: DataFrame, history: DataFrame, k: int = 3, least: float = 0.1) -> DataFrame:
+    """Past findings of the same category whose words have a Jaccard similarity of ``least`` with a current one, best
+    ``k`` as hints.
 
-    Candidates share the category and a rare word: each description is represented by its words, common
-    words are found through their frequency in the history, and a finding looks under its three rarest.
-    The Jaccard score is exact for every candidate.
+    A finding of n words shares at least ``least`` x n of them with such a past one, so it must share one of its
+    n - ceil(least x n) + 1 rarest; words are counted in the history. The score is exact for every candidate.
     """
     h = history.select(F.col("finding_id").alias("past_id"), "category", F.explode(T.tokens("description")).alias("_w"))
     f = findings.select("finding_id", "category", F.explode(T.tokens("description")).alias("_w"))
     # only words of current findings are counted and kept, before anything is shuffled by word
     used = h.join(f.select("category", "_w").distinct(), ["category", "_w"], "left_semi")
     freq = used.groupBy("category", "_w").agg(F.count(F.lit(1)).alias("_f"))
-    rare = first_k(f.join(freq, ["category", "_w"]), ["finding_id"], [F.asc("_f"), F.asc("_w")], 3)
+    sizes = f.groupBy("finding_id").agg(F.count(F.lit(1)).alias("_size"))
+    turn = F.row_number().over(Window.partitionBy("finding_id").orderBy(F.coalesce("_f", F.lit(0)), "_w"))
+    rare = f.join(freq, ["category", "_w"], "left").withColumn("_turn", turn).join(sizes, "finding_id").where(F.col("_turn") <= F.col("_size") - F.ceil(F.round(F.col("_size") * least, 6)) + 1)
     near = rare.select("finding_id", "category", "_w").join(used, ["category", "_w"]).select("finding_id", "past_id").distinct()
     # the texts are joined to the candidate ids last, so that they do not travel with every word
     past = history.select(F.col("finding_id").alias("past_id"), T.tokens("description").alias("_p"))
@@ -180,4 +182,5 @@ def history_hints(findings: DataFrame, history: DataFrame, k: int = 3) -> DataFr
     both = near.join(now, "finding_id").join(past, "past_id")
     union = F.size("_n") + F.size("_p") - F.size(F.array_intersect("_n", "_p"))
     scored = both.withColumn("score", F.round(F.size(F.array_intersect("_n", "_p")) / union, 6))
+    scored = scored.where(F.col("score") >= least)
     return first_k(scored.select("finding_id", "past_id", "score"), ["finding_id"], [F.desc("score"), F.asc("past_id")], k)

@@ -82,11 +82,10 @@ def _(s):
 
 @query("J36_history_hints", r"""
 with w as (select doc_id, lang, list_distinct(list_filter(string_split(lower(trim(regexp_replace(text, '[\t\n\x0b\x0c\r \x{85}\p{Zs}\x{2028}\x{2029}]+', ' ', 'g'))), ' '), lambda x: length(x) > 0)) as t from documents), b as (select item_id, list_distinct(list_filter(string_split(lower(trim(regexp_replace(text, '[\t\n\x0b\x0c\r \x{85}\p{Zs}\x{2028}\x{2029}]+', ' ', 'g'))), ' '), lambda x: length(x) > 0)) as t from benchmark),
-u as (select doc_id, unnest(t) as w from w), ub as (select item_id, unnest(t) as w from b), f as (select w, count(*) as n from u group by 1),
-r as (select item_id, ub.w, row_number() over (partition by item_id order by n, ub.w) as rk from ub join f on f.w = ub.w),
-p as (select distinct r.item_id as a, u.doc_id as b from r join u on u.w = r.w where rk <= 3),
+u as (select doc_id, unnest(t) as w from w), ub as (select item_id, unnest(t) as w from b),
+p as (select distinct ub.item_id as a, u.doc_id as b from ub join u on u.w = ub.w),
 sc as (select a as finding_id, p.b as past_id, round(len(list_intersect(x.t, y.t)) / cast(len(list_distinct(list_concat(x.t, y.t))) as double), 6) as score from p join b x on x.item_id = a join w y on y.doc_id = p.b)
-select finding_id, past_id, score from (select *, row_number() over (partition by finding_id order by score desc, past_id) as rn from sc) q where rn <= 3""")
+select finding_id, past_id, score from (select *, row_number() over (partition by finding_id order by score desc, past_id) as rn from sc where score >= 0.1) q where rn <= 3""")
 def _(s):
     past = s.documents.select(F.col("doc_id").alias("finding_id"), F.lit("text").alias("category"), F.col("text").alias("description"))
     now = s.benchmark.select(F.col("item_id").alias("finding_id"), F.lit("text").alias("category"), F.col("text").alias("description"))

@@ -72,7 +72,7 @@ def as_findings(df: DataFrame, check_id: str, priority: str = "P1", **columns: s
 
 
 def failed(spark: SparkSession, check_id: str, priority: str, error: Exception) -> DataFrame:
-    row = {c: None for c in COLUMNS} | {"check_id": check_id, "priority": priority, "severity": "ERROR", "message": f"{type(error).__name__}: {error}"[:500]}
+    row = {c: None for c in COLUMNS} | {"check_id": check_id, "priority": priority, "severity": "ERROR", "message": f"{type(error).__name__}: {error}"}
     return spark.createDataFrame([tuple(row[c] for c in COLUMNS)], FINDING)
 
 

@@ -29,6 +29,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(named)
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current:

