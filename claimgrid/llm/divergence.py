@@ -26,7 +26,6 @@ COMMON = {
 CLASSES = {"lower": "a-z", "upper": "A-Z", "digits": "0-9", "symbols": "#*$%&|<>", "stops": ".,;:!?'\"()-", "wide": "\\x{80}-\\x{10FFFF}"}
 LIMIT_CHARS, LIMIT_WORDS, LEAST_CHARS, LEAST_WORDS = 0.33, 0.3, 200, 100
 LANGS = sorted(COMMON)
-LONGEST = max(len(w) for ws in COMMON.values() for w in ws)
 
 
 def _count(pattern: str) -> Column:
@@ -59,7 +58,8 @@ def measured(docs: DataFrame) -> DataFrame:
     for name, step in repeated_words("_w"):
         rows = rows.withColumn(name, step)
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    rows = rows.withColumn("_lines", lines).withColumn("_short", F.filter(F.transform(F.filter("_w", lambda w: F.char_length(w) <= LONGEST + 1), lambda w: F.lower(F.regexp_replace(w, "[.,]", ""))), _one_of(sorted({w for ws in COMMON.values() for w in ws}))))
+    bare = F.lower(F.replace(F.replace("text", F.lit("."), F.lit("")), F.lit(","), F.lit("")))
+    rows = rows.withColumn("_lines", lines).withColumn("_short", F.filter(F.split(bare, WORD_GAP), _one_of(sorted({w for ws in COMMON.values() for w in ws}))))
     rows = rows.select(
         "doc_id", F.size("_w").cast("bigint").alias("n_words"), (F.char_length("text") - _count("\\x20\\x09-\\x0D")).cast("bigint").alias("word_chars"), F.char_length("text").alias("_all"),
         *[_count(p).alias(f"c_{name}") for name, p in CLASSES.items()], (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"), "n_repeat_words", "_short")
@@ -119,7 +119,7 @@ r as (select doc_id, i from g qualify count(*) over (partition by doc_id, g) > 1
 n as (select doc_id, sum(k)::bigint as n_repeat_words from (select doc_id, least(5, coalesce(lead(i) over (partition by doc_id order by i) - i, 5)) as k from r) group by doc_id),
 m as (select w.doc_id, len(w)::bigint as n_words, list_sum(list_transform(w, lambda x: length(x)))::bigint as wc, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines,
   length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols, coalesce(n_repeat_words, 0) as n_repeat_words, [{classes}] as classes,
-  list_filter(list_transform(list_filter(w, lambda x: length(x) <= {LONGEST + 1}), lambda x: lower(regexp_replace(x, '[.,]', '', 'g'))), lambda x: list_contains({every}, x)) as short from w left join n using (doc_id)),
+  list_filter(list_transform(w, lambda x: lower(replace(replace(x, '.', ''), ',', ''))), lambda x: list_contains({every}, x)) as short from w left join n using (doc_id)),
 b as (select *, coalesce(wc, 0) as word_chars, list_max([{best}]) as best from m),
 h as (select *, [{", ".join("'" + x + "'" for x in LANGS)}][1 - best.i] as lang_ref, list_append(classes, word_chars - list_sum(classes)) as char_hist,
   list_append(list_transform([{lists}][1 - best.i], lambda x: len(list_filter(short, lambda y: y = x))), n_words - best.n) as word_hist, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from b),
