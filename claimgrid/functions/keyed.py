@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 RULE_ROWS_MAX = 10_000
@@ -51,22 +53,24 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def contains_join(left: DataFrame, text: str, right: DataFrame, needle: str, keys: list[str], gram: int = 4) -> DataFrame:
     """Inner join of rows whose ``text`` contains ``needle`` (case folded), within equal keys.
 
-    A text that contains the needle contains the first ``gram`` letters of it, so the join is an
-    equi-join on (keys, gram) followed by the exact test. No product of texts and needles is formed.
+    A text that contains a needle contains every run of ``gram`` letters of it (a shorter needle is its own run), so the
+    join is an equi-join on (keys, run). Of each needle only the run that the fewest texts hold is used, which also
+    parts needles that begin alike. Texts are named by a hash meanwhile and join last, for the exact test.
     """
-    n = F.lower(F.col(needle))
-    r = right.where(F.length(n) > 0).withColumn("_gram", F.substring(n, 1, gram))
-    t = F.lower(F.col(text))
-
-    def pieces(g: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(t) - g + 1)
-        return F.when(F.length(t) >= g, F.transform(starts, lambda i: F.substr(t, i, F.lit(g)))).otherwise(F.array().cast("array<string>"))
-
-    grams = F.array_distinct(F.flatten(F.array(*[pieces(g) for g in range(1, gram + 1)])))
-    # only grams that some needle starts with travel on
-    starts = r.select(*keys, "_gram").distinct()
-    probe = left.withColumn("_row", F.struct(*left.columns)).select("_row", *keys, F.explode(grams).alias("_gram"))
-    near = probe.join(starts, [*keys, "_gram"], "left_semi")
-    joined = near.join(r, [*keys, "_gram"], "inner").where(F.contains(F.lower(F.col("_row")[text]), n))
-    other = [c for c in left.columns if c not in keys]
-    return joined.select(*keys, *[F.col("_row")[c].alias(c) for c in other], *[c for c in right.columns if c not in keys])
+    folded, n = F.lower(F.col(text)), F.lower(F.col(needle))
+
+    def runs(whole: str, size: int) -> Column:
+        return F.regexp_extract_all(F.col(whole), F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))  # linear, also in a long text
+
+    wanted = right.where(F.length(n) > 0).select(*keys, n.alias("_n")).distinct()
+    own = reduce(lambda w, g: w.when(F.length("_n") == g, runs("_n", g)), range(1, gram), F).otherwise(runs("_n", gram))
+    parts = wanted.select(*keys, "_n", F.explode(F.array_distinct(own)).alias("_gram"))
+    texts = left.select(*keys, folded.alias("_t"))
+    every = F.array_distinct(F.flatten(F.array(*[runs("_t", g) for g in range(1, gram + 1)])))
+    probe = texts.select(*keys, F.xxhash64("_t").alias("_h"), F.explode(every).alias("_gram")).join(parts.select(*keys, "_gram").distinct(), [*keys, "_gram"], "left_semi").distinct()
+    often = probe.groupBy(*keys, "_gram").agg(F.count(F.lit(1)).alias("_f"))
+    rarest = parts.join(often, [*keys, "_gram"], "left").groupBy(*keys, "_n").agg(F.min(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), F.col("_gram").alias("g"))).alias("_b"))
+    rarest = rarest.where("_b.f > 0").select(*keys, "_n", F.col("_b.g").alias("_gram"))
+    near = probe.join(rarest, [*keys, "_gram"]).select(*keys, "_h", "_n").distinct()
+    joined = left.withColumn("_h", F.xxhash64(folded)).join(near, [*keys, "_h"]).where(F.contains(folded, F.col("_n"))).drop("_h")
+    return joined.join(right.withColumn("_n", n), [*keys, "_n"]).drop("_n").select(*keys, *[c for c in left.columns if c not in keys], *[c for c in right.columns if c not in keys])

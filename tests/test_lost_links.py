@@ -32,3 +32,13 @@ def test_location_with_a_number_inside(spark):
 def test_unknown_route_is_an_error(spark):
     with pytest.raises(Exception, match="unknown route zz"):
         cluster_findings(findings(spark, ("a", "l", "d", "t"), ("zz", "l", "d", "t")), ["a", "b"]).collect()
+
+
+def test_contains_join_of_like_needles(spark):
+    from claimgrid.functions.keyed import contains_join
+    texts = [("p", i, f"the VAR{i} rose " + "x" * i) for i in range(60)] + [("p", 900, "var7 " * 20_000), ("q", 1, "var1"), ("p", 2, None)]
+    needles = [("p", f"var{i}") for i in range(1000)] + [("p", "x"), ("p", ""), ("p", None), ("q", "ar")]
+    left = spark.createDataFrame(texts, "k string, i long, t string")
+    right = spark.createDataFrame(needles, "k string, n string")
+    got = sorted((r.k, r.i, r.n) for r in contains_join(left, "t", right, "n", ["k"]).collect())
+    assert got == sorted((k, i, n) for k, i, t in texts for q, n in needles if k == q and t and n and n in t.lower())
