@@ -6,6 +6,11 @@ has no links. What is left is ordered again, rarest first, and cut to the shingl
 prefix. Documents of the same size and prefix form one group; groups that share a prefix shingle, with sizes that
 allow a link, are brought together; then the groups are expanded and their members verified on whole sets.
 
+A cluster of groups can be large without holding a link, as where a line that thousands of documents share makes up
+much of short ones. Such clusters are first taken apart by parity sketches: bit h of a sketch tells whether an odd
+number of shingles has hash h, so two sketches differ in no more bits than the sets differ in shingles. Blocks of
+sketches, by bands of sizes, return only what connects the documents whose sketches allow a link.
+
 Verification runs in blocks of bounded size. In a large cluster the most typical document is compared with all
 others first. Those that link with it are settled: they are in one component, so only pairs with an unsettled
 document are left, and each task returns no more links than it needs to connect its documents.
@@ -18,15 +23,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimgrid.llm import flat
 from claimgrid.llm.components import components
 from claimgrid.llm.substring import SECOND
-from claimgrid.llm.tables import DEAL, LAST_ID, grouped, keyed, plain_id, query, table, written
+from claimgrid.llm.tables import DEAL, grouped, keyed, named, plain_id, query, table, written
 
 BLOCK = 400
+SKETCH_BITS, SKETCH_BLOCK = 1024, 2048
 
 
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
@@ -64,10 +70,11 @@ def _survey(k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                 h2 = np.array([np.add.reduce(flat.mix(s ^ SECOND)) for s in sets], np.uint64)
                 first = n - least_overlap(n, percent) + np.minimum(spare(n), least_overlap(n, percent))
                 head = [s[:p] for s, p in zip(sets, first.tolist())]
+                sketch = [np.packbits(np.bincount((x >> np.uint64(20)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes() for x in sets]
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), rows.column(1), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in head])).astype(np.int32)), pa.array(np.concatenate(head).view(np.int64)))],
-                    ["doc_id", "key", "n", "h1", "h2", "first"])
+                     pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in head])).astype(np.int32)), pa.array(np.concatenate(head).view(np.int64))), pa.array(sketch, pa.binary())],
+                    ["doc_id", "key", "n", "h1", "h2", "first", "sketch"])
 
     return run
 
@@ -77,8 +84,8 @@ def _sets(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
         for batch in batches:
             for rows, data, off in flat.slices(batch):
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("node"), rows.column("cluster"), rows.column("typical"), pa.array([s.tobytes() for s in shingle_sets(data, off, k)], pa.binary())],
-                    ["node", "cluster", "typical", "shingles"])
+                    [rows.column("node"), rows.column("cluster"), rows.column("members"), rows.column("centre"), pa.array([s.tobytes() for s in shingle_sets(data, off, k)], pa.binary())],
+                    ["node", "cluster", "members", "centre", "shingles"])
 
     return run
 
@@ -87,6 +94,33 @@ def _linked(both: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.
     return 100 * both >= percent * (a + b - both)
 
 
+def _allowed(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Pairs of a block whose sketches allow a link, as links that connect the same documents."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        node, n, own = rows["node"].to_numpy(), rows["n"].to_numpy(), rows["own"].to_numpy()
+        bits = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(node), -1)
+        apart = rows["p"].iloc[0] != rows["q"].iloc[0]
+        label = np.arange(len(node))
+        a, b = [], []
+        for i in range(len(node) - 1):
+            later = slice(i + 1, None)
+            total = n[i] + n[later]
+            differ = np.bitwise_count(bits[later] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            ok = (differ <= total - 2 * -(-percent * total // (100 + percent))) & (label[later] != label[i])
+            if apart:
+                ok &= own[later] != own[i]
+            found = np.flatnonzero(ok) + i + 1
+            if len(found):
+                joined, first = np.unique(label[found], return_index=True)
+                a += [node[i]] * len(joined)
+                b += node[found[first]].tolist()
+                label[np.isin(label, np.append(joined, label[i]))] = min(label[i], joined[0])
+        return pd.DataFrame({"a": a, "b": b}, dtype="int64")
+
+    return run
+
+
 def _against_typical(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -142,14 +176,38 @@ def _verify(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 
 def survey(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, key, n, node (names the set of shingles), and the first shingles in the order of hashes."""
-    seen = keyed(docs).mapInArrow(_survey(k, percent), "doc_id long, key long, n long, h1 long, h2 long, first array<long>")
-    return seen.select("doc_id", "key", "n", F.when(F.col("n") > 0, F.xxhash64("h1", "h2", "n")).alias("node"), "first")
+    """doc_id, key, n, node (names the set of shingles), the first shingles in the order of hashes, and the sketch."""
+    seen = keyed(docs).mapInArrow(_survey(k, percent), "doc_id long, key long, n long, h1 long, h2 long, first array<long>, sketch binary")
+    return seen.select("doc_id", "key", "n", F.when(F.col("n") > 0, F.xxhash64("h1", "h2", "n")).alias("node"), "first", "sketch")
+
+
+def bands(percent: int) -> Column:
+    """Sizes that can link lie in one band of sizes or in two neighbouring ones; a document is in its own and the next."""
+    width = -1.001 * float(np.log(percent / 100))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("long")
+    return F.array(band, band + 1)
+
+
+def _sized(placed: DataFrame) -> DataFrame:
+    """Adds the number of members of a cluster and its centre, where there are two at least."""
+    sizes = grouped(placed, "cluster").agg(F.count("*").alias("members"), F.max(F.struct("typical", "node")).alias("centre")).drop(DEAL).filter("members > 1")
+    return placed.join(sizes.select("cluster", "members", F.col("centre.node").alias("centre")), "cluster")
+
+
+def taken_apart(large: DataFrame, percent: int) -> DataFrame:
+    """large: node, cluster, typical, n, sketch. The same without sketches, with clusters that their sketches connect."""
+    lists = large.select("node", "cluster", "n", "sketch", F.explode(bands(percent)).alias("band"))
+    counts = grouped(lists.select("cluster", "band"), "cluster", "band").agg(F.ceil(F.count("*") / SKETCH_BLOCK).cast("int").alias("blocks"), F.count("*").alias("k")).drop(DEAL).filter("k > 1")
+    own = lists.join(counts, ["cluster", "band"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    meets = F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, own) as p, greatest(x, own) as q))")
+    dealt = own.withColumn("m", F.explode(meets)).select("cluster", "band", "node", "n", "sketch", "own", "m.p", "m.q")
+    pairs = written(dealt.groupBy("cluster", "band", "p", "q").applyInPandas(_allowed(percent), "a long, b long"), "join-allowed")
+    return large.select("node", "typical", "doc_id", "key").join(components(pairs), "node").withColumnRenamed("label", "cluster")
 
 
 def clusters(seen: DataFrame, percent: int = 90) -> DataFrame:
-    """node, cluster, typical, doc_id, key: documents, one for each set, that may be linked through others of their
-    cluster. ``typical``: the share of the document's first shingles that others have."""
+    """node, cluster, members, centre, doc_id, key: documents, one for each set, that may be linked through others of
+    their cluster. ``centre``: the node of which most first shingles stand in other documents too."""
     heads = grouped(seen.filter("node is not null"), "node").agg(F.min(F.struct("doc_id", "key")).alias("head")).drop(DEAL)
     sets = seen.join(heads, "node").filter("doc_id = head.doc_id and key = head.key")
     at = sets.select("node", "n", F.explode("first").alias("shingle"))
@@ -160,32 +218,33 @@ def clusters(seen: DataFrame, percent: int = 90) -> DataFrame:
     prefix = written(shared.select("node", "n", F.size("shared").alias("typical"), F.slice("shared.shingle", F.lit(1), (F.size("shared") - need + 1).cast("int")).alias("prefix")), "join-prefixes")
     groups = prefix.select("node", "n", "prefix", F.xxhash64("n", "prefix").alias("grp"))
     members = groups.select("node", "grp")
-    entries = groups.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).select("grp", "n", F.explode("prefix").alias("shingle"))
-    # sizes that can link lie in one band of sizes or in two neighbouring ones, so a shingle and a band name a list
-    width = -1.001 * float(np.log(percent / 100))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("long")
-    lists = entries.select("grp", "shingle", F.explode(F.array(band, band + 1)).alias("band"))
+    entries = written(groups.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "join-groups").select("grp", "n", F.explode("prefix").alias("shingle"))
+    lists = entries.select("grp", "shingle", F.explode(bands(percent)).alias("band"))
     lowest = grouped(lists, "shingle", "band").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low < high").select("shingle", "band", "low")
     pairs = lists.join(lowest, ["shingle", "band"]).filter("grp <> low").select(F.col("grp").alias("a"), F.col("low").alias("b")).distinct()
     labels = components(pairs)
     kept = members.join(labels.withColumnRenamed("node", "grp"), "grp", "left").select("node", F.coalesce("label", "grp").alias("cluster"))
-    many = grouped(kept, "cluster").count().filter("count > 1").select("cluster")
-    return kept.join(many, "cluster").join(prefix.select("node", "typical"), "node").join(heads, "node").select("node", "cluster", "typical", "head.doc_id", "head.key")
+    placed = written(kept.join(prefix.select("node", "typical"), "node").join(heads, "node").select("node", "cluster", "typical", "head.doc_id", "head.key"), "join-clusters")
+    found = written(_sized(placed), "join-members")
+    columns = ["node", "cluster", "members", "centre", "doc_id", "key"]
+    if found.filter(F.col("members") > BLOCK).isEmpty():
+        return found.select(*columns)
+    large = found.filter(F.col("members") > BLOCK).drop("members", "centre").join(seen.select("doc_id", "key", "n", "sketch"), ["doc_id", "key"]).dropDuplicates(["node"])
+    apart = _sized(written(taken_apart(written(large, "join-large"), percent), "join-apart"))
+    return written(found.filter(F.col("members") <= BLOCK).select(*columns).unionByName(apart.select(*columns)), "join-found")
 
 
 def links(docs: DataFrame, found: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """(a, b): verified links between sets that connect all that are linked."""
-    texts = keyed(docs).join(found.hint("shuffle_hash"), ["doc_id", "key"])
-    sets = written(texts.mapInArrow(_sets(k), "node long, cluster long, typical int, shingles binary").dropDuplicates(["node"]), "join-sets")
-    sizes = grouped(sets, "cluster").agg(F.count("*").alias("members"), F.max(F.struct("typical", "node")).alias("centre")).drop(DEAL)
-    sized = sets.join(sizes, "cluster")
+    texts = keyed(docs).join(found.filter("members > 1").hint("shuffle_hash"), ["doc_id", "key"])
+    sets = written(texts.mapInArrow(_sets(k), "node long, cluster long, members long, centre long, shingles binary"), "join-sets")
     out = "a long, b long"
-    small = sized.filter(F.col("members") <= BLOCK).select("cluster", "node", "shingles").groupBy("cluster").applyInPandas(_verify(percent), out)
-    large = sizes.filter(F.col("members") > BLOCK)
-    if large.isEmpty():
+    small = sets.filter(F.col("members") <= BLOCK).select("cluster", "node", "shingles").groupBy("cluster").applyInPandas(_verify(percent), out)
+    large = sets.filter(F.col("members") > BLOCK)
+    if large.select("node").isEmpty():
         return small
-    centres = sets.join(large.select(F.col("centre.node").alias("node")), "node").select("cluster", F.col("node").alias("centre"), F.col("shingles").alias("centre_shingles"))
-    tested = written(sets.join(centres, "cluster").mapInArrow(_against_typical(percent), "node long, cluster long, shingles binary, centre long, settled boolean"), "join-settled")
+    centres = large.filter("node = centre").dropDuplicates(["node"]).select("centre", F.col("shingles").alias("centre_shingles"))
+    tested = written(large.join(centres, "centre").mapInArrow(_against_typical(percent), "node long, cluster long, shingles binary, centre long, settled boolean"), "join-settled")
     stars = tested.filter("settled and node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
     counts = grouped(tested, "cluster").agg(F.ceil(F.count_if("settled") / (BLOCK / 2)).cast("int").alias("calm"), F.ceil(F.count_if(~F.col("settled")) / (BLOCK / 2)).cast("int").alias("open")).drop(DEAL)
     dealt = tested.join(counts, "cluster").filter("open > 0")
@@ -202,7 +261,7 @@ def links(docs: DataFrame, found: DataFrame, k: int = 3, percent: int = 90) -> D
 def resolved(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The surveyed documents, and (node, label) for the sets that are linked with others."""
     seen = written(survey(docs, k, percent), "join-survey")
-    return seen, components(links(docs, clusters(seen, percent), k, percent))
+    return seen, components(written(links(docs, clusters(seen, percent), k, percent), "join-links"))
 
 
 def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -227,8 +286,7 @@ def representatives(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     placed = seen.select("doc_id", "key", "node").join(labels, "node", "left").withColumn("part", F.coalesce("label", "node"))
     heads = placed.filter("part is not null").groupBy("part").agg(F.min(F.struct("doc_id", "key")).alias("head")).select("head.doc_id", "head.key")
     stay = heads.unionByName(placed.filter("part is null").select("doc_id", "key").distinct()).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-    left = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)), "_key": F.xxhash64("text")})
-    return left.join(stay.hint("shuffle_hash"), ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).drop("_id", "_key")
+    return named(docs).join(stay.hint("shuffle_hash"), ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select("row.*")
 
 
 @query("op6_ngram_jaccard_join", r"""

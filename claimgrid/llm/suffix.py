@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimgrid.llm import flat
-from claimgrid.llm.tables import DEAL, LAST_ID, grouped, keyed, plain_id, query, table, written
+from claimgrid.llm.tables import DEAL, grouped, keyed, named, plain_id, query, table, written
 
 CROWD = 256
 SUFFIXES = 400_000
@@ -294,6 +294,7 @@ def scan(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame, Data
     stood = seen.filter("doc_id = head").select("doc_id", "key", F.explode("anchors").alias("anchor"))
     twice = grouped(stood, "anchor").count().filter("count > 1").select("anchor")
     lists = stood.join(twice, "anchor").groupBy("doc_id", "key").agg(F.collect_set("anchor").alias("anchors"))
+    lists = written(lists, "suffix-lists").filter("size(anchors) > 0")
     texts = written(keyed(docs).join(lists.hint("shuffle_hash"), ["doc_id", "key"]), "suffix-texts")
     contexts = written(texts.mapInArrow(_from_texts(length, widths[0]), CONTEXT), "suffix-contexts")
     return seen, texts.select("doc_id", "key", "text"), repeated_spans(contexts, length, widths)
@@ -314,12 +315,11 @@ def deduped(docs: DataFrame, length: int = 400) -> DataFrame:
     cut = _cut_rows(texts, spans).select("doc_id", "key", "kept").unionByName(
         seen.filter((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("doc_id", "key", F.lit(b"").alias("kept")))
     best = cut.groupBy("doc_id", "key").agg(F.min("kept").alias("kept"))
-    names = docs.columns
-    left = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)), "_key": F.xxhash64("text")})
-    joined = left.join(best.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("kept").alias("_kept")).hint("shuffle_hash"), ["_id", "_key"], "left")
+    joined = named(docs).join(best.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("kept").alias("_kept")).hint("shuffle_hash"), ["_id", "_key"], "left")
     whole = F.decode(F.try_validate_utf8(F.col("_kept").cast("string")).cast("binary"), "UTF-8")
     mended = F.regexp_replace(F.make_valid_utf8(F.col("_kept").cast("string")), "\ufffd", "")
-    return joined.withColumn("text", F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.coalesce(whole, mended))).select(*[F.col(f"`{c}`") for c in names])
+    text = F.when(F.col("_kept").isNull(), F.col("row.text")).otherwise(F.coalesce(whole, mended))
+    return joined.select(F.col("row").withField("text", text).alias("row")).select("row.*")
 
 
 def dedup(docs: DataFrame, length: int = 400) -> DataFrame:

@@ -111,6 +111,7 @@ def brute_join(rows, k, percent):
 @pytest.mark.parametrize("block", [400, 6])
 def test_ngram_join(spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "SKETCH_BLOCK", 5 if block < 100 else 2048)
     rows = texts(3, 60)
     want, _ = brute_join(rows, 3, 90)
     got = [tuple(r) for r in ngram_join.join(frame(spark, rows)).collect()]
