@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 BASE, BASE2, BYTE_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -22,7 +22,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and its inverse, i < n."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
+        size = max(4096, n + n // 8)
         made = []
         for b in (base, pow(base, -1, 1 << 64)):
             a = np.full(size, b, np.uint64)
