@@ -84,23 +84,28 @@ def broken_links(links: DataFrame, headings: DataFrame, files: DataFrame) -> Dat
     return a.unionByName(p).withColumn("severity", F.when(F.col("problem") == "path", "error").otherwise("warning"))
 
 
-def duplicate_candidates(canonical: DataFrame) -> DataFrame:
-    """Canonical findings that share an evidence reference, or both error mechanism and repair path.
+def duplicate_keys(canonical: DataFrame) -> DataFrame:
+    """What makes canonical findings duplicates of each other: project_id, canonical_id, reason, shared_key.
 
-    Each group of equal keys is shown as a star around its smallest id: a group of n findings gives
-    n-1 rows, not all its pairs, and merging along the rows merges the whole group.
+    Findings share an evidence reference, or both error mechanism and repair path.
     ``canonical``: project_id, canonical_id, refs (array of path/locator), error_mechanism, repair_path.
     """
     ref = canonical.select(K, "canonical_id", F.explode("refs").alias("r"))
     p = F.lower(F.replace(F.trim("r.path"), F.lit("\\"), F.lit("/")))
     p = F.when(p.endswith("/report_text.txt"), "report_text.txt").otherwise(p)
     loc = F.lower(F.trim("r.locator"))
-    keyed = ref.where((F.length(p) > 0) & (F.length(loc) > 0)).select(K, "canonical_id", F.lit("shared_evidence").alias("reason"), F.concat_ws("\x1f", p, loc).alias("_k"))
+    keyed = ref.where((F.length(p) > 0) & (F.length(loc) > 0)).select(K, "canonical_id", F.lit("shared_evidence").alias("reason"), F.concat_ws("\x1f", p, loc).alias("shared_key"))
     m, x = T.norm_lower("error_mechanism"), T.norm_lower("repair_path")
-    same = canonical.where((F.length(m) > 0) & (F.length(x) > 0)).select(K, "canonical_id", F.lit("same_root_and_repair").alias("reason"), F.concat_ws("\x1f", m, x).alias("_k"))
-    both = keyed.unionByName(same).where(~T.is_blank("canonical_id")).distinct()
-    centre = both.groupBy(K, "reason", "_k").agg(F.min("canonical_id").alias("centre"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    d = both.join(centre, [K, "reason", "_k"]).where("canonical_id <> centre")
+    same = canonical.where((F.length(m) > 0) & (F.length(x) > 0)).select(K, "canonical_id", F.lit("same_root_and_repair").alias("reason"), F.concat_ws("\x1f", m, x).alias("shared_key"))
+    return keyed.unionByName(same).where(~T.is_blank("canonical_id")).distinct()
+
+
+def duplicate_candidates(canonical: DataFrame) -> DataFrame:
+    """Each group of equal ``duplicate_keys`` as a star around its smallest id: a group of n findings gives n-1 rows, not
+    all its pairs, and merging along the rows merges the whole group."""
+    both = duplicate_keys(canonical)
+    centre = both.groupBy(K, "reason", "shared_key").agg(F.min("canonical_id").alias("centre"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    d = both.join(centre, [K, "reason", "shared_key"]).where("canonical_id <> centre")
     return d.groupBy(K, F.col("centre").alias("left_id"), F.col("canonical_id").alias("right_id"), "reason").agg(F.max("group_size").alias("group_size"))
 
 

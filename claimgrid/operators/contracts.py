@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from claimgrid.functions import text as T
 from claimgrid.functions.keyed import keep_first
 from claimgrid.functions.numbers import has_zone, instant
-from claimgrid.operators.compare import coverage, duplicate_candidates, orphans, union_findings
+from claimgrid.operators.compare import coverage, duplicate_keys, orphans, union_findings
 from claimgrid.operators.extract import K
 from claimgrid.operators.ordered_checks import attempt_facts, task_lifecycle
 from claimgrid.operators.similarity import conservation
@@ -221,17 +221,22 @@ def arbitration(dispositions: DataFrame, links: DataFrame, canonical: DataFrame,
 
 
 def unresolved_duplicates(canonical: DataFrame, independence: DataFrame) -> DataFrame:
-    """Duplicate candidates without a sound independence decision. ``independence``: project_id, left_id, right_id,
-    dimension (a field that differs), own_evidence (both sides cite their own)."""
-    cand = duplicate_candidates(canonical)
+    """Groups of duplicate candidates with a pair that has no sound independence decision: a group of n needs
+    n(n-1)/2 of them. ``independence``: project_id, left_id, right_id, dimension (a field that differs), own_evidence
+    (both sides cite their own). Pairs are counted, never listed, so a large group is one row."""
+    keys = duplicate_keys(canonical)
     fields = canonical.select(K, "canonical_id", *[T.norm_lower(f).alias(f"_{f}") for f in ("module", "claim", "evidence_object")])
     a = fields.select(K, F.col("canonical_id").alias("left_id"), F.struct("_module", "_claim", "_evidence_object").alias("a"))
     b = fields.select(K, F.col("canonical_id").alias("right_id"), F.struct("_module", "_claim", "_evidence_object").alias("b"))
     j = independence.select(K, F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), "dimension", "own_evidence")
     j = j.join(a, [K, "left_id"]).join(b, [K, "right_id"])
     differs = reduce(lambda w, f: F.when(F.col("dimension") == f, F.col(f"a._{f}") != F.col(f"b._{f}")).otherwise(w), ("module", "claim", "evidence_object"), F.lit(False))
-    sound = j.where(F.coalesce("own_evidence", F.lit(False)) & differs).select(K, "left_id", "right_id")
-    return cand.join(sound, [K, "left_id", "right_id"], "left_anti")
+    sound = j.where(F.coalesce("own_evidence", F.lit(False)) & differs).where("left_id <> right_id").select(K, "left_id", "right_id").distinct()
+    one, two = (keys.withColumnRenamed("canonical_id", side) for side in ("left_id", "right_id"))
+    decided = sound.join(one, [K, "left_id"]).join(two, [K, "right_id", "reason", "shared_key"]).groupBy(K, "reason", "shared_key").agg(F.count(F.lit(1)).alias("_d"))
+    groups = keys.groupBy(K, "reason", "shared_key").agg(F.min("canonical_id").alias("group_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    d = groups.join(decided, [K, "reason", "shared_key"], "left").withColumns({"pairs_needed": F.expr("group_size * (group_size - 1) div 2"), "pairs_decided": F.coalesce("_d", F.lit(0).cast("long"))})
+    return d.where("pairs_decided < pairs_needed").select(K, "group_id", "reason", "shared_key", "group_size", "pairs_needed", "pairs_decided")
 
 
 # --- decision, figures, supervision ---------------------------------------------------------------

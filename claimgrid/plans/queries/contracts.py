@@ -159,13 +159,13 @@ def _(s):
 
 @query("V07_unresolved_duplicates", """
 with k as (select project_id, canonical_id, error_mechanism || '|' || repair_path as k, module from {v_canonical} c), g as (select project_id, k, min(canonical_id) as m, count(*) as n from k group by 1, 2 having count(*) > 1),
-p as (select k.project_id, m as l, canonical_id as r, n, k.module from k join g on g.project_id = k.project_id and g.k = k.k where canonical_id <> m)
-select p.project_id, l as left_id, r as right_id, cast(n as bigint) as group_size from p join k x on x.project_id = p.project_id and x.canonical_id = l where not (p.module <> x.module)""")
+p as (select k.project_id, k.k, count(*) as d from k join g on g.project_id = k.project_id and g.k = k.k join k x on x.project_id = g.project_id and x.canonical_id = m where k.canonical_id <> m and k.module <> x.module group by 1, 2)
+select g.project_id, m as group_id, cast(n as bigint) as group_size, cast(n * (n - 1) // 2 as bigint) as pairs_needed, cast(coalesce(d, 0) as bigint) as pairs_decided from g left join p on p.project_id = g.project_id and p.k = g.k where coalesce(d, 0) < n * (n - 1) // 2""")
 def _(s):
     c = s.v_canonical.withColumn("refs", F.array().cast("array<struct<path:string,locator:string>>"))
     mate = s.v_canonical.groupBy(K, "error_mechanism", "repair_path").agg(F.min("canonical_id").alias("left_id"))
     ind = s.v_canonical.join(mate, [K, "error_mechanism", "repair_path"]).where("canonical_id <> left_id").select(K, "left_id", F.col("canonical_id").alias("right_id"), F.lit("module").alias("dimension"), F.lit(True).alias("own_evidence"))
-    return Q.unresolved_duplicates(c, ind).drop("reason")
+    return Q.unresolved_duplicates(c, ind).drop("reason", "shared_key")
 
 
 @query("V08_decision", """

@@ -42,3 +42,12 @@ def test_contains_join_of_like_needles(spark):
     right = spark.createDataFrame(needles, "k string, n string")
     got = sorted((r.k, r.i, r.n) for r in contains_join(left, "t", right, "n", ["k"]).collect())
     assert got == sorted((k, i, n) for k, i, t in texts for q, n in needles if k == q and t and n and n in t.lower())
+
+
+def test_open_pair_off_the_centre(spark):
+    from claimgrid.operators.contracts import unresolved_duplicates
+    found = spark.createDataFrame([("p", i, f"m{i}", "c", "e", "same", "fix") for i in "ABC"], "project_id string, canonical_id string, module string, claim string, evidence_object string, error_mechanism string, repair_path string").selectExpr("*", "cast(array() as array<struct<path:string,locator:string>>) as refs")
+    schema = "project_id string, left_id string, right_id string, dimension string, own_evidence boolean"
+    two = [("p", "A", "B", "module", True), ("p", "C", "A", "module", True)]
+    assert [(r.group_id, r.pairs_needed, r.pairs_decided) for r in unresolved_duplicates(found, spark.createDataFrame(two, schema)).collect()] == [("A", 3, 2)]
+    assert unresolved_duplicates(found, spark.createDataFrame([*two, ("p", "B", "C", "module", True), ("p", "B", "C", "module", True)], schema)).count() == 0
