@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from claimgrid.llm import ngram_join, substring, suffix
+from claimgrid.llm import components, ngram_join, substring, suffix
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, node string, `row` string, h1 string, score double, found string, _id string, bucket string"
 
@@ -133,3 +133,18 @@ def test_empty_tables(spark):
     none = frame(spark, texts(1)).limit(0)
     for run in (substring.dedup, suffix.dedup, suffix.deduped, ngram_join.join, ngram_join.representatives):
         assert run(none).count() == 0
+
+
+@pytest.mark.parametrize("few", [1 << 17, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
+    rng = random.Random(9)
+    links = [(rng.randrange(-90, 90), rng.randrange(-90, 90)) for _ in range(70)] + [(k, k + 1) for k in range(1000, 1040)] + [(5, 5), (2000, 2001)]
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = {x: x for x in {y for a, b in links if a != b for y in (a, b)}}
+    for _ in links:
+        for a, b in links:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    assert got == want
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
