@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimgrid.operators.aggregate import quality_gate, severity_counts
 from claimgrid.operators.compare import union_findings
+from claimgrid.rules import values as V
 
 FINDING = (
     "project_id string, check_id string, priority string, severity string, category string, message string, module string, path string, line bigint, "
     "claimed string, actual string, context string"
 )
+#: Names of severities that some rules use, and the one of the five they count as.
+SEVERITY_NAMES = {"SERIOUS": "CRITICAL", "ERROR": "MAJOR", "WARN": "WARNING", "NOTE": "INFO"}
 COLUMNS = [p.split()[0] for p in FINDING.split(", ")]
 
 
@@ -67,6 +70,10 @@ def as_findings(df: DataFrame, check_id: str, priority: str = "P1", **columns: s
             c = F.col(name)
         else:
             c = F.lit(None)
+        if name == "severity":
+            upper = F.upper(F.trim(c.cast("string")))
+            named = F.coalesce(*[F.when(upper == a, b) for a, b in SEVERITY_NAMES.items()], upper)
+            c = F.when(named.isin(V.SEVERITIES), named).otherwise("MAJOR")  # what has no known severity must not pass unseen
         out.append(c.cast(typ).alias(name))
     return df.select(*out)
 
@@ -78,7 +85,8 @@ def failed(spark: SparkSession, check_id: str, priority: str, error: Exception)
 
 def run(tables: Tables, priorities: tuple[str, ...] = ("P0", "P1"), checks: list[str] | None = None) -> DataFrame:
     """Findings of all selected checks whose inputs are there. A check whose plan cannot be built gives one
-    ERROR row instead of stopping the others. Nothing runs until the result is used."""
+    ERROR row instead of stopping the others. Checks that cut their lineage run in part while the union is built; the
+    others run when the result is used."""
     parts = []
     for c in CHECKS.values():
         if c.priority not in priorities or (checks is not None and c.check_id not in checks) or not tables.has(set(c.needs)):
@@ -91,4 +99,5 @@ def run(tables: Tables, priorities: tuple[str, ...] = ("P0", "P1"), checks: list
 
 
 def gate(findings: DataFrame) -> DataFrame:
-    return quality_gate(severity_counts(findings))
+    """Verdict for each project. A check that failed has no project; its ERROR rows count as FATAL there."""
+    return quality_gate(severity_counts(findings.withColumn("severity", F.when(F.col("severity") == "ERROR", "FATAL").otherwise(F.col("severity")))))

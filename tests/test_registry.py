@@ -19,3 +19,12 @@ def test_checks_run_together_and_a_broken_one_gives_an_error_row(spark):
     assert not any(r.check_id == "file_health" for r in out)
     g = gate(run(Tables(spark, {"report_lines": lines}))).collect()[0]
     assert g.project_id == "p" and g.passed is True
+
+
+def test_all_severities_reach_the_gate(spark):
+    from claimgrid.plans.registry import as_findings, failed
+    rows = spark.createDataFrame([("p", "SERIOUS"), ("p", "error"), ("p", "warning"), ("p", "odd"), ("p", None), ("p", "FATAL")], "project_id string, severity string")
+    found = as_findings(rows, "x")
+    assert sorted(r.severity for r in found.collect()) == ["CRITICAL", "FATAL", "MAJOR", "MAJOR", "MAJOR", "WARNING"]
+    got = {r.project_id: r.passed for r in gate(found.where("severity = 'WARNING'").unionByName(failed(spark, "x", "P1", ValueError("no")))).collect()}
+    assert got == {"p": True, None: False}
