@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from claimgrid.operators import contracts as Q, ordered_checks as W
 from claimgrid.plans.queries.base import VIEWS, query
+from claimgrid.session import shared_path
 from claimgrid.sources.events import field_errors, parse_events, task_events
 from claimgrid.streaming import tasks as R
 
@@ -102,19 +103,19 @@ def _(s):
     raw = s.spark.readStream.schema(s.events.schema).parquet(f"{s.sf}/events.parquet*")
     rec = raw.select(F.concat(F.lit("F"), "user_id").alias("decision_sha256"), F.concat(F.lit("b"), F.col("user_id") % 3).alias("body_sha256"), F.lit("mail").alias("channel"),
                      F.when(F.col("event_type") == "purchase", "sent").otherwise("pending").alias("status"), F.col("ts").cast("timestamp").alias("ts"))
-    out = R.run_available(s.spark, R.first_receipts(rec, "400 days"), "receipts", "decision_sha256 string, body_sha256 string, channel string, status string, ts timestamp")
-    return out.select("decision_sha256", "body_sha256", "channel")
+    out = shared_path(s.spark, "receipts")
+    R.first_receipts(rec, out, shared_path(s.spark, "receipts-state")).awaitTermination()
+    return s.spark.read.parquet(out).select("decision_sha256", "body_sha256", "channel")
 
 
 @query("R04_incremental_audit", """
 select doc_id as project_id, cast(count(*) as bigint) as findings from (select doc_id, unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) as t from documents) q where contains(t, ' of ') group by 1""".replace("\\\\", "\\"))
 def _(s):
     from claimgrid.operators.predicates import lint_terms
-    from claimgrid.session import shared_path
     from claimgrid.sources.files import to_lines
 
     raw = s.spark.readStream.schema(s.documents.schema).parquet(f"{s.sf}/documents.parquet*")
     lines = to_lines(raw.withColumnRenamed("doc_id", K), [K])
     out = shared_path(s.spark, "audit")
     R.audit_new_projects(lines, lambda b: lint_terms(b, [("terminology", " of ", " from ", "error")]), out, shared_path(s.spark, "audit-state")).awaitTermination()
-    return s.spark.read.parquet(f"{out}/batch=*").groupBy(K).agg(F.count(F.lit(1)).alias("findings"))
+    return R.current_findings(s.spark, out).groupBy(K).agg(F.count(F.lit(1)).alias("findings"))

@@ -125,17 +125,42 @@ def attempt_counts_stream(events: DataFrame) -> DataFrame:
     return attempt_facts(events)
 
 
-def first_receipts(receipts: DataFrame, late: str = "1 day") -> DataFrame:
-    """First sent receipt per identity: later repeats inside the watermark are dropped."""
-    return receipts.withWatermark("ts", late).where("status = 'sent'").dropDuplicatesWithinWatermark(["decision_sha256", "body_sha256", "channel"])
+IDENTITY = ["decision_sha256", "body_sha256", "channel"]
+
+
+def first_receipts(receipts: DataFrame, out: str, state: str):
+    """First sent receipt per identity, however late a repeat comes: each micro-batch keeps what no earlier batch has
+    stored. A batch that is run again after a failure looks only at the batches before it and replaces itself."""
+    def one(batch: DataFrame, n: int) -> None:
+        sent = batch.where("status = 'sent'")
+        rest = [c for c in sent.columns if c not in (*IDENTITY, "ts")]
+        new = sent.groupBy(*IDENTITY).agg(F.min(F.struct("ts", *rest)).alias("_r")).select(*IDENTITY, "_r.*")
+        if n > 0:
+            before = batch.sparkSession.read.parquet(out).where(F.col("batch") < n)
+            new = new.join(before.select(*IDENTITY), IDENTITY, "left_anti")
+        new.write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+    return receipts.writeStream.foreachBatch(one).option("checkpointLocation", state).trigger(availableNow=True).start()
 
 
 def audit_new_projects(lines: DataFrame, checks: Callable[[DataFrame], DataFrame], out: str, state: str):
-    """Audit projects as their text arrives: each micro-batch runs the checks and appends its findings.
+    """Audit projects as their text arrives. The lines of a batch are stored; then every project that the batch touches
+    is audited whole, with all its stored lines. ``current_findings`` reads the result.
 
-    The batch number is part of the path, so a batch that is run again after a failure replaces itself.
+    The batch number is part of the paths, so a batch that is run again after a failure replaces itself.
     """
     def one(batch: DataFrame, n: int) -> None:
-        checks(batch).write.mode("overwrite").parquet(f"{out}/batch={n}")
+        spark, key = batch.sparkSession, "project_id"
+        batch.write.mode("overwrite").parquet(f"{out}/lines/batch={n}")
+        stored = spark.read.parquet(f"{out}/lines").where(F.col("batch") <= n)
+        touched = stored.where(F.col("batch") == n).select(key).distinct()
+        touched.write.mode("overwrite").parquet(f"{out}/audited/batch={n}")
+        checks(stored.drop("batch").join(touched, key, "left_semi")).write.mode("overwrite").parquet(f"{out}/findings/batch={n}")
 
     return lines.writeStream.foreachBatch(one).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
+def current_findings(spark: SparkSession, out: str) -> DataFrame:
+    """Findings of the last audit of each project."""
+    last = spark.read.parquet(f"{out}/audited").groupBy("project_id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{out}/findings").join(last, ["project_id", "batch"], "left_semi").drop("batch")
