@@ -184,7 +184,7 @@ def train(docs: DataFrame, max_grams: int = MAX_GRAMS) -> Broadcast:
         if kept + k > max_grams:
             break
         floor, kept = step, kept + k
-    rows = counts.filter(F.col("n") >= (1 << min(floor, 62))).orderBy("lang", "gram").toPandas()
+    rows = counts.filter(F.col("n") >= (1 << min(floor, 62))).orderBy("lang", "gram").toArrow().to_pandas()
     langs = sorted(rows["lang"].unique())
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"{len(langs)} languages; at most {MAX_LANGUAGES}")

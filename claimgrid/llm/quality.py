@@ -139,7 +139,7 @@ def classify(docs: DataFrame, labels: DataFrame, learn, calibrate) -> DataFrame:
     scale[scale < 1e-9] = 1
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.avg("quality").cast("double").alias("y"))
     labelled = written(described.join(known, "doc_id"), "quality-labelled")
-    cells = labelled.filter(learn).select("x", "y").mapInArrow(_equations(mean, scale), "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).toPandas()
+    cells = labelled.filter(learn).select("x", "y").mapInArrow(_equations(mean, scale), "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow().to_pandas()
     total = np.zeros((FEATURES + 1) * (FEATURES + 2))
     total[cells["cell"].to_numpy(np.int64)] = cells["value"]
     total = total.reshape(FEATURES + 1, FEATURES + 2)
@@ -150,7 +150,7 @@ def classify(docs: DataFrame, labels: DataFrame, learn, calibrate) -> DataFrame:
     weights = np.linalg.solve(total[:, :-1] + penalty, total[:, -1])
     none = np.zeros(0)
     raw = labelled.filter(calibrate).mapInArrow(_scored(mean, scale, weights, none, none), "doc_id long, score double").join(known, "doc_id")
-    bins = raw.groupBy(F.floor(F.col("score") * BINS).alias("bin")).agg(F.avg("score").alias("value"), F.count("*").alias("n"), F.sum("y").alias("ones")).orderBy("bin").toPandas()
+    bins = raw.groupBy(F.floor(F.col("score") * BINS).alias("bin")).agg(F.avg("score").alias("value"), F.count("*").alias("n"), F.sum("y").alias("ones")).orderBy("bin").toArrow().to_pandas()
     steps, levels = isotonic(bins["value"].to_numpy(float), bins["n"].to_numpy(float), bins["ones"].to_numpy(float)) if len(bins) else (none, none)
     return described.mapInArrow(_scored(mean, scale, weights, steps, levels), "doc_id long, score double")
 
