@@ -26,9 +26,9 @@ from claimgrid.llm import flat
 from claimgrid.llm.elias_fano import Level, Trie
 from claimgrid.llm.tables import LAST_ID, crc_part, keyed, plain_id, query, table, written
 
-MAX_KNOWN, MAX_VOCABULARY, MAX_GRAMS, DISCOUNT = 1 << 18, 1 << 16, 1 << 21, 0.6
+MAX_KNOWN, MAX_VOCABULARY, MAX_GRAMS, DISCOUNT = 1 << 18, 1 << 16, 1 << 20, 0.6
 START, END = np.uint64(0x5D588B656C078965), np.uint64(0x27BB2EE687B0B0FD)
-SLICE = 16 << 20
+SLICE = 4 << 20
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +58,7 @@ def _tally(grams_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable
                 found = np.unique(grams_of(*tokens(data, off)), return_counts=True)
                 held.append(found)
                 size += len(found[0])
-                if size > 4_000_000:
+                if size > 1_500_000:
                     names, counts = _sum(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
                     held, size = [], 0
                     yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(counts)], ["gram", "n"])
@@ -178,9 +178,8 @@ def bounded(counts: DataFrame, most: int, least: int = 1) -> DataFrame:
 
 
 def _collected(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    rows = counts.toPandas()
-    gram, n = rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
-    return gram, n
+    rows = counts.select("gram", "n").toArrow()
+    return rows["gram"].to_numpy(), rows["n"].to_numpy()
 
 
 def _rest(contexts: int, context: np.ndarray, kept: np.ndarray, total: np.ndarray) -> np.ndarray:
