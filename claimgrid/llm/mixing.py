@@ -16,14 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimgrid.llm.tables import DEAL, WORD_GAP, grouped, named, query, table, written
+from claimgrid.llm.tables import DEAL, grouped, named, query, table, written
 
 LEVELS = ["domain", "lang", "source"]
 PER_BUCKET, MOST_DIGITS = 512, 4
 
 
 def n_tokens() -> Column:
-    return F.size(F.array_remove(F.split(F.coalesce(F.col("text"), F.lit("")), WORD_GAP), "")).cast("bigint")
+    return F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("bigint")
 
 
 def share(children: DataFrame, parent: list[str]) -> DataFrame:
