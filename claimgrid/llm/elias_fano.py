@@ -81,6 +81,21 @@ def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code, (total / np.maximum(n, 1)).astype(np.float32)
 
 
+def packed(arrays: list[np.ndarray]) -> bytes:
+    head = np.array([len(arrays)] + [x for a in arrays for x in (ord(a.dtype.char), len(a))], np.int64)
+    return b"".join([head.tobytes(), *(a.tobytes() + b"\0" * (-a.nbytes % 8) for a in arrays)])
+
+
+def unpacked(view: bytes | mmap.mmap) -> list[np.ndarray]:
+    count = int(np.frombuffer(view, np.int64, 1)[0])
+    at, arrays = 8 + 16 * count, []
+    for kind, n in np.frombuffer(view, np.int64, 2 * count, 8).reshape(-1, 2).tolist():
+        a = np.frombuffer(view, np.dtype(chr(kind)), n, at)
+        arrays.append(a)
+        at += a.nbytes + -a.nbytes % 8
+    return arrays
+
+
 class Level:
     """Successors of contexts 0 .. n - 1, by context: pointers to the first of each, and the successors made monotone by
     adding, for each context, one more than the last value of the contexts before it."""
@@ -126,12 +141,7 @@ class Trie:
         self.levels = levels
 
     def dump(self) -> bytes:
-        arrays = [a for level in self.levels for a in level.arrays()]
-        head = np.array([len(arrays)] + [x for a in arrays for x in (ord(a.dtype.char), len(a))], np.int64)
-        parts = [head.tobytes()]
-        for a in arrays:
-            parts.append(a.tobytes() + b"\0" * (-a.nbytes % 8))
-        return b"".join(parts)
+        return packed([a for level in self.levels for a in level.arrays()])
 
     @staticmethod
     def load(data: bytes) -> "Trie":
@@ -140,15 +150,44 @@ class Trie:
             f.write(data)
             f.flush()
             view = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        count = int(np.frombuffer(view, np.int64, 1)[0])
-        head = np.frombuffer(view, np.int64, 2 * count, 8)
-        at, arrays = 8 + 16 * count, []
-        for kind, n in head.reshape(-1, 2).tolist():
-            a = np.frombuffer(view, np.dtype(chr(kind)), n, at)
-            arrays.append(a)
-            at += a.nbytes + -a.nbytes % 8
+        arrays = unpacked(view)
         levels = []
         for k in range(0, len(arrays), 16):
             made = [EliasFano(int(arrays[i][0]), int(arrays[i][1]), *arrays[i + 1: i + 4]) for i in range(k, k + 12, 4)]
             levels.append(Level(*made, *arrays[k + 12: k + 16]))
         return Trie(levels)
+
+
+class Part:
+    """The n-grams of one part of the hashed keys: a level whose contexts and successors are places in the part's own
+    ascending Elias-Fano sequences of hashes (63 bits), with a second code for each entry, what it leaves as a context."""
+
+    def __init__(self, contexts: EliasFano, words: EliasFano, level: Level):
+        self.contexts, self.words, self.level = contexts, words, level
+
+    @staticmethod
+    def build(context: np.ndarray, word: np.ndarray, prob: np.ndarray, rest: np.ndarray) -> "Part":
+        contexts, a = np.unique(context.view(np.uint64) >> np.uint64(1), return_inverse=True)
+        words, b = np.unique(word.view(np.uint64) >> np.uint64(1), return_inverse=True)
+        order = np.lexsort((b, a))
+        return Part(EliasFano.encode(contexts.astype(np.int64)), EliasFano.encode(words.astype(np.int64)), Level.build(len(contexts), a[order], b[order], prob[order], rest[order]))
+
+    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Entry of each pair of hashes, -1 if there is none."""
+        places = []
+        for held, hashes in ((self.contexts, context), (self.words, word)):
+            only, back = np.unique(hashes.view(np.uint64) >> np.uint64(1), return_inverse=True)
+            places.append(held.find(only.astype(np.int64))[back])
+        out = np.full(len(context), -1, np.int64)
+        ok = (places[0] >= 0) & (places[1] >= 0)
+        out[ok] = self.level.find(places[0][ok], places[1][ok])
+        return out
+
+    def dump(self) -> bytes:
+        return packed([*self.contexts.arrays(), *self.words.arrays(), *self.level.arrays()])
+
+    @staticmethod
+    def load(data: bytes) -> "Part":
+        arrays = unpacked(data)
+        made = [EliasFano(int(arrays[i][0]), int(arrays[i][1]), *arrays[i + 1: i + 4]) for i in range(0, 20, 4)]
+        return Part(made[0], made[1], Level(*made[2:], *arrays[20:24]))

@@ -1,13 +1,13 @@
-"""LM scoring with an Elias-Fano n-gram trie.
+"""LM scoring with Elias-Fano n-gram tries.
 
 Word counts come from all training texts. The most frequent words, at most ``MAX_KNOWN``, are sent to the executors
-with their counts; the other tokens of a text meet their counts in a join. The trie holds two- and three-grams of the
-``MAX_VOCABULARY`` most frequent words, counted in all training texts and kept above the smallest power of two that
-leaves at most ``MAX_GRAMS`` of an order; a three-gram is counted only where both of its two-grams are kept. Bounds are
-on the model alone; counts and scores cover everything.
+with their counts; the other tokens of a text meet their counts in a join. All two- and three-grams counted ``LEAST``
+times or more are kept, over all words and whatever the size of the input. They are dealt by a hash into parts of bounded
+size, each an Elias-Fano trie in the shared folder. Texts are scored in blocks of a few MB: the different n-grams of a
+block are sent to their parts, and what is found comes back to the block. Words and n-grams are named by 64-bit hashes.
 
 Smoothing is interpolated absolute discounting: p(w | c) = (n(c w) - D) / n(c) + rest(c) * p(w | shorter c) for what the
-trie holds and rest(c) * p(w | shorter c) otherwise, where rest(c) is what the kept successors leave. The shortest
+tries hold and rest(c) * p(w | shorter c) otherwise, where rest(c) is what the kept successors leave. The shortest
 context is the smoothed count p(w) = (n(w) + 0.5) / (N + 0.5 * (V + 1)), so every distribution sums to one but for
 the 8-bit quantisation.
 """
@@ -18,17 +18,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimgrid.llm import flat
-from claimgrid.llm.elias_fano import Level, Trie
-from claimgrid.llm.tables import LAST_ID, crc_part, keyed, plain_id, query, table, written
+from claimgrid.llm.elias_fano import Part
+from claimgrid.llm.tables import DEAL, crc_part, grouped, keyed, plain_id, query, table, written
 
-MAX_KNOWN, MAX_VOCABULARY, MAX_GRAMS, DISCOUNT = 1 << 18, 1 << 16, 1 << 20, 0.6
+MAX_KNOWN, LEAST, DISCOUNT = 1 << 18, 2, 0.6
 START, END = np.uint64(0x5D588B656C078965), np.uint64(0x27BB2EE687B0B0FD)
-SLICE = 4 << 20
+SLICE, BLOCK, PART_BYTES = 4 << 20, 2 << 20, 4 << 20
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,95 +77,168 @@ def _numbers(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == hashes, at, -1)
 
 
-def _pairs(model: dict, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each token its number and that of the token before it (the start before the first)."""
-    own = _numbers(model["vocabulary"], hashes)
-    before = np.append(-1, own[:-1])
-    before[first[:-1]] = model["start"]
-    return own, before
+def _joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The name of a context with one more word."""
+    return flat.mix(flat.mix(context) * np.uint64(flat.BASE) + word)
 
 
-def _two_grams(held: Broadcast) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    def run(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        own, before = _pairs(held.value, hashes, first)
-        ok = (own >= 0) & (before >= 0)
-        return before[ok] << 22 | own[ok]
+def _grams(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each token the one before it (the start before the first), the name of both, the context of two words, and
+    whether there is one (not before the first token)."""
+    before = np.append(START, hashes[:-1])
+    before[first[:-1]] = START
+    two = _joined(before, hashes)
+    context = np.append(START, two[:-1])
+    has = np.ones(len(hashes), bool)
+    has[first[:-1]] = False
+    return before, two, context, has
 
-    return run
+
+def _tally_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two- and three-grams with the name of their last two words, summed within the task, some slices at a time."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def summed() -> tuple[np.ndarray, ...]:
+        name, context, word, last, three, n = (np.concatenate(x) for x in zip(*held))
+        _, at, back = np.unique(name, return_index=True, return_inverse=True)
+        return name[at], context[at], word[at], last[at], three[at], np.bincount(back, n, len(at)).astype(np.int64)
+
+    def out() -> pa.RecordBatch:
+        _, context, word, last, three, n = summed()
+        return pa.RecordBatch.from_arrays([pa.array(context.view(np.int64)), pa.array(word.view(np.int64)), pa.array(last.view(np.int64)), pa.array(three), pa.array(n)], ["context", "word", "last", "three", "n"])
+
+    size = 0
+    for batch in batches:
+        for _, data, off in flat.slices(batch, limit=SLICE):
+            hashes, first = tokens(data, off)
+            before, two, context, has = _grams(hashes, first)
+            names = np.concatenate([two, _joined(context[has], hashes[has])])
+            name, at, n = np.unique(names, return_index=True, return_counts=True)
+            held.append((name, np.concatenate([before, context[has]])[at], np.concatenate([hashes, hashes[has]])[at], np.concatenate([two, two[has]])[at], at >= len(two), n))
+            size += len(name)
+            if size > 1_500_000:
+                yield out()
+                held, size = [], 0
+    if held:
+        yield out()
 
 
-def _entries(model: dict, trie: Trie, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """own, before, the two-gram entry of each token, that of the token before it, and the place of the own entry among
-    the successors of its context."""
-    own, before = _pairs(model, hashes, first)
-    two = np.full(len(own), -1, np.int64)
-    ok = np.flatnonzero((own >= 0) & (before >= 0))
-    two[ok] = trie.levels[0].find(before[ok], own[ok])
-    context = np.append(-1, two[:-1])
-    context[first[:-1]] = -1
-    place = np.full(len(own), -1, np.int64)
-    ok = np.flatnonzero((two >= 0) & (context >= 0))
-    place[ok] = two[ok] - trie.levels[0].first(before[ok])
-    return own, before, two, context, place
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with the number of their block: consecutive texts of about BLOCK bytes."""
+    block, size = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        for rows, data, _ in flat.slices(batch, limit=BLOCK):
+            if size and size + len(data) > BLOCK:
+                block, size = block + 1, 0
+            size += len(data)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(np.full(rows.num_rows, block))], ["doc_id", "key", "text", "block"])
 
 
-def _trie(model: dict) -> Trie:
-    if "mapped" not in model:
-        model["mapped"] = Trie.load(model["trie"])  # once for each worker
-    return model["mapped"]
+def _part(names: np.ndarray, parts: int) -> np.ndarray:
+    return ((names >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
 
 
-def _three_grams(held: Broadcast) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    def run(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        _, _, _, context, place = _entries(held.value, _trie(held.value), hashes, first)
-        ok = place >= 0
-        return context[ok] << 22 | place[ok]
+def _wanted(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The different contexts and n-grams of each block, a row for each part that is asked for some."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+            for low, high in zip(cuts, np.append(cuts[1:], len(block))):
+                for _, data, off in flat.slices(batch.slice(low, high - low), limit=SLICE):
+                    hashes, first = tokens(data, off)
+                    before, two, context, has = _grams(hashes, first)
+                    alone = np.unique(before)
+                    contexts, words = np.concatenate([alone, before, context[has]]), np.concatenate([np.zeros(len(alone), np.uint64), hashes, hashes[has]])
+                    names, at = np.unique(_joined(contexts, words), return_index=True)
+                    part = _part(names, parts)
+                    at = at[np.argsort(part, kind="stable")]
+                    only, starts = np.unique(np.sort(part), return_index=True)
+                    pieces = list(zip(starts.tolist(), np.append(starts[1:], len(at)).tolist()))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(only), pa.array(np.full(len(only), block[low])), pa.array([contexts[at[a:b]].tobytes() for a, b in pieces]), pa.array([words[at[a:b]].tobytes() for a, b in pieces])],
+                        ["part", "block", "contexts", "words"])
 
     return run
 
 
-def _score(held: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _named_parts(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        trie = _trie(model)
         for batch in batches:
+            context, word = (batch.column(c).to_numpy().view(np.uint64) for c in ("context", "word"))
+            yield pa.RecordBatch.from_arrays([pa.array(_part(_joined(context, word), parts)), *batch.columns], ["part", *batch.schema.names])
+
+    return run
+
+
+def _build(rows: pa.Table) -> pa.Table:
+    made = Part.build(*(rows[c].to_numpy() for c in ("context", "word", "prob", "rest")))
+    return pa.table({"part": rows["part"][:1], "trie": pa.array([made.dump()], pa.binary())})
+
+
+def _answer(asked: pa.Table, tries: pa.Table) -> pa.Table:
+    """For each block what the trie of the part holds of it: names, probabilities and rests."""
+    out: list[list] = [[], [], [], []]
+    if asked.num_rows and tries.num_rows:
+        trie = Part.load(tries["trie"][0].as_py())
+        level = trie.level
+        contexts, words = ([np.frombuffer(x, np.uint64) for x in asked[c].to_pylist()] for c in ("contexts", "words"))
+        all_contexts, all_words = np.concatenate(contexts), np.concatenate(words)
+        found = trie.find(all_contexts, all_words)
+        low = 0
+        for block, piece in zip(asked["block"].to_pylist(), contexts):
+            at = low + np.flatnonzero(found[low: low + len(piece)] >= 0)
+            low += len(piece)
+            if len(at):
+                entry = found[at]
+                for to, value in zip(out, (block, _joined(all_contexts[at], all_words[at]).tobytes(), level.probs[level.prob[entry]].tobytes(), level.rests[level.rest[entry]].tobytes())):
+                    to.append(value)
+    return pa.table([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])], ["block", "names", "probs", "rests"])
+
+
+def _score(held: Broadcast) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        model = held.value
+        joined = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in found[c].to_pylist())])
+        names, at = np.unique(joined("names", np.uint64), return_index=True)
+        probs, rests = (np.append(joined(c, np.float32)[at], 0).astype(float) for c in ("probs", "rests"))
+        made = []
+        for batch in texts.combine_chunks().to_batches():
             for rows, data, off in flat.slices(batch, limit=SLICE):
                 hashes, first = tokens(data, off)
                 known = _numbers(model["known"], hashes)
                 plain = np.where(known >= 0, model["known_log"][known] if len(model["known"]) else 0.0, 0.0)
-                own, before, two, context, place = _entries(model, trie, hashes, first)
-                more = np.zeros(len(hashes))
-                three = np.full(len(hashes), -1, np.int64)
-                ok = np.flatnonzero(place >= 0)
-                if len(trie.levels) > 1 and len(ok):
-                    three[ok] = trie.levels[1].find(context[ok], place[ok])
-                level2 = trie.levels[0]
-                if len(trie.levels) > 1:
-                    level3 = trie.levels[1]
-                    rest = np.flatnonzero((context >= 0) & (three < 0))
-                    more[rest] += level3.rests[level3.rest[context[rest]]]
-                    hit = np.flatnonzero(three >= 0)
-                    more[hit] += level3.probs[level3.prob[three[hit]]] - plain[hit]
-                hit = np.flatnonzero((three < 0) & (two >= 0))
-                more[hit] += level2.probs[level2.prob[two[hit]]] - plain[hit]
-                rest = np.flatnonzero((two < 0) & (before >= 0))
-                more[rest] += level2.rests[level2.rest[before[rest]]]
+                before, name, context, has = _grams(hashes, first)
+                two = _numbers(names, name)
+                alone = _numbers(names, _joined(before, np.zeros(len(before), np.uint64)))
+                three = np.where(has, _numbers(names, _joined(context, hashes)), -1)
+                above = np.append(-1, two[:-1])
+                above[first[:-1]] = -1  # -1 stands for the last place, which holds 0
+                hit = (three >= 0) | (two >= 0)
+                more = np.where(three >= 0, probs[three], rests[above] + np.where(two >= 0, probs[two], rests[alone])) - hit * plain
                 tail = np.flatnonzero(known < 0)
                 doc = flat.doc_of(first, tail)
                 order = np.lexsort((hashes[tail], doc))
                 tail, doc = tail[order], doc[order]
                 new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (hashes[tail][1:] != hashes[tail][:-1]))[: len(tail)])
                 sizes = np.diff(np.append(new, len(tail)))
+                hits = np.diff(np.append(0, np.cumsum(hit[tail]))[np.append(new, len(tail))])
                 cuts = np.searchsorted(doc[new], np.arange(rows.num_rows + 1)).astype(np.int32)
                 sums = lambda v: np.add.reduceat(v, first[:-1])  # noqa: E731  every text has a token
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), pa.array(np.diff(first)), pa.array(sums((known >= 0).astype(np.int64))), pa.array(sums(plain)), pa.array(sums(more)),
-                     pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([pa.array(hashes[tail[new]].view(np.int64)), pa.array(sizes)], ["gram", "times"]))],
-                    ["doc_id", "key", "n_tokens", "n_known", "base", "more", "tail"])
+                made.append(pa.RecordBatch.from_arrays(
+                    [rows.column("doc_id"), rows.column("key"), pa.array(np.diff(first)), pa.array(sums((known >= 0).astype(np.int64))), pa.array(sums(plain)), pa.array(sums(more)),
+                     pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([pa.array(hashes[tail[new]].view(np.int64)), pa.array(sizes), pa.array(hits)], ["gram", "times", "hits"]))],
+                    ["doc_id", "key", "n_tokens", "n_known", "base", "more", "tail"]))
+        return pa.Table.from_batches(made, None if made else SCORED_ARROW)
 
     return run
 
 
+SCORED = "doc_id long, key long, n_tokens long, n_known long, base double, more double, tail array<struct<gram:bigint,times:bigint,hits:bigint>>"
+SCORED_ARROW = pa.schema([*((c, pa.int64()) for c in ("doc_id", "key", "n_tokens", "n_known")), ("base", pa.float64()), ("more", pa.float64()), ("tail", pa.list_(pa.struct([(c, pa.int64()) for c in ("gram", "times", "hits")])))])
+
+
 def bounded(counts: DataFrame, most: int, least: int = 1) -> DataFrame:
     """The counts above the smallest power of two, ``least`` at least, that leaves at most ``most`` of them."""
     steps = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("step")).agg(F.count("*").alias("k")).collect()  # at most 64 rows
@@ -182,15 +255,30 @@ def _collected(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows["gram"].to_numpy(), rows["n"].to_numpy()
 
 
-def _rest(contexts: int, context: np.ndarray, kept: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """What the kept successors of each context leave."""
-    taken = np.bincount(context, kept - DISCOUNT, contexts)
-    return (np.maximum(total, 1) - taken) / np.maximum(total, 1)
-
-
-def train(texts: DataFrame) -> tuple[DataFrame, dict]:
-    """Counts of all words, and the bounded model for the executors. ``texts``: doc_id, key, text."""
-    context = texts.sparkSession.sparkContext
+def _entries(texts: DataFrame, counts: DataFrame, total: int, types: int, documents: int) -> DataFrame:
+    """context, word, prob, rest: for each kept n-gram log10 of its probability and of what its own kept successors leave.
+    For each word as a context a row with the word 0."""
+    grams = texts.mapInArrow(_tally_grams, "context long, word long, last long, three boolean, n long").groupBy("context", "word", "three").agg(F.sum("n").alias("n"), F.first("last").alias("last"))
+    grams = written(grams.filter(F.col("n") >= LEAST), "lm-grams")
+    two, three = grams.filter("not three").drop("three"), grams.filter("three").drop("three")
+    start = int(np.array([START]).view(np.int64)[0])
+    whole = counts.unionByName(texts.sparkSession.createDataFrame([(start, documents)], "gram long, n long"))
+    left = lambda: F.log10((F.col("of") - F.coalesce("taken", F.lit(0.0))) / F.col("of"))
+    taken = lambda df: grouped(df, "context").agg(F.sum(F.col("n") - DISCOUNT).alias("taken")).drop(DEAL)
+    first = written(taken(two).join(whole.select(F.col("gram").alias("context"), F.col("n").alias("of")), "context").select("context", "of", left().alias("rest")), "lm-contexts")
+    one = F.log10((F.col("of_word") + 0.5) / F.lit(total + 0.5 * (types + 1)))
+    second = (two.join(first.withColumnRenamed("rest", "above"), "context").join(counts.select(F.col("gram").alias("word"), F.col("n").alias("of_word")), "word")
+              .select("context", "word", "last", F.col("n").alias("of"), ((F.col("n") - DISCOUNT) / F.col("of") + F.pow(F.lit(10.0), F.col("above") + one)).alias("prob")))
+    second = second.join(taken(three).withColumnRenamed("context", "last"), "last", "left").select("context", "word", "last", "of", "prob", left().alias("rest"))
+    second = written(second, "lm-two")
+    third = (three.join(second.select(F.col("last").alias("context"), "of", "rest"), "context").join(second.select("last", "prob"), "last")
+             .select("context", "word", F.log10((F.col("n") - DISCOUNT) / F.col("of") + F.pow(F.lit(10.0), "rest") * F.col("prob")).alias("prob"), F.lit(0.0).alias("rest")))
+    return (first.select("context", F.lit(0).cast("long").alias("word"), F.lit(0.0).alias("prob"), "rest")
+            .unionByName(second.select("context", "word", F.log10("prob").alias("prob"), "rest")).unionByName(third))
+
+
+def train(texts: DataFrame, parts: int) -> tuple[DataFrame, dict, DataFrame]:
+    """Counts of all words, the bounded list of known words for the executors, and the tries. ``texts``: doc_id, key, text."""
     counts = written(texts.mapInArrow(_tally(lambda hashes, first: hashes), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "lm-words")
     end = int(np.array([END]).view(np.int64)[0])
     sums = counts.agg(F.sum("n").alias("tokens"), F.count("*").alias("types"), F.sum(F.when(F.col("gram") == end, F.col("n"))).alias("ends")).first()
@@ -199,31 +287,9 @@ def train(texts: DataFrame) -> tuple[DataFrame, dict]:
     order = np.argsort(known.view(np.uint64))
     known, n = known.view(np.uint64)[order], n[order]
     log = np.log10((n + 0.5) / (total + 0.5 * (types + 1)))
-    top = np.sort(np.argsort(-n, kind="stable")[: MAX_VOCABULARY - 2])
-    words, word_n = np.append(known[top], START), np.append(n[top], documents)
-    order = np.argsort(words)
-    vocabulary, word_n = words[order], word_n[order]
-    model = {"known": known, "known_log": log, "vocabulary": vocabulary, "start": int(np.searchsorted(vocabulary, START)), "total": total, "types": types}
-    plain = 10.0 ** np.append(log[top], -np.inf)[order]
-    two = texts.mapInArrow(_tally(_two_grams(context.broadcast(model))), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    gram, n = _collected(bounded(written(two, "lm-two"), MAX_GRAMS, 2))
-    order = np.argsort(gram)
-    gram, two_n = gram[order], n[order].astype(float)
-    before, own = gram >> 22, gram & ((1 << 22) - 1)
-    rest2 = _rest(len(vocabulary), before, two_n, word_n)
-    prob2 = (two_n - DISCOUNT) / word_n[before] + rest2[before] * plain[own]
-    level2 = Level.build(len(vocabulary), before, own, np.log10(prob2), np.log10(rest2))
-    model["trie"] = Trie([level2]).dump()
-    three = texts.mapInArrow(_tally(_three_grams(context.broadcast(dict(model)))), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    gram3, n = _collected(bounded(written(three, "lm-three"), MAX_GRAMS, 2))
-    order = np.argsort(gram3)
-    gram3, three_n = gram3[order], n[order].astype(float)
-    above, place = gram3 >> 22, gram3 & ((1 << 22) - 1)
-    rest3 = _rest(len(gram), above, three_n, two_n)
-    shorter = np.searchsorted(before, own[above]) + place  # the two-gram of the last two words
-    prob3 = (three_n - DISCOUNT) / two_n[above] + rest3[above] * prob2[shorter]
-    model["trie"] = Trie([level2, Level.build(len(gram), above, place, np.log10(prob3), np.log10(rest3))]).dump()
-    return counts, model
+    entries = _entries(texts, counts, total, types, documents)
+    tries = entries.mapInArrow(_named_parts(parts), "part int, context long, word long, prob double, rest double").groupBy("part").applyInArrow(_build, "part int, trie binary")
+    return counts, {"known": known, "known_log": log, "total": total, "types": types}, written(tries, "lm-tries")
 
 
 def score(docs: DataFrame, learn: Column) -> DataFrame:
@@ -232,16 +298,21 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     A null text is empty and has one token, its end. Repeated rows are each scored, and each learnt from. Without
     training rows N and V are 0 and every token has the same probability of one. Result rows keep repeated rows."""
     texts = docs.select(F.col("doc_id"), F.col("text"))
-    counts, model = train(keyed(texts.filter(learn)))
+    blocks = written(keyed(texts).mapInArrow(_blocks, "doc_id long, key long, text string, block long"), "lm-blocks")
+    parts = 1 + int(blocks.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES
+    counts, model, tries = train(keyed(texts.filter(learn)), parts)
     total, slots = model["total"], model["total"] + 0.5 * (model["types"] + 1)
-    scored = written(keyed(texts).mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, key long, n_tokens long, n_known long, base double, more double, tail array<struct<gram:bigint,times:bigint>>"), "lm-scored")
-    tail = scored.select("doc_id", "key", F.explode("tail").alias("t")).select("doc_id", "key", "t.gram", "t.times").dropDuplicates(["doc_id", "key", "gram"])
+    asked = blocks.mapInArrow(_wanted(parts), "part int, block long, contexts binary, words binary")
+    found = asked.groupBy("part").cogroup(tries.groupBy("part")).applyInArrow(_answer, "block long, names binary, probs binary, rests binary")
+    scored = written(blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), SCORED), "lm-scored")
+    tail = scored.select("doc_id", "key", F.explode("tail").alias("t")).select("doc_id", "key", "t.gram", "t.times", "t.hits").dropDuplicates(["doc_id", "key", "gram"])
     least = F.lit(0.0) + F.log10(F.lit(0.5 / slots))
+    plain = F.coalesce(F.log10((F.col("n") + 0.5) / F.lit(slots)), least)
     rare = tail.join(counts, "gram", "left").groupBy("doc_id", "key").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * F.coalesce(F.log10((F.col("n") + 0.5) / F.lit(slots)), least)).alias("rare"))
+        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * plain).alias("rare"), F.sum(F.col("hits") * plain).alias("back"))
     base = F.col("base") + F.coalesce("rare", F.lit(0.0))
     return scored.drop("tail").join(rare, ["doc_id", "key"], "left").select(
-        plain_id(), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("more")).alias("score"))
+        plain_id(), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("more") - F.coalesce("back", F.lit(0.0))).alias("score"))
 
 
 @query("op3_lm_scoring")

@@ -91,6 +91,19 @@ def test_language_model(spark, monkeypatch, known):
             assert r.score == pytest.approx(score, abs=0.02 * n + 0.02)  # 8-bit codes
 
 
+def test_language_model_keeps_rare_words(spark, monkeypatch):
+    """N-grams of words outside the known ones are scored like all others, over several blocks and parts."""
+    for name, value in (("MAX_KNOWN", 8), ("BLOCK", 200), ("PART_BYTES", 500)):
+        monkeypatch.setattr(ngram_lm, name, value)
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice(["a b c", "d e", "f", f"rare{i // 6} after{i // 6} all"]) for _ in range(rng.randrange(0, 12)))) for i in range(60)]
+    got = {r.doc_id: r for r in ngram_lm.score(frame(spark, rows), F.col("doc_id") % 3 != 1).collect()}
+    for i, n, k, total, base, score in naive_scores(rows, lambda i: i % 3 != 1):
+        assert (got[i].n_tokens, got[i].n_known) == (n, k)
+        assert got[i].base_score == pytest.approx(base, abs=1e-6)
+        assert got[i].score == pytest.approx(score, abs=0.02 * n + 0.02)
+
+
 def test_language_model_without_rows(spark):
     assert ngram_lm.score(frame(spark, []), F.lit(True)).count() == 0
     got = ngram_lm.score(frame(spark, [(1, "a b")]), F.lit(False)).first()
