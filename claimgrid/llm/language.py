@@ -6,8 +6,8 @@ escape -log2(d / (t + d)) and is looked up in the context without its oldest byt
 bytes are equally likely. Contexts that were never seen cost nothing. Statistics are frozen after training, so the
 code length of a text is an exact sum, and the language with the shortest code is predicted.
 
-Counting combines within a task before the shuffle. The tree is bounded: counts of four-byte strings are kept above
-the smallest power of two that leaves at most ``max_grams`` of them, and all shorter contexts are sums of these.
+Counting combines within a task before the shuffle. All four-byte strings of all languages are kept, whatever their
+counts, and all shorter contexts are sums of these; the tree grows with the different strings, not with the texts.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 from claimgrid.llm import flat
 from claimgrid.llm.tables import crc_part, query, table, written
 
-MAX_GRAMS = 1 << 17
 MAX_LANGUAGES = 256
 
 
@@ -96,15 +96,14 @@ class Trees:
             self.costs.append(np.where(count > 0, own, escape[at] + shorter).astype(np.float32))
             self.escapes.append((context, escape.astype(np.float32)))
         self.first = np.append(self.escapes[0][1][0] + np.float32(8.0), 0).astype(np.float32)[:k]
-        # strings of one and two bytes and contexts of three are found directly, strings of four through their first three
+        # strings of one and two bytes and contexts of three are found directly, strings of four among all in order
         self.two = self._dense(strings[1], s * s)
         self.three = self._dense(strings[2], s ** 3)
         self.context3 = self._dense(self.escapes[3][0], s ** 3)
         self.context2 = self._dense(self.escapes[2][0], s * s)
         self.context1 = self._dense(self.escapes[1][0], s)
         self.one = self._dense(strings[0], s)
-        self.four = np.full(len(self.escapes[3][0]) * s, -1, np.int32)
-        self.four[self.context3[strings[3] // s].astype(np.int64) * s + strings[3] % s] = np.arange(len(strings[3]))
+        self.four = strings[3]
 
     @staticmethod
     def _dense(names: np.ndarray, size: int) -> np.ndarray:
@@ -117,7 +116,9 @@ class Trees:
         s = self.symbols
         a, b, c, d = (self.code[(grams >> shift) & 255] for shift in (24, 16, 8, 0))
         before = self.context3[(a * s + b) * s + c]
-        at = np.where(before >= 0, self.four[np.maximum(before, 0).astype(np.int64) * s + d], -1)
+        name = ((a * s + b) * s + c) * s + d
+        at = np.minimum(np.searchsorted(self.four, name), len(self.four) - 1)
+        at = np.where(self.four[at] == name, at, -1)
         out = self.costs[3][np.maximum(at, 0)]
         rest = np.flatnonzero(at < 0)
         if len(rest):
@@ -171,25 +172,19 @@ def _predict(model: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
-def train(docs: DataFrame, max_grams: int = MAX_GRAMS) -> Broadcast:
-    """Counts of four-byte strings by language, at most ``max_grams`` of them, as a broadcast variable.
-
-    Rows without text or lang teach nothing."""
+def train(docs: DataFrame) -> Broadcast:
+    """Counts of four-byte strings by language as a broadcast variable. Rows without text or lang teach nothing, nor does
+    an empty text."""
     counts = (docs.filter("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
               .mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    counts = written(counts, "language-counts")
-    steps = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("step")).agg(F.count("*").alias("k")).collect()  # at most 64 rows
-    floor, kept = 64, 0
-    for step, k in sorted(((r.step, r.k) for r in steps), reverse=True):
-        if kept + k > max_grams:
-            break
-        floor, kept = step, kept + k
-    rows = counts.filter(F.col("n") >= (1 << min(floor, 62))).orderBy("lang", "gram").toArrow().to_pandas()
-    langs = sorted(rows["lang"].unique())
+    rows = written(counts, "language-counts").orderBy("lang", "gram").toArrow()
+    named = pc.dictionary_encode(rows["lang"]).unify_dictionaries().combine_chunks()
+    names = named.dictionary.to_pylist()
+    langs = sorted(names)
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"{len(langs)} languages; at most {MAX_LANGUAGES}")
-    where = {x: i for i, x in enumerate(langs)}
-    model = {"langs": langs, "lang": rows["lang"].map(where).to_numpy(np.int64), "gram": rows["gram"].to_numpy(np.int64), "n": rows["n"].to_numpy(np.float64)}
+    place = np.array([langs.index(x) for x in names], np.int64)
+    model = {"langs": langs, "lang": place[named.indices.to_numpy()], "gram": rows["gram"].to_numpy(), "n": rows["n"].to_numpy().astype(float)}
     return docs.sparkSession.sparkContext.broadcast(model)
 
 

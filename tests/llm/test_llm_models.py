@@ -161,6 +161,22 @@ def test_language_id(spark):
     assert len(none) == len(rows) and {r.lang_pred for r in none} == {"und"}
 
 
+def test_language_id_of_a_rare_language(spark):
+    """A language with so many different strings that one floor for all would drop every count of the small one."""
+    rng = np.random.default_rng(4)
+    hot = [(i, bytes(rng.choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxy     ", np.uint8), 40_000)).decode(), "hot") for i in range(60)]
+    rare = [(100 + i, f"ein zwei drei vier {i}", "rare") for i in range(2)]
+    docs = spark.createDataFrame(hot + rare, "doc_id long, text string, lang string")
+    learned = language.train(docs)
+    assert learned.value["langs"] == ["hot", "rare"]
+    want = Counter((lang, ("\n\n\n" + t)[k: k + 4]) for _, t, lang in hot + rare for k in range(len(t)))
+    got = learned.value
+    assert len(want) == len(got["n"]) > 1 << 17
+    assert {(got["langs"][x], int(g).to_bytes(4, "big").decode()): n for x, g, n in zip(got["lang"], got["gram"], got["n"])} == want
+    asked = spark.createDataFrame([(1, "drei vier zwei"), (2, hot[0][1][:300])], "doc_id long, text string")
+    assert {r.row.doc_id: r.lang_pred for r in language.identify(asked, learned).collect()} == {1: "rare", 2: "hot"}
+
+
 def naive_align(a, b):
     h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(1, len(a) + 1):
