@@ -1,10 +1,10 @@
 """Substring dedup by level-wise doubling.
 
-Level one looks at windows of half the length. Of the half-length windows inside each full window only the one with
-the smallest hash speaks for it; equal full windows have equal speakers, so a full window can only repeat where its
-speaker does. The speakers found in one document alone are dropped. Level two extends the survivors to the full
-length, counts these, and what repeats is removed. Each further level doubles the length and looks only at windows
-that were found twice on the level before; it ends when none is left.
+The loop starts at a quarter of the length, and each level doubles the length. Of the windows of one level inside each
+window of the next only the one with the smallest hash speaks for it; equal windows have equal speakers, so a window can
+only repeat where its speaker does. Speakers found in one document alone are dropped, and a level looks only at windows
+whose speaker repeats. All documents that hold a repeated window go on, the smallest too. Windows of the full length are
+counted, and what repeats is removed; ``longest_repeats`` goes on doubling until none is left.
 
 Documents with the same word sequence are one document to both levels, under the smallest id.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from claimgrid.llm import flat
 from claimgrid.llm.tables import DEAL, grouped, keyed, plain_id, query, table, written
 
-SECOND = np.uint64(0xA0761D6478BD642F)
+SECOND, NONE = np.uint64(0xA0761D6478BD642F), np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _sequence(data: np.ndarray, off: np.ndarray):
@@ -66,6 +66,30 @@ def _survey(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
+def _speaking(length: int, longer: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The windows of ``length`` that speak for windows of the ``longer`` size and whose own speaker is in the document's list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, off in flat.slices(batch):
+                hashes, first, p1, _ = _sequence(data, off)
+                held = rows.column("speakers").flatten().to_numpy().view(np.uint64)
+                at = np.arange(max(0, len(hashes) - length + 1))
+                own = flat.stretch_hash(p1, at, at + length, flat.BASE)
+                alive = np.isin(_speakers(p1, len(hashes), length), held)
+                low = flat.window_min(np.where(alive, own, NONE), longer - length + 1)  # a window whose speaker was dropped can't repeat
+                whole = _speakers(p1, len(hashes), longer)
+                at = np.flatnonzero(flat.inside(first, len(hashes), longer))
+                at = at[low[at] == whole[at]]
+                doc, value = flat.doc_of(first, at), whole[at]
+                new = np.ones(len(at), bool)
+                new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
+                doc = doc[new]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(doc)), rows.column("key").take(pa.array(doc)), pa.array(value[new].view(np.int64))], ["doc_id", "key", "speaker"])
+
+    return run
+
+
 def _extended(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Windows of full length whose speaker is in the document's list of repeated speakers."""
 
@@ -111,15 +135,24 @@ def survey(docs: DataFrame, length: int) -> DataFrame:
     return keyed(docs).mapInArrow(_survey(length), "doc_id long, key long, n_words long, h1 long, h2 long, sha string, speakers array<long>")
 
 
-def repeated_windows(docs: DataFrame, candidates: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """Texts of the candidate documents, and all their windows of ``length`` that also start in a smaller document."""
-    owners = grouped(candidates, "speaker").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("speaker")
-    lists = candidates.join(owners, "speaker").groupBy("doc_id", "key").agg(F.collect_set("speaker").alias("speakers"))
-    lists = written(lists, "substring-lists").filter("size(speakers) > 0")
-    texts = written(keyed(docs).join(lists.hint("shuffle_hash"), ["doc_id", "key"]), "substring-texts")
-    windows = texts.mapInArrow(_extended(length), "doc_id long, key long, at int, h1 long, h2 long")
+def repeated_windows(texts: DataFrame, speakers: DataFrame, sizes: list[int]) -> tuple[DataFrame, DataFrame]:
+    """Texts of the candidates, and all their windows of the last size that start in two documents, with the smallest of
+    these as ``lo``. Each size is twice the one before (less one where the next is odd); ``speakers`` are half the first."""
+    for size in sizes:
+        owners = grouped(speakers, "speaker").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("speaker")
+        lists = speakers.join(owners, "speaker").groupBy("doc_id", "key").agg(F.collect_set("speaker").alias("speakers"))
+        lists = written(lists, "substring-lists").filter("size(speakers) > 0")
+        texts = written(texts.select("doc_id", "key", "text").join(lists.hint("shuffle_hash"), ["doc_id", "key"]), "substring-texts")
+        if size != sizes[-1]:
+            speakers = written(texts.mapInArrow(_speaking(size, sizes[sizes.index(size) + 1]), "doc_id long, key long, speaker long"), "substring-speakers")
+    windows = texts.mapInArrow(_extended(sizes[-1]), "doc_id long, key long, at int, h1 long, h2 long")
     lowest = grouped(windows, "h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h1", "h2", "lo")
-    return texts, windows.join(lowest, ["h1", "h2"]).filter("doc_id > lo").select("doc_id", "key", "at", "h1", "h2")
+    return texts, windows.join(lowest, ["h1", "h2"]).select("doc_id", "key", "at", "h1", "h2", "lo")
+
+
+def doubled(length: int) -> list[int]:
+    """The levels up to ``length``."""
+    return [(length + 1) // 2, length] if length > 1 else [length]
 
 
 def dedup(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -130,12 +163,13 @@ def dedup(docs: DataFrame, length: int = 50) -> DataFrame:
     others; such documents are never "smaller" than each other. Repeated rows each get the same result row.
     Memory: one slice of a few MB and the longest document; no group is ever gathered.
     """
-    seen = written(survey(docs, length), "substring-survey")
+    sizes = doubled(length)
+    seen = written(survey(docs, sizes[0]), "substring-survey")
     classes = grouped(seen, "h1", "h2", "n_words").agg(F.min("doc_id").alias("head")).drop(DEAL)
     seen_in = seen.join(classes, ["h1", "h2", "n_words"])
     candidates = seen_in.filter("doc_id = head").select("doc_id", "key", F.explode("speakers").alias("speaker"))
-    texts, found = repeated_windows(docs, candidates, length)
-    spans = found.groupBy("doc_id", "key").agg(F.collect_set("at").alias("found"))
+    texts, found = repeated_windows(keyed(docs), candidates, sizes)
+    spans = found.filter("doc_id > lo").groupBy("doc_id", "key").agg(F.collect_set("at").alias("found"))
     cut = (texts.select("doc_id", "key", "text").join(spans.hint("shuffle_hash"), ["doc_id", "key"])
            .mapInArrow(_cut(length), "doc_id long, key long, n_removed long, cut_sha string").dropDuplicates(["doc_id", "key"]))
     copy = (F.col("doc_id") > F.col("head")) & (F.col("n_words") >= length)
@@ -151,15 +185,16 @@ def longest_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     Output: doc_id, length, n_windows (windows of that length that also start in a smaller document). The loop tests
     only whether a level is empty; the number of levels is the logarithm of the longest repeat.
     """
-    out, size = None, length
+    out, sizes = None, doubled(length)
+    texts, speakers = keyed(docs), survey(docs, sizes[0]).select("doc_id", "key", F.explode("speakers").alias("speaker"))
     while True:
-        speakers = survey(docs, size).select("doc_id", "key", F.explode("speakers").alias("speaker"))
-        found = written(repeated_windows(docs, speakers, size)[1].groupBy("doc_id").agg(F.count("*").alias("n_windows")), "substring-level")
-        level = found.select(plain_id(), F.lit(size).alias("length"), "n_windows")
+        texts, found = repeated_windows(texts.dropDuplicates(["doc_id", "key"]), speakers, sizes)
+        found = written(found, "substring-level")
+        level = found.filter("doc_id > lo").groupBy("doc_id").agg(F.countDistinct("key", "at").alias("n_windows")).select(plain_id(), F.lit(sizes[-1]).alias("length"), "n_windows")
         out = level if out is None else out.unionByName(level)
         if found.isEmpty():
             return out
-        docs, size = docs.join(found.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").unionByName(docs.limit(0)), size * 2
+        speakers, sizes = found.select("doc_id", "key", F.col("h1").alias("speaker")).distinct(), [2 * sizes[-1]]
 
 
 @query("op1_substring_dedup", r"""

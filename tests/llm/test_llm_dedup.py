@@ -59,6 +59,26 @@ def test_longest_repeats(spark):
     assert {r.length for r in found} >= {6, 12}
 
 
+def test_every_level_of_repeats(spark):
+    """A passage in exactly two documents, one in three and one that ends in a document without id, level by level."""
+    rng = random.Random(12)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    two, three, last = line(100), line(45), line(30)
+    rows = [(1, f"{line(5)} {two}"), (2, f"{two} {line(7)}"), (3, f"{three} {last}"), (4, f"x {three}"), (5, f"{three} y"), (None, f"{last} z"), (6, line(60))]
+    want = {}
+    for length in (6, 12, 24, 48, 96):
+        lowest = {}
+        grams = [(order(i), tuple(t.split()[k: k + length])) for i, t in rows for k in range(len(t.split()) - length + 1)]
+        for i, g in grams:
+            lowest[g] = min(i, lowest.get(g, i))
+        for i, g in grams:
+            if lowest[g] < i:
+                at = (None if i == order(None) else i, length)
+                want[at] = want.get(at, 0) + 1
+    got = {(r.doc_id, r.length): r.n_windows for r in substring.longest_repeats(frame(spark, rows), 6).collect()}
+    assert got == want and (2, 96) in got and (5, 24) in got and (None, 24) in got
+
+
 @pytest.mark.parametrize("crowd", [256, 3])
 def test_suffix(spark, monkeypatch, crowd):
     monkeypatch.setattr(suffix, "CROWD", crowd)
