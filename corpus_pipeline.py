@@ -13,6 +13,7 @@ from claimgrid.llm import decontaminate, language, mixing, ngram_join, suffix
 from claimgrid.llm.tables import crc_part, ready, table, written
 
 LEAST_SCORE = 0.5
+SHINGLE_WORDS, LEAST_PERCENT = 5, 80
 
 
 def with_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +25,9 @@ def with_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 3-word shingles at 90 per cent, the one with the smallest doc_id stays."""
+    """Of documents linked by 5-word shingles at 80 per cent, the one with the smallest doc_id stays."""
     ready(spark)
-    return ngram_join.representatives(docs)
+    return ngram_join.representatives(docs, SHINGLE_WORDS, LEAST_PERCENT)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

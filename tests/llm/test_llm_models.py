@@ -316,6 +316,20 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
+def test_pipeline_near_copies(spark):
+    """Near copies by five words at 80 per cent; 200 words with four replaced are at 176 of 216, by three words at 186 of 210."""
+    words = [f"w{k}" for k in range(200)]
+    copy = [f"new{k}" if k in (30, 80, 130, 180) else w for k, w in enumerate(words)]
+    rows = [(i, t) for i, t in texts(9) if i is not None and t and t.split()] + [(900, " ".join(words)), (901, " ".join(copy))]
+    _, parts = brute_join(rows, 5, 80)
+    lowest = {}
+    for (i, _), p in zip(rows, parts):
+        lowest[p] = min(lowest.get(p, 1 << 63), i)
+    stage = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"]
+    got = [r.doc_id for r in stage(spark, frame(spark, rows), SF).collect()]
+    assert sorted(got) == sorted(lowest.values()) and 900 in got and 901 not in got
+
+
 def test_flat_slices_keep_documents():
     import pyarrow as pa
     batch = pa.RecordBatch.from_arrays([pa.array(["ab", None, "", "c" * 50, "d"])], ["text"])
