@@ -7,8 +7,8 @@ stand once in the corpus need no sorting at all. Each task sorts many such segme
 two suffixes are compared by binary search for their common extension on prefix polynomial hashes, then by the next
 byte. Neighbours with a common extension of ``length`` bytes are repeated, after their bytes have been compared.
 
-Stretches around an anchor that are equal as a whole are counted and sorted once. Where many different stretches
-share an anchor (a passage that a third of the documents quote), they are dealt out again by longer anchors, at last
+Whole texts, and stretches around an anchor, that are equal as a whole are found by their SHA-256, as polynomial hashes
+of different long texts can agree; they are counted and sorted once. Where many different stretches share an anchor (a passage that a third of the documents quote), they are dealt out again by longer anchors, at last
 by the window itself, so no task meets an unbounded group.
 """
 
@@ -27,51 +27,48 @@ from claimgrid.llm.tables import DEAL, grouped, keyed, named, plain_id, query, t
 
 CROWD = 256
 SUFFIXES = 400_000
-CONTEXT = "doc_id long, key long, anchor long, h1 long, h2 long, lead int, size int, starts array<int>, body binary"
+CONTEXT = "doc_id long, key long, anchor long, digest binary, lead int, size int, starts array<int>, body binary"
 
 
 def prefix_sums(data: np.ndarray, base: int = flat.BYTE_BASE) -> np.ndarray:
     return flat.prefix_hash(data.astype(np.uint16) + np.uint16(1), base)
 
 
-def anchors(data: np.ndarray, off: np.ndarray, length: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of all windows, the position of the anchor of each, the hash of every stretch of ``width``, prefix sums."""
+def anchors(data: np.ndarray, off: np.ndarray, length: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of all windows, the position of the anchor of each, the hash of every stretch of ``width``."""
     prefix = prefix_sums(data)
     n = len(data)
     if n < length:
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64), prefix
+        return none, none, none.astype(np.uint64)
     hashes = flat.mix((prefix[width:] - prefix[:-width]) * flat.powers(flat.BYTE_BASE, n + 1)[1][: n - width + 1])
     bits = np.uint64(max(1, int(n).bit_length()))
     ranked = (hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64)
     low = flat.window_min(ranked, length - width + 1)
     at = np.flatnonzero(flat.inside(off, n, length))
-    return at, (low[at] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), hashes, prefix
+    return at, (low[at] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), hashes
 
 
 def _survey(length: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, off in flat.slices(batch):
-                at, spot, hashes, prefix = anchors(data, off, length, width)
+                at, spot, hashes = anchors(data, off, length, width)
                 new = np.ones(len(at), bool)
                 new[1:] = (spot[1:] != spot[:-1]) | (flat.doc_of(off, at[1:]) != flat.doc_of(off, at[:-1]))
                 cuts = np.searchsorted(at[new], off)
-                second = prefix_sums(data, flat.BASE2)
                 whole = data.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), pa.array(np.diff(off)),
-                     pa.array(flat.stretch_hash(prefix, off[:-1], off[1:], flat.BYTE_BASE).view(np.int64)), pa.array(flat.stretch_hash(second, off[:-1], off[1:], flat.BASE2).view(np.int64)),
-                     pa.array([hashlib.sha256(whole[a:b]).hexdigest() for a, b in zip(off[:-1].tolist(), off[1:].tolist())]),
+                    [rows.column(0), rows.column(1), pa.array(np.diff(off)), pa.array([hashlib.sha256(whole[a:b]).hexdigest() for a, b in zip(off[:-1].tolist(), off[1:].tolist())]),
                      pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(hashes[spot[new]].view(np.int64)))],
-                    ["doc_id", "key", "n_bytes", "h1", "h2", "sha", "anchors"])
+                    ["doc_id", "key", "n_bytes", "sha", "anchors"])
 
     return run
 
 
 def _contexts(rows: pa.RecordBatch, data: np.ndarray, off: np.ndarray, length: int, width: int, wanted: np.ndarray | None, shift: np.ndarray) -> pa.RecordBatch:
     """The stretches that the windows of one anchor cover; equal ones of a document are one row with all their starts."""
-    at, spot, hashes, prefix = anchors(data, off, length, width)
+    at, spot, hashes = anchors(data, off, length, width)
     if wanted is not None:
         keep = np.isin(hashes[spot], wanted)
         at, spot = at[keep], spot[keep]
@@ -81,21 +78,21 @@ def _contexts(rows: pa.RecordBatch, data: np.ndarray, off: np.ndarray, length: i
     first = np.flatnonzero(new)
     start, end = at[first], at[np.append(first[1:], len(at))[: len(first)] - 1] + length
     doc, spot = doc[first], spot[first]
-    h1 = flat.stretch_hash(prefix, start, end, flat.BYTE_BASE)
-    h2 = flat.stretch_hash(prefix_sums(data, flat.BASE2), start, end, flat.BASE2)
-    order = np.lexsort((start, end - start, h2, h1, doc))
-    start, end, doc, spot, h1, h2 = (x[order] for x in (start, end, doc, spot, h1, h2))
+    whole = data.tobytes()
+    digest = [hashlib.sha256(whole[a:b]).digest()[:16] for a, b in zip(start.tolist(), end.tolist())]
+    d1, d2 = np.frombuffer(b"".join(digest), np.uint64).reshape(-1, 2).T
+    order = np.lexsort((start, d2, d1, doc))
+    start, end, doc, spot, d1, d2 = (x[order] for x in (start, end, doc, spot, d1, d2))
     head = np.ones(len(start), bool)
-    head[1:] = (doc[1:] != doc[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | ((end - start)[1:] != (end - start)[:-1])
+    head[1:] = (doc[1:] != doc[:-1]) | (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])
     top = np.flatnonzero(head)
-    whole = data.tobytes()
     take = pa.array(doc[top])
     return pa.RecordBatch.from_arrays(
-        [rows.column(0).take(take), rows.column(1).take(take), pa.array(hashes[spot[top]].view(np.int64)), pa.array(h1[top].view(np.int64)), pa.array(h2[top].view(np.int64)),
+        [rows.column(0).take(take), rows.column(1).take(take), pa.array(hashes[spot[top]].view(np.int64)), pa.array([digest[i] for i in order[top].tolist()], pa.binary()),
          pa.array((spot - start)[top].astype(np.int32)), pa.array((end - start)[top].astype(np.int32)),
          pa.ListArray.from_arrays(pa.array(np.append(top, len(start)).astype(np.int32)), pa.array((start - off[doc] + shift[doc]).astype(np.int32))),
          pa.array([whole[a:b] for a, b in zip(start[top].tolist(), end[top].tolist())], pa.binary())],
-        ["doc_id", "key", "anchor", "h1", "h2", "lead", "size", "starts", "body"])
+        ["doc_id", "key", "anchor", "digest", "lead", "size", "starts", "body"])
 
 
 def _from_texts(length: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -252,52 +249,61 @@ def _sorted(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, off in flat.slices(batch):
-            sums, gone, runs, kept = [], [], [], []
-            for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
-                edge = np.zeros(b - a + 1, np.int64)
-                for found in rows.column("found")[i]:
-                    edge[found["low"].as_py()] += 1
-                    edge[found["high"].as_py()] -= 1
-                drop = np.cumsum(edge[:-1]) > 0
-                gone.append(int(drop.sum()))
-                runs.append(int(np.count_nonzero(drop[1:] & ~drop[:-1]) + (drop[:1].sum())))
-                kept.append(data[a:b][~drop].tobytes())
-                sums.append(hashlib.sha256(kept[-1]).hexdigest())
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sums), pa.array(kept, pa.binary())],
-                                             ["doc_id", "key", "n_removed", "n_spans", "cut_sha", "kept"])
+            found = rows.column("found")
+            spans, size = found.flatten(), np.diff(np.asarray(found.offsets))
+            shift = np.repeat(off[:-1], size)
+            edge = np.zeros(len(data) + 1, np.int64)
+            np.add.at(edge, spans.field("low").to_numpy() + shift, 1)
+            np.add.at(edge, spans.field("high").to_numpy() + shift, -1)
+            drop = np.cumsum(edge[:-1]) > 0
+            new = drop.copy()
+            new[1:] &= ~drop[:-1]
+            inner = off[:-1][off[:-1] < len(data)]
+            new[inner] = drop[inner]
+            below = lambda x: np.diff(np.append(0, np.cumsum(x))[off])
+            kept, cuts = data[~drop].tobytes(), np.append(0, np.cumsum(below(~drop))).tolist()
+            pieces = [kept[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0), rows.column(1), pa.array(below(drop)), pa.array(below(new)), pa.array([hashlib.sha256(p).hexdigest() for p in pieces]), pa.array(pieces, pa.binary())],
+                ["doc_id", "key", "n_removed", "n_spans", "cut_sha", "kept"])
 
 
 def repeated_spans(contexts: DataFrame, length: int, widths: tuple[int, ...]) -> DataFrame:
-    """doc_id, key, low, high: stretches of a document made of repeated windows; they may overlap."""
-    shape = ["anchor", "h1", "h2", "size"]
+    """doc_id, key, low, high: stretches of a document made of repeated windows; they may overlap. Each step is a table
+    of its own, so that no plan covers more than one join."""
+    shape = ["anchor", "digest"]
     shapes = grouped(contexts, *shape).agg(F.sum(F.size("starts")).alias("n"), F.min(F.struct("doc_id", "key")).alias("head")).drop(DEAL)
+    shapes = written(shapes, "suffix-shapes")
     crowds = grouped(shapes, "anchor").agg(F.count("*").alias("kinds")).drop(DEAL)
-    shapes = written(shapes.join(crowds, "anchor").filter("n > 1 or kinds > 1"), "suffix-shapes")
-    whole = (contexts.drop("body", "lead").join(shapes.filter("n > 1").select(*shape), shape).select("doc_id", "key", "size", F.explode("starts").alias("low"))
+    shapes = written(shapes.join(crowds, "anchor").filter("n > 1 or kinds > 1"), "suffix-crowds")
+    spoken = F.expr("kinds > 1 and doc_id = head.doc_id and key = head.key")
+    met = contexts.join(shapes, shape).filter((F.col("n") > 1) | spoken)
+    met = written(met.select(*[c for c in contexts.columns if c != "body"], "n", "kinds", F.when(spoken, F.col("body")).alias("body")), "suffix-met")
+    whole = (met.filter("n > 1").select("doc_id", "key", "size", F.explode("starts").alias("low"))
              .select("doc_id", "key", "low", (F.col("low") + F.col("size")).alias("high")))
-    heads = contexts.join(shapes.filter("kinds > 1").select(*shape, "head", "kinds"), shape).filter("doc_id = head.doc_id and key = head.key")
-    few = heads.filter(F.col("kinds") <= CROWD).select(*contexts.columns).repartition("anchor").sortWithinPartitions("anchor")
-    spans = whole.unionByName(few.mapInArrow(_sorted(length), "doc_id long, key long, low int, high int"))
-    if len(widths) < 2 or shapes.filter(F.col("kinds") > CROWD).isEmpty():
+    few = met.filter(F.col("body").isNotNull() & (F.col("kinds") <= CROWD)).select(*contexts.columns).repartition("anchor").sortWithinPartitions("anchor")
+    spans = written(whole.unionByName(few.mapInArrow(_sorted(length), "doc_id long, key long, low int, high int")), "suffix-spans")
+    crowded = met.filter(F.col("body").isNotNull() & (F.col("kinds") > CROWD))
+    if len(widths) < 2 or crowded.isEmpty():
         return spans
-    crowded = written(heads.filter(F.col("kinds") > CROWD).select(*contexts.columns).mapInArrow(_from_contexts(length, widths[1]), CONTEXT), "suffix-crowds")
-    return spans.unionByName(repeated_spans(crowded, length, widths[1:]))
+    again = written(crowded.select(*contexts.columns).mapInArrow(_from_contexts(length, widths[1]), CONTEXT), "suffix-contexts")
+    return spans.unionByName(repeated_spans(again, length, widths[1:]))
 
 
-def scan(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Surveyed documents with the head and size of their class of equal texts, texts that hold repeated windows, and
-    the repeated spans in these."""
+def scan(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Surveyed documents, texts that stand more than once (sha, head, copies), texts that hold repeated windows, and the
+    repeated spans in these."""
     widths = (length // 2, length - max(1, length // 20), length)
-    seen = written(keyed(docs).mapInArrow(_survey(length, widths[0]), "doc_id long, key long, n_bytes long, h1 long, h2 long, sha string, anchors array<long>"), "suffix-survey")
-    same = ["h1", "h2", "n_bytes"]
-    seen = seen.join(grouped(seen, *same).agg(F.min("doc_id").alias("head"), F.count("*").alias("copies")).drop(DEAL), same)
-    stood = seen.filter("doc_id = head").select("doc_id", "key", F.explode("anchors").alias("anchor"))
+    seen = written(keyed(docs).mapInArrow(_survey(length, widths[0]), "doc_id long, key long, n_bytes long, sha string, anchors array<long>"), "suffix-survey")
+    same = written(grouped(seen.filter(F.col("n_bytes") >= length), "sha").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies")).drop(DEAL).filter("copies > 1"), "suffix-copies")
+    stood = seen.filter(F.size("anchors") > 0).join(same, "sha", "left").filter("head is null or doc_id = head").select("doc_id", "key", F.explode("anchors").alias("anchor"))
+    stood = written(stood, "suffix-anchors")
     twice = grouped(stood, "anchor").count().filter("count > 1").select("anchor")
     lists = stood.join(twice, "anchor").groupBy("doc_id", "key").agg(F.collect_set("anchor").alias("anchors"))
     lists = written(lists, "suffix-lists").filter("size(anchors) > 0")
     texts = written(keyed(docs).join(lists.hint("shuffle_hash"), ["doc_id", "key"]), "suffix-texts")
     contexts = written(texts.mapInArrow(_from_texts(length, widths[0]), CONTEXT), "suffix-contexts")
-    return seen, texts.select("doc_id", "key", "text"), repeated_spans(contexts, length, widths)
+    return seen.drop("anchors"), same, texts.select("doc_id", "key", "text"), repeated_spans(contexts, length, widths)
 
 
 CUT = "doc_id long, key long, n_removed long, n_spans long, cut_sha string, kept binary"
@@ -311,10 +317,9 @@ def _cut_rows(texts: DataFrame, spans: DataFrame) -> DataFrame:
 def deduped(docs: DataFrame, length: int = 400) -> DataFrame:
     """All columns of docs, with ``text`` replaced by what remains. Bytes of a character that lost its other bytes go
     too. Copies of a whole text of at least ``length`` bytes keep nothing."""
-    seen, texts, spans = scan(docs, length)
-    cut = _cut_rows(texts, spans).select("doc_id", "key", "kept").unionByName(
-        seen.filter((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("doc_id", "key", F.lit(b"").alias("kept")))
-    best = cut.groupBy("doc_id", "key").agg(F.min("kept").alias("kept"))
+    seen, same, texts, spans = scan(docs, length)
+    cut = _cut_rows(texts, spans).select("doc_id", "key", "kept").unionByName(seen.join(same, "sha").select("doc_id", "key", F.lit(b"").alias("kept")))
+    best = written(cut.groupBy("doc_id", "key").agg(F.min("kept").alias("kept")), "suffix-cut")
     joined = named(docs).join(best.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("kept").alias("_kept")).hint("shuffle_hash"), ["_id", "_key"], "left")
     whole = F.decode(F.try_validate_utf8(F.col("_kept").cast("string")).cast("binary"), "UTF-8")
     mended = F.regexp_replace(F.make_valid_utf8(F.col("_kept").cast("string")), "\ufffd", "")
@@ -329,10 +334,10 @@ def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     kept_sha256 (remaining bytes). A null text is empty. Repeated rows are copies of each other. Documents shorter than
     ``length`` lose nothing. Positions in a text are 32-bit, as a text is below 2 GB.
     """
-    seen, texts, spans = scan(docs, length)
-    cut = _cut_rows(texts, spans).drop("kept").dropDuplicates(["doc_id", "key"])
-    copy = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    return (seen.select("doc_id", "key", "n_bytes", "sha", "copies").join(cut, ["doc_id", "key"], "left")
+    seen, same, texts, spans = scan(docs, length)
+    cut = written(_cut_rows(texts, spans).drop("kept").dropDuplicates(["doc_id", "key"]), "suffix-cut")
+    copy = F.col("copies").isNotNull()
+    return (seen.join(same.select("sha", "copies"), "sha", "left").join(cut, ["doc_id", "key"], "left")
             .select(plain_id(), "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
                     F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
                     F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256")))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from claimgrid.llm import components, ngram_join, substring, suffix
@@ -99,6 +100,20 @@ def test_suffix(spark, monkeypatch, crowd):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_texts_that_polynomial_hashes_confuse(spark):
+    """A letter up or down in Thue-Morse order leaves every polynomial modulo 2**64 with an odd base as it is."""
+    rng = random.Random(20)
+    one = [rng.randrange(98, 120) for _ in range(2048)]
+    two = [c + (1 if bin(k).count("1") % 2 else -1) for k, c in enumerate(one)]
+    whole = lambda b: suffix.flat.stretch_hash(suffix.prefix_sums(b), np.array([0]), np.array([2048]), suffix.flat.BYTE_BASE)
+    assert whole(np.array(one, np.uint8)) == whole(np.array(two, np.uint8))
+    rows = [(1, bytes(one).decode()), (2, bytes(two).decode())]
+    for n, removed in ((400, [0, 0]), (2048, [0, 0])):
+        got = suffix.dedup(frame(spark, rows), n).orderBy("doc_id").collect()
+        assert [r.n_removed for r in got] == removed
+    assert [r.n_removed for r in suffix.dedup(frame(spark, [*rows, (3, rows[0][1])]), 400).orderBy("doc_id").collect()] == [2048, 0, 2048]
+
+
 def test_suffix_texts(spark):
     rows = [(1, "é" * 40 + "tail one"), (2, "é" * 40 + "rest"), (3, "alone and whole")]
     got = {r.doc_id: r.text for r in suffix.deduped(frame(spark, rows), 21).collect()}

@@ -291,7 +291,7 @@ def test_pipeline(spark):
     assert kept.columns == docs.columns and all(any(c.isalpha() for c in r.text) for r in rows)
     assert len(rows) >= docs.filter("text rlike '[a-z]'").count()
     one = stages["ngram_jaccard_join"](spark, kept, SF).collect()
-    _, parts = brute_join([(r.doc_id, r.text) for r in rows], 3, 90)
+    _, parts = brute_join([(r.doc_id, r.text) for r in rows], corpus_pipeline.SHINGLE_WORDS, corpus_pipeline.LEAST_PERCENT)
     lowest = {}
     for r, p in zip(rows, parts):
         lowest[p] = min(lowest.get(p, 1 << 63), r.doc_id)
