@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from claimgrid.llm.tables import DEAL, grouped, query, table, written
 
-SHARD, PACK, ID_BLOCK = 1 << 18, 1 << 18, 4096
+SHARD, PACK, ID_BLOCK = 1 << 10, 1 << 18, 4096
 TRIES, TRY_CELLS = 64, 1 << 14
 NAME = 16
 ROOT = b"\0" * NAME
