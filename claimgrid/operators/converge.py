@@ -216,15 +216,17 @@ def _merge(units: DataFrame, pairs: DataFrame) -> DataFrame:
     return cut(out)
 
 
-def cluster_findings(findings: DataFrame, routes: list[str], threshold: float = 0.4) -> DataFrame:
+def cluster_findings(findings: DataFrame, routes: list[str], threshold: float = 0.4, rounds: list[str] | None = None) -> DataFrame:
     """Clusters of findings across routes: at most one finding per route, every pair of members linked.
 
     Strong evidence is settled first: equal key, equal semantic tuple, equal location, equal dimension and
     rule, each with equal category and semantic fields, so that all findings under one key are linked and
-    can be paired by rank without listing pairs. What is left is linked by scored pairs; a cluster takes
-    the first finding, in route and position order, that every member is linked to.
+    can be paired by rank without listing pairs. What is left is linked by scored pairs, which are built among
+    findings of clusters that still lack a route; a cluster takes the first finding, in route and position order,
+    that every member is linked to.
     A unit holds at most one finding per route, so its member list is as long as the route list.
     Output: project_id, cluster_id, agent, pos, raw_finding_id, severity, match_mode and evidence fields.
+    ``rounds``, if given, receives the name of the route for each round of scored matching.
     """
     items = cut(prepare(findings, routes))
     sep = "\x1f"
@@ -241,30 +243,63 @@ def cluster_findings(findings: DataFrame, routes: list[str], threshold: float =
             # clusters of equal keys are complete; only findings that stayed alone go on
             closed.append(units.where(F.size("agents") > 1).select(K, "uid", "members", F.lit(mode).alias("match_mode")))
             units = units.where(F.size("agents") == 1)
-    edges = cut(link_pairs(items, threshold).select(K, "left_ord", "right_ord", "left_agent", "right_agent"))
+    lacking = units.where(F.size("agents") < len(routes)).select(K, F.explode("members").alias("ord"))
+    edges = cut(link_pairs(items.join(lacking, [K, "ord"], "left_semi"), threshold).select(K, "left_ord", "right_ord", "left_agent", "right_agent"))
     for s in routes[1:]:
-        units = _scored_stage(units, edges, s)
+        units = _scored_stage(units, edges, s, rounds)
     done = units.select(K, "uid", "members", F.when(F.size("members") > 1, "similarity").otherwise("single").alias("match_mode"))
     every = reduce(lambda a, b: a.unionByName(b), [*closed, done])
     m = every.select(K, F.col("uid").alias("cluster_id"), "match_mode", F.explode("members").alias("ord"))
     return m.join(items.select(K, "ord", "agent", "pos", "raw_finding_id", "finding_key", "severity", *V.EVIDENCE_FIELDS), [K, "ord"]).drop("ord")
 
 
-def _scored_stage(units: DataFrame, edges: DataFrame, s: str) -> DataFrame:
+def _scored_stage(units: DataFrame, edges: DataFrame, s: str, rounds: list[str] | None = None) -> DataFrame:
     """Let units without route ``s`` take single findings of it that all their members are linked to."""
     e = edges.where(F.col("right_agent") == s).select(K, F.col("left_ord").alias("m"), F.col("right_ord").alias("v")).unionByName(
         edges.where(F.col("left_agent") == s).select(K, F.col("right_ord").alias("m"), F.col("left_ord").alias("v")))
     lacking = units.where(~F.array_contains("agents", s)).select(K, "uid", F.size("members").alias("_need"), F.explode("members").alias("m"))
     single = units.where((F.size("agents") == 1) & F.array_contains("agents", s)).select(K, F.col("uid").alias("v"))
     cand = lacking.join(e, [K, "m"]).join(single, [K, "v"], "left_semi").groupBy(K, "uid", "v").agg(F.count(F.lit(1)).alias("_n"), F.max("_need").alias("_need"))
-    open_ = cut(cand.where("_n = _need").select(K, "uid", "v"))
+    taken = first_come(cut(cand.where("_n = _need").select(K, "uid", "v")), s, rounds)
+    return units if taken is None else _merge(units, taken.select(K, "uid", F.col("v").alias("joins")))
+
+
+def _whole_blocks(open_: DataFrame) -> DataFrame:
+    """Pairs of blocks in which every unit may take every finding and nothing else: the i-th unit takes the i-th finding.
+
+    Two units of a block have the same number and the same mixture of candidates. The mixture is a hash; that a block is
+    whole is decided by counts, so equal hashes of different candidates do no harm.
+    """
+    def side(own: str, other: str) -> DataFrame:
+        return open_.groupBy(K, own).agg(F.count(F.lit(1)).alias(f"_d_{own}"), F.bit_xor(F.xxhash64(F.col(other))).alias(f"_s_{own}"))
+
+    e = open_.join(side("uid", "v"), [K, "uid"]).join(side("v", "uid"), [K, "v"])
+    block = [K, "_s_uid", "_s_v"]
+    per = e.groupBy(*block).agg(F.count(F.lit(1)).alias("_e"), F.count_distinct("uid").alias("_nu"), F.count_distinct("v").alias("_nv"),
+                                F.max("_d_uid").alias("_du"), F.max("_d_v").alias("_dv"))
+    whole = per.where("_e = _nu * _nv and _du = _nv and _dv = _nu").select(*block)
+    inside = cut(e.join(whole, block, "left_semi").select(*block, "uid", "v"))
+    a = running_sum(inside.select(*block, "uid").distinct(), block, "uid", F.lit(1), "_n")
+    b = running_sum(inside.select(*block, "v").distinct(), block, "v", F.lit(1), "_n")
+    return a.join(b, [*block, "_n"], "full").select(K, "uid", "v")
+
+
+def first_come(open_: DataFrame, name: str = "", rounds: list[str] | None = None) -> DataFrame | None:
+    """Matching of units with findings: going through the units in order, each takes its first free finding.
+
+    Each round settles whole blocks by rank, and takes every pair that is the first of both its ends; then both ends
+    leave. Blocks of copies, which alone would need a round for each copy, go in one round.
+    """
     taken = None
-    # an edge is taken when it is the first of both its ends; then both ends leave. Same result as going
-    # through the units in order, each taking its first free finding.
     while not open_.isEmpty():
-        fu = open_.groupBy(K, "uid").agg(F.min("v").alias("v"))
-        fv = open_.groupBy(K, "v").agg(F.min("uid").alias("uid"))
-        now = cut(fu.join(fv, [K, "uid", "v"], "left_semi"))
+        if rounds is not None:
+            rounds.append(name)
+        blocks = cut(_whole_blocks(open_))
+        rest = open_.join(blocks.where("uid is not null").select(K, "uid"), [K, "uid"], "left_anti").join(blocks.where("v is not null").select(K, "v"), [K, "v"], "left_anti")
+        fu = rest.groupBy(K, "uid").agg(F.min("v").alias("v"))
+        fv = rest.groupBy(K, "v").agg(F.min("uid").alias("uid"))
+        first = fu.join(fv, [K, "uid", "v"], "left_semi").select(K, "uid", "v")
+        now = cut(blocks.where("uid is not null and v is not null").unionByName(first))
         taken = now if taken is None else taken.unionByName(now)
-        open_ = cut(open_.join(now.select(K, "uid"), [K, "uid"], "left_anti").join(now.select(K, "v"), [K, "v"], "left_anti"))
-    return units if taken is None else _merge(units, taken.select(K, "uid", F.col("v").alias("joins")))
+        open_ = cut(rest.join(now.select(K, "uid"), [K, "uid"], "left_anti").join(now.select(K, "v"), [K, "v"], "left_anti"))
+    return taken

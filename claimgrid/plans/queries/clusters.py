@@ -41,9 +41,50 @@ def _(s):
     return j.select(K, F.col("l").alias("left_id"), F.col("r").alias("right_id"), F.round("score", 9).alias("score"))
 
 
-@query("G01_clusters")
+def _cluster_sql() -> str:
+    """The clusters step by step: rank pairs under each key, then a recursive walk through the units of each project in
+    order, each taking its first free finding."""
+    keep = "case when min({0}) = max({0}) and count({0}) = count(*) then min({0}) end as {0}"
+
+    def merged(n: int, pairs: str) -> str:
+        return (f"u{n + 1} as materialized (select u.project_id, coalesce(p.uid, u.uid) as uid, list_sort(flatten(list(agents))) as agents, list_sort(flatten(list(members))) as members, "
+                f"{', '.join(keep.format(k) for k in ('k1', 'k3', 'k4'))} from u{n} u left join {pairs} p on p.project_id = u.project_id and p.joins = u.uid group by 1, 2)")
+
+    steps, n = [], 0
+    for key in ("k1", "k3", "k4"):
+        for s in ROUTES[1:]:
+            rank = f"row_number() over (partition by project_id, {key} order by uid) as n from u{n} where {key} is not null and"
+            steps += [f"lack{n} as materialized (select project_id, {key} as k, uid, {rank} not list_contains(agents, '{s}'))",
+                      f"sing{n} as materialized (select project_id, {key} as k, uid as joins, {rank} len(agents) = 1 and list_contains(agents, '{s}'))",
+                      f"pair{n} as materialized (select a.project_id, a.uid, b.joins from lack{n} a join sing{n} b using (project_id, k, n))", merged(n, f"pair{n}")]
+            n += 1
+        if key == "k1":
+            steps += [f"closed as materialized (select project_id, uid, members, 'exact' as match_mode from u{n} where len(agents) > 1)", f"u{n + 1} as materialized (select * from u{n} where len(agents) = 1)"]
+            n += 1
+    for s in ROUTES[1:]:
+        steps += [f"""cand{n} as materialized (select l.project_id, l.uid, v, row_number() over (partition by l.project_id order by l.uid) as i from (select c.project_id, c.uid, list(c.v order by c.v) as v from (
+    select u.project_id, u.uid, e.v from (select project_id, uid, members, unnest(members) as m from u{n} where not list_contains(agents, '{s}')) u join ends e on e.project_id = u.project_id and e.m = u.m and e.agent = '{s}'
+    join (select project_id, uid from u{n} where len(agents) = 1 and list_contains(agents, '{s}')) x on x.project_id = u.project_id and x.uid = e.v
+    group by u.project_id, u.uid, u.members, e.v having count(*) = len(u.members)) c group by 1, 2) l)""",
+                  f"""walk{n} as (select project_id, cast(0 as bigint) as i, cast([] as bigint[]) as taken, cast(null as bigint) as uid, cast(null as bigint) as joins from cand{n} where i = 1
+    union all select w.project_id, c.i, case when f.v is null then w.taken else list_append(w.taken, f.v) end, c.uid, f.v from walk{n} w join cand{n} c on c.project_id = w.project_id and c.i = w.i + 1,
+    lateral (select list_filter(c.v, lambda x: not list_contains(w.taken, x))[1] as v) f)""",
+                  f"pair{n} as materialized (select project_id, uid, joins from walk{n} where joins is not null)", merged(n, f"pair{n}")]
+        n += 1
+    return f"""
+with recursive items as materialized (select * from {P} y),
+ends as materialized (select l.project_id, a.ord as m, b.ord as v, b.agent from {LINKS} l join items a on a.id = l.left_id join items b on b.id = l.right_id
+    union all select l.project_id, b.ord, a.ord, a.agent from {LINKS} l join items a on a.id = l.left_id join items b on b.id = l.right_id),
+u0 as materialized (select project_id, ord as uid, [agent] as agents, [ord] as members, fkey || '|' || cat || '|' || sem as k1, case when loc <> '' then loc || '|' || cat || '|' || sem end as k3,
+    case when rule <> '' then dim || '|' || rule || '|' || cat || '|' || sem end as k4 from items),
+{', '.join(steps)}
+select c.project_id, c.uid as cluster_id, i.agent, i.ord % 1099511627776 as pos, match_mode from (select project_id, uid, match_mode, unnest(members) as m from
+    (select * from closed union all select project_id, uid, members, case when len(members) > 1 then 'similarity' else 'single' end from u{n}) z) c join items i on i.ord = c.m"""
+
+
+@query("G01_clusters", _cluster_sql())
 def _(s):
-    return G.cluster_findings(s.v_route_findings, ROUTES)
+    return G.cluster_findings(s.v_route_findings, ROUTES).select(K, "cluster_id", "agent", "pos", "match_mode")
 
 
 @query("G01_cluster_invariants", """

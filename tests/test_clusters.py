@@ -76,3 +76,24 @@ def test_claim_outcomes(spark):
     m = spark.createDataFrame([("p", "go", "a", 409, None), ("p", "up", "b", 51, None), ("p", "x", "c", 100, None), ("p", "y", "d", 100, None), ("p", "s", "e", 100, 40)], "project_id string, label string, path string, total long, significant long")
     got = {r.label: r.outcome for r in J.crossref(c, m).collect()}
     assert got == {"go": "subset", "up": "ok", "x": "close", "y": "mismatch", "s": "ok_significant"}
+
+
+def test_first_come_settles_blocks_at_once(spark):
+    """Blocks of copies, a block with more findings than units, and a tangle, against a walk through the units in order."""
+    import random
+    rng = random.Random(4)
+    edges = {("p", u, 1000 + v) for u in range(40) for v in range(40)} | {("p", 100 + u, 2000 + v) for u in range(5) for v in range(30)} | {("q", u, 3000 + v) for u in range(30) for v in range(4)}
+    edges |= {("q", 200 + rng.randrange(12), 4000 + rng.randrange(12)) for _ in range(50)}
+    want, free = set(), {(p, v) for p, _, v in edges}
+    for p, u in sorted({e[:2] for e in edges}):
+        for v in sorted(v for q, x, v in edges if (q, x) == (p, u)):
+            if (p, v) in free:
+                free.remove((p, v))
+                want.add((p, u, v))
+                break
+    rounds = []
+    got = G.first_come(spark.createDataFrame(sorted(edges), "project_id string, uid long, v long"), "B", rounds)
+    assert {tuple(r) for r in got.collect()} == want and len(rounds) <= 8
+    rounds = []
+    whole = [("p", u, v) for u in range(300) for v in range(300)]
+    assert G.first_come(spark.createDataFrame(whole, "project_id string, uid long, v long"), "B", rounds).count() == 300 and len(rounds) == 1
