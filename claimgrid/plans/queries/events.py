@@ -89,12 +89,9 @@ def event_stream(s):
 @query("R02_attempt_stream", f"""
 select task_id, attempt, case when d <> 1 or t > 1 then 'not_one_dispatch_and_terminal' when t = 0 then 'timed_out' when p = 0 or p0 < s or p1 > f then 'poll_missing_or_out_of_order'
   when (epoch_us(f) - epoch_us(s)) / 1e6 < 0 or (epoch_us(f) - epoch_us(s)) / 1e6 > 1800 then 'duration_out_of_range' when c = 1 then 'completed' else 'failed' end as status, cast(p as bigint) as polls
-from {FACTS} x where (s is not null or f is not null or p0 is not null) and attempt < (select max(attempt) - 1 from {DUCK_TASKS} z)""")
+from {FACTS} x""")
 def _(s):
-    out = R.run_available(s.spark, R.attempt_stream(event_stream(s)), "attempts", R.STATUS_SCHEMA)
-    # the verdict on a day is final when the watermark has passed it: all days but the last two of the log
-    last = s.v_task_events.agg((F.max("attempt") - 1).alias("_last"))
-    return out.join(F.broadcast(last)).where("attempt < _last").select("task_id", "attempt", "status", "polls")
+    return R.closed_attempts(s.spark, event_stream(s)).select("task_id", "attempt", "status", "polls")
 
 
 @query("R03_first_receipts", """
@@ -117,5 +114,5 @@ def _(s):
     raw = s.spark.readStream.schema(s.documents.schema).parquet(f"{s.sf}/documents.parquet*")
     lines = to_lines(raw.withColumnRenamed("doc_id", K), [K])
     out = shared_path(s.spark, "audit")
-    R.audit_new_projects(lines, lambda b: lint_terms(b, [("terminology", " of ", " from ", "error")]), out, shared_path(s.spark, "audit-state")).awaitTermination()
+    R.audit_new_projects(lines, lambda b: lint_terms(b, [("terminology", " of ", " from ", "error")]), out, shared_path(s.spark, "audit-state"), 16).awaitTermination()
     return R.current_findings(s.spark, out).groupBy(K).agg(F.count(F.lit(1)).alias("findings"))

@@ -7,15 +7,17 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from claimgrid.operators.ordered_checks import attempt_facts
 from claimgrid.rules import values as V
 from claimgrid.session import shared_path
 from claimgrid.sources.events import parse_events
 
-FACT_COLUMNS = ["dispatches", "terminals", "completions", "failures", "polls"]
 STATUS_SCHEMA = "task_id string, attempt bigint, status string, seconds double, polls bigint"
-STATE_SCHEMA = "dispatches bigint, terminals bigint, completions bigint, polls bigint, start_us bigint, finish_us bigint, first_poll_us bigint, last_poll_us bigint"
+STATE_SCHEMA = "dispatches bigint, terminals bigint, completions bigint, polls bigint, start_us bigint, finish_us bigint, first_poll_us bigint, last_poll_us bigint, first_us bigint"
+WAIT_SECONDS, KEEP_SECONDS, LATE_SECONDS = 86_400, 7 * 86_400, 3_600
+CLOSING = "\x00closing"
+END_OF_TIME = "9999-01-01 00:00:00"
 
 
 def stream_events(spark: SparkSession, path: str) -> DataFrame:
@@ -24,18 +26,23 @@ def stream_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 class AttemptProcessor(StatefulProcessor):
-    """Per (task, attempt): eight numbers of state, one row out when it ends or its time is over.
+    """Per (task, attempt): nine numbers of state, and one verdict when no more events of it can come.
+
+    An attempt is open for ``wait`` seconds of event time from its first event, whatever that is, so every key has a
+    timer. Then the verdict goes out and a mark that the attempt is closed stays for ``keep`` seconds: what comes later
+    finds the mark and changes nothing, so there is no second verdict. A second timer clears the mark.
 
     The input is already combined per minute before the shuffle, so a busy task sends one row per minute
     here, whatever its number of events.
     """
 
-    def __init__(self, limit: int):
-        self.limit = limit
+    def __init__(self, limit: int, wait: int = WAIT_SECONDS, keep: int = KEEP_SECONDS):
+        self.limit, self.wait, self.keep = limit, wait, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("attempt", STATE_SCHEMA)
+        self.closed = handle.getValueState("closed", "at_ms bigint")
 
     @staticmethod
     def _least(a, b):
@@ -52,7 +59,11 @@ class AttemptProcessor(StatefulProcessor):
         return pd.DataFrame({"task_id": text["task_id"], "attempt": [int(key[1])], "status": text["status"], "seconds": pd.Series([seconds], dtype="float64"), "polls": [int(s[3])]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        s = list(self.state.get()) if self.state.exists() else [0, 0, 0, 0, None, None, None, None]
+        if self.closed.exists():
+            for _ in rows:
+                pass
+            return iter(())
+        s = list(self.state.get()) if self.state.exists() else [0, 0, 0, 0, None, None, None, None, None]
         for pdf in rows:
             for r in pdf.astype(object).where(pdf.notna(), None).itertuples():
                 for i, n in enumerate(("dispatches", "terminals", "completions", "polls")):
@@ -61,19 +72,21 @@ class AttemptProcessor(StatefulProcessor):
                 s[5] = self._least(s[5], r.finish_us)
                 s[6] = self._least(s[6], r.first_poll_us)
                 s[7] = self._most(s[7], r.last_poll_us)
+                s[8] = self._least(s[8], r.first_us)
         self.state.update(tuple(None if v is None else int(v) for v in s))
-        for t in list(self.handle.listTimers()):
+        for t in list(self.handle.listTimers()):  # an earlier event may have come since
             self.handle.deleteTimer(t)
-        base = s[4] if s[4] is not None else self._least(s[5], s[6])
-        if base is not None:
-            # the verdict is given when the time limit has passed by the watermark: all events are in then
-            self.handle.registerTimer(int(base // 1000) + self.limit * 1000 + 60_000)
+        self.handle.registerTimer(int(s[8] // 1000) + self.wait * 1000)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.closed.exists():
+            self.closed.clear()
+            return
         if not self.state.exists():
             return
         s = list(self.state.get())
+        at = expiredTimerInfo.getExpiryTimeInMs()
         if s[0] != 1 or s[1] > 1:
             status = "not_one_dispatch_and_terminal"
         elif s[1] == 0:
@@ -85,77 +98,114 @@ class AttemptProcessor(StatefulProcessor):
         else:
             status = "completed" if s[2] else "failed"
         self.state.clear()
+        self.closed.update((at,))
+        self.handle.registerTimer(at + self.keep * 1000)
         yield self._out(key, s, status)
 
     def close(self) -> None:
         pass
 
 
-def attempt_stream(events: DataFrame, limit: int = V.TASK_SECONDS_MAX, late: str = "1 hour") -> DataFrame:
-    """Stream of attempt verdicts. ``events``: task_id, attempt, event, ts (streaming).
+def attempt_stream(events: DataFrame, limit: int = V.TASK_SECONDS_MAX, late: str = f"{LATE_SECONDS} seconds", wait: int = WAIT_SECONDS, keep: int = KEEP_SECONDS) -> DataFrame:
+    """Stream of attempt verdicts, one for each attempt. ``events``: task_id, attempt, event, ts (streaming).
 
     Step one is a one-minute window aggregation, combined before the shuffle; step two keeps the attempt
-    state and gives the verdict by an event-time timer. Both share one watermark.
+    state and gives the verdict by an event-time timer, ``wait`` seconds after the first event. Both share one watermark,
+    which follows the latest event by ``late``; events behind it are dropped. Events without task, attempt or time are
+    left out.
     """
     e, ts = F.col("event"), F.col("ts")
     us = F.unix_micros("ts")
     end = e.isin("completed", "failed")
     per_minute = (
-        events.withWatermark("ts", late).groupBy(F.window("ts", "1 minute"), "task_id", "attempt").agg(
+        events.where("task_id is not null and attempt is not null").withWatermark("ts", late).groupBy(F.window("ts", "1 minute"), "task_id", "attempt").agg(
             F.count_if(e == "dispatched").alias("dispatches"), F.count_if(end).alias("terminals"), F.count_if(e == "completed").alias("completions"),
             F.count_if(e == "polled").alias("polls"), F.min(F.when(e == "dispatched", us)).alias("start_us"), F.min(F.when(end, us)).alias("finish_us"),
-            F.min(F.when(e == "polled", us)).alias("first_poll_us"), F.max(F.when(e == "polled", us)).alias("last_poll_us")))
+            F.min(F.when(e == "polled", us)).alias("first_poll_us"), F.max(F.when(e == "polled", us)).alias("last_poll_us"), F.min(us).alias("first_us")))
     flat = per_minute.select(F.window_time("window").alias("minute"), "task_id", "attempt", "dispatches", "terminals", "completions", "polls",
-                             "start_us", "finish_us", "first_poll_us", "last_poll_us")
+                             "start_us", "finish_us", "first_poll_us", "last_poll_us", "first_us")
     return flat.groupBy("task_id", "attempt").transformWithStateInPandas(
-        statefulProcessor=AttemptProcessor(limit), outputStructType=STATUS_SCHEMA, outputMode="Append", timeMode="EventTime")
+        statefulProcessor=AttemptProcessor(limit, wait, keep), outputStructType=STATUS_SCHEMA, outputMode="Append", timeMode="EventTime")
 
 
-def run_available(spark: SparkSession, df: DataFrame, name: str, schema: str) -> DataFrame:
-    """Run a stream over what is there and return its output, through files in the shared folder."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    out, state = shared_path(spark, name), shared_path(spark, f"{name}-state")
-    q = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(schema).parquet(out)
+EVENTS = "task_id string, attempt bigint, event string, ts timestamp"
+
 
+def closed_attempts(spark: SparkSession, events: DataFrame, limit: int = V.TASK_SECONDS_MAX, late: str = f"{LATE_SECONDS} seconds", wait: int = WAIT_SECONDS, keep: int = KEEP_SECONDS) -> DataFrame:
+    """Verdicts on all attempts of a log that has ended. ``events``: streaming; task_id, attempt, event, ts.
 
-def attempt_counts_stream(events: DataFrame) -> DataFrame:
-    """Running facts per attempt (update mode): sums, minima and maxima, combined before the shuffle."""
-    return attempt_facts(events)
+    The stream runs over what is there. Then a closing event, dated at the end of time, comes in by a second source, and
+    the stream goes on from its checkpoint: the watermark passes every open window and timer, so that the attempts of the
+    last days have their verdicts too. A log that goes on is read with ``attempt_stream`` alone.
+    """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    closing, out, state = (shared_path(spark, f"attempts-{n}") for n in ("closing", "verdicts", "state"))
+    spark.createDataFrame([], EVENTS).write.parquet(closing)
+    both = events.select("task_id", F.col("attempt").cast("bigint").alias("attempt"), "event", "ts").unionByName(spark.readStream.schema(EVENTS).parquet(closing))
+    stream = attempt_stream(both, limit, late, wait, keep).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True)
+    stream.start().awaitTermination()
+    spark.createDataFrame([(CLOSING, 0, "closing")], "task_id string, attempt bigint, event string").withColumn("ts", F.lit(END_OF_TIME).cast("timestamp")).write.mode("append").parquet(closing)
+    stream.start().awaitTermination()
+    return spark.read.schema(STATUS_SCHEMA).parquet(out).where(F.col("task_id") != CLOSING)
 
 
 IDENTITY = ["decision_sha256", "body_sha256", "channel"]
 
 
 def first_receipts(receipts: DataFrame, out: str, state: str):
-    """First sent receipt per identity, however late a repeat comes: each micro-batch keeps what no earlier batch has
-    stored. A batch that is run again after a failure looks only at the batches before it and replaces itself."""
+    """First sent receipt per identity, however late a repeat comes.
+
+    The state store holds the first receipt of every identity. A batch touches the identities it brings, and nothing of
+    what was written before is read. Of the receipts of one batch the one with the smallest time stamp, then the smallest
+    other columns, counts. An identity is new when its first receipt arrived with this very batch. A batch that is run
+    again after a failure has the same arrival time and replaces its own folder.
+    """
+    spark = receipts.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rest = [c for c in receipts.columns if c not in (*IDENTITY, "ts")]
+    sent = receipts.where("status = 'sent'").withColumn("_arrived", F.current_timestamp())
+    first = sent.groupBy(*IDENTITY).agg(F.min(F.struct("_arrived", "ts", *rest)).alias("_r"), F.max("_arrived").alias("_last"))
+
     def one(batch: DataFrame, n: int) -> None:
-        sent = batch.where("status = 'sent'")
-        rest = [c for c in sent.columns if c not in (*IDENTITY, "ts")]
-        new = sent.groupBy(*IDENTITY).agg(F.min(F.struct("ts", *rest)).alias("_r")).select(*IDENTITY, "_r.*")
-        if n > 0:
-            before = batch.sparkSession.read.parquet(out).where(F.col("batch") < n)
-            new = new.join(before.select(*IDENTITY), IDENTITY, "left_anti")
-        new.write.mode("overwrite").parquet(f"{out}/batch={n}")
+        batch.where("_r._arrived = _last").select(*IDENTITY, "_r.*").drop("_arrived").write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+    return first.writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
+BUCKETS = 256
+
+
+def project_bucket(key: str = "project_id", buckets: int = BUCKETS):
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+
 
-    return receipts.writeStream.foreachBatch(one).option("checkpointLocation", state).trigger(availableNow=True).start()
+def stored_lines(spark: SparkSession, out: str, schema: StructType, touched: DataFrame, n: int) -> DataFrame:
+    """All lines of the touched projects' buckets up to batch ``n``. Only the folders of these buckets are listed and
+    read; their numbers, no more than there are buckets, come to the driver."""
+    held = sorted(r._bucket for r in touched.select("_bucket").distinct().collect())
+    whole = StructType([*schema.fields, StructField("_bucket", IntegerType()), StructField("batch", LongType())])
+    if not held:
+        return spark.createDataFrame([], whole)
+    lines = f"{out}/lines"
+    return spark.read.schema(whole).option("basePath", lines).parquet(*[f"{lines}/_bucket={b}" for b in held]).where(F.col("batch") <= n)
 
 
-def audit_new_projects(lines: DataFrame, checks: Callable[[DataFrame], DataFrame], out: str, state: str):
-    """Audit projects as their text arrives. The lines of a batch are stored; then every project that the batch touches
-    is audited whole, with all its stored lines. ``current_findings`` reads the result.
+def audit_new_projects(lines: DataFrame, checks: Callable[[DataFrame], DataFrame], out: str, state: str, buckets: int = BUCKETS):
+    """Audit projects as their text arrives. The lines of a batch are stored by bucket of their project; then every project
+    that the batch touches is audited whole, with all its stored lines. Only the buckets of these projects are read.
+    ``current_findings`` reads the result.
 
     The batch number is part of the paths, so a batch that is run again after a failure replaces itself.
     """
     def one(batch: DataFrame, n: int) -> None:
         spark, key = batch.sparkSession, "project_id"
-        batch.write.mode("overwrite").parquet(f"{out}/lines/batch={n}")
-        stored = spark.read.parquet(f"{out}/lines").where(F.col("batch") <= n)
-        touched = stored.where(F.col("batch") == n).select(key).distinct()
-        touched.write.mode("overwrite").parquet(f"{out}/audited/batch={n}")
-        checks(stored.drop("batch").join(touched, key, "left_semi")).write.mode("overwrite").parquet(f"{out}/findings/batch={n}")
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        dealt = batch.withColumn("_bucket", project_bucket(key, buckets)).withColumn("batch", F.lit(n).cast("long"))
+        dealt.repartition("_bucket").sortWithinPartitions("_bucket", key).write.mode("overwrite").partitionBy("_bucket", "batch").parquet(f"{out}/lines")
+        batch.select(key).distinct().write.mode("overwrite").parquet(f"{out}/audited/batch={n}")
+        touched = spark.read.schema(f"{key} {batch.schema[key].dataType.simpleString()}").parquet(f"{out}/audited/batch={n}").withColumn("_bucket", project_bucket(key, buckets))
+        held = stored_lines(spark, out, batch.schema, touched, n)
+        checks(held.join(touched.select(key), key, "left_semi").select(*batch.columns)).write.mode("overwrite").parquet(f"{out}/findings/batch={n}")
 
     return lines.writeStream.foreachBatch(one).option("checkpointLocation", state).trigger(availableNow=True).start()
 
