@@ -98,22 +98,69 @@ def dataset_scope(datasets: DataFrame, reads: DataFrame) -> DataFrame:
         _rows(j, F.col("_live") & F.col("source_status").isin("missing", "unknown"), "source_unresolved", "dataset_id", "candidate")])
 
 
-def propagate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def propagate(nodes: DataFrame, edges: DataFrame, rounds: list[str] | None = None) -> DataFrame:
     """Nodes reached from formal raw-p selections, each with its smallest origin.
 
-    A wave carries (node, origin) only where the origin is new or smaller, so cycles end. Each wave is
-    written to the checkpoint folder; its size is the change, not the graph.
+    Chains are shortened before anything is sent along them. A node with one node before it points to that node; pointers
+    are doubled, with the smallest origin met, until they end at a node without or with several nodes before it. What is
+    left is a graph between these last, and is shortened again as long as that halves it. Waves run on the rest, and the
+    results go back through the shortened chains. A chain of n steps so takes log2(n) rounds instead of n; cycles end, as
+    pointers are doubled no more often than the number of nodes allows. Each round is written to the checkpoint folder.
+    ``rounds``, if given, receives a word for each round.
     """
     known = nodes.select(K, "node_id").distinct()
-    e = cut(edges.join(known.withColumnRenamed("node_id", "to_node"), [K, "to_node"], "left_semi").select(K, "from_node", "to_node").distinct())
-    best = cut(nodes.where("selection_field = 'raw_p' and formal_selection").select(K, "node_id", F.col("node_id").alias("origin")).distinct())
-    wave = best
+    e = edges.join(known.withColumnRenamed("node_id", "to_node"), [K, "to_node"], "left_semi").where("from_node <> to_node")
+    e = cut(e.select(K, F.col("from_node").alias("u"), F.col("to_node").alias("v")).distinct())
+    own = cut(nodes.where("selection_field = 'raw_p' and formal_selection").select(K, "node_id", F.col("node_id").alias("origin")).distinct())
+    best = _spread(own, e, [] if rounds is None else rounds)
+    return best.select(K, "node_id", "origin")
+
+
+def _lowest(df: DataFrame) -> DataFrame:
+    return df.where("origin is not null").groupBy(K, "node_id").agg(F.min("origin").alias("origin"))
+
+
+def _spread(own: DataFrame, e: DataFrame, rounds: list[str]) -> DataFrame:
+    """Smallest origin of every node that has one. ``own``: project_id, node_id, origin; ``e``: project_id, u, v, distinct."""
+    size = e.count()
+    if not size:
+        return own
+    before = e.groupBy(K, "v").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("to"))
+    chain = before.where("n = 1").select(K, F.col("v").alias("node_id"), "to").join(own, [K, "node_id"], "left")
+    chain = cut(chain)
+    for _ in range(chain.count().bit_length() + 1):
+        ahead = chain.select(K, F.col("node_id").alias("to"), F.col("to").alias("_to"), F.col("origin").alias("_o"))
+        if chain.join(ahead, [K, "to"], "left_semi").isEmpty():
+            break
+        rounds.append("double")
+        chain = cut(chain.join(ahead, [K, "to"], "left").select(K, "node_id", F.coalesce("_to", "to").alias("to"), F.least("origin", "_o").alias("origin")))
+    # a pointer that still leads to a chain node runs in a cycle, whose smallest origin it has met
+    join_ = e.join(before.where("n > 1").select(K, "v"), [K, "v"], "left_semi")
+    ends = chain.select(K, F.col("node_id").alias("u"), "to", F.col("origin").alias("_o"))
+    inner = join_.join(ends, [K, "u"], "left").select(K, F.coalesce("to", "u").alias("u"), "v", "_o")
+    inner = cut(inner)
+    core = inner.select(K, F.col("u").alias("_u"), "v").join(before.where("n > 1").select(K, F.col("v").alias("_u")), [K, "_u"], "left_semi").where("_u <> v").select(K, F.col("_u").alias("u"), "v").distinct()
+    core = cut(core)
+    # origins that reach a node of the core over its chains, or from a node without any before it
+    first = inner.join(own.select(K, F.col("node_id").alias("u"), F.col("origin").alias("_own")), [K, "u"], "left").select(K, F.col("v").alias("node_id"), F.least("_o", "_own").alias("origin"))
+    start = cut(_lowest(own.unionByName(first)))
+    left = core.count()
+    solved = (_spread(start, core, rounds) if left * 2 <= size else _waves(start, core, rounds)) if left else start
+    solved = cut(solved)
+    back = chain.join(solved.select(K, F.col("node_id").alias("to"), F.col("origin").alias("_o")), [K, "to"], "left").select(K, "node_id", F.least("origin", "_o").alias("origin"))
+    return cut(_lowest(solved.unionByName(back)))
+
+
+def _waves(own: DataFrame, e: DataFrame, rounds: list[str]) -> DataFrame:
+    """A wave carries (node, origin) only where the origin is new or smaller; its size is the change, not the graph."""
+    best = wave = own
     while True:
-        sent = wave.join(e.withColumnRenamed("from_node", "node_id"), [K, "node_id"]).groupBy(K, F.col("to_node").alias("node_id")).agg(F.min("origin").alias("origin"))
+        rounds.append("wave")
+        sent = wave.join(e.withColumnRenamed("u", "node_id"), [K, "node_id"]).groupBy(K, F.col("v").alias("node_id")).agg(F.min("origin").alias("origin"))
         wave = cut(sent.join(best.withColumnRenamed("origin", "_o"), [K, "node_id"], "left").where("_o is null or origin < _o").select(K, "node_id", "origin"))
         if wave.isEmpty():
             return best
-        best = cut(best.unionByName(wave).groupBy(K, "node_id").agg(F.min("origin").alias("origin")))
+        best = cut(_lowest(best.unionByName(wave)))
 
 
 def stat_flow(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -97,3 +97,39 @@ def test_first_come_settles_blocks_at_once(spark):
     rounds = []
     whole = [("p", u, v) for u in range(300) for v in range(300)]
     assert G.first_come(spark.createDataFrame(whole, "project_id string, uid long, v long"), "B", rounds).count() == 300 and len(rounds) == 1
+
+
+def test_a_long_chain_takes_few_rounds(spark):
+    steps = 10_000
+    e = spark.range(steps).select(F.lit("p").alias("project_id"), F.col("id").alias("from_node"), (F.col("id") + 1).alias("to_node"))
+    n = spark.range(steps + 1).select(F.lit("p").alias("project_id"), F.col("id").alias("node_id"), F.when(F.col("id").isin(7, 5000), "raw_p").otherwise("fdr").alias("selection_field"), F.lit(True).alias("formal_selection"))
+    rounds = []
+    got = Q.propagate(n, e, rounds).agg(F.count("*").alias("n"), F.min("node_id").alias("low"), F.max("origin").alias("top")).first()
+    assert (got.n, got.low, got.top) == (steps - 6, 7, 7) and len(rounds) <= 15
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_taint_of_tangled_graphs(spark, seed):
+    """Chains, cycles, ladders, parallel edges and several projects against a plain search."""
+    import random
+    rng = random.Random(seed)
+    edges, names = set(), {}
+    for p in "ab":
+        size = 60
+        names[p] = list(range(size))
+        edges |= {(p, k, k + 1) for k in range(0, 25)} | {(p, 30 + k, 30 + (k + 1) % 6) for k in range(6)} | {(p, 24, 40), (p, 40, 41), (p, 40, 42), (p, 41, 43), (p, 42, 43), (p, 43, 44), (p, 33, 44), (p, 5, 5)}
+        edges |= {(p, rng.randrange(size), rng.randrange(size)) for _ in range(rng.choice([0, 15, 60]))} | {(p, 200, 3), (p, 44, 201)}
+    sources = {(p, rng.randrange(60)) for p in "ab" for _ in range(4)}
+    want = {}
+    for p, s in sorted(sources):
+        todo, seen = [s], set()
+        while todo:
+            x = todo.pop()
+            if x in seen:
+                continue
+            seen.add(x)
+            want[p, x] = min(s, want.get((p, x), s))
+            todo += [v for q, u, v in edges if q == p and u == x and v in names[p]]
+    n = spark.createDataFrame([(p, x, "raw_p" if (p, x) in sources else "fdr", True) for p in "ab" for x in names[p]], "project_id string, node_id long, selection_field string, formal_selection boolean")
+    e = spark.createDataFrame(sorted(edges) * 2, "project_id string, from_node long, to_node long")
+    assert {(r.project_id, r.node_id): r.origin for r in Q.propagate(n, e).collect()} == want
