@@ -51,16 +51,36 @@ def level_affirmative(c) -> Column:
     return F.coalesce(F.lower(F.trim(col(c))).isin(V.AFFIRMATIVE_LEVELS), F.lit(False))
 
 
-def expand_refs(c) -> Column:
-    """'1-5,7' -> [1,2,3,4,5,7]; parts that are no numbers are dropped, also reversed ranges."""
-    parts = F.filter(F.split(F.regexp_replace(col(c), r"\s*-\s*", "-"), r"[,，\s]+"), lambda p: F.length(p) > 0)
+MOST = 10**18 - 1  # numbers of more than 18 digits stand at this value, behind every list
 
-    def one(p: Column) -> Column:
-        lo = F.regexp_extract(p, r"^(\d{1,9})(?:-\d{1,9})?$", 1).try_cast("long")
-        hi = F.coalesce(F.regexp_extract(p, r"^\d{1,9}-(\d{1,9})$", 1).try_cast("long"), lo)
-        return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
 
-    return F.flatten(F.transform(parts, one))
+def whole(digits: Column) -> Column:
+    """Digits of any length to long, at most MOST; null for empty text."""
+    short = F.regexp_replace(digits, "^0+(?=.)", "")
+    return F.when(F.length(short) > 18, F.lit(MOST)).otherwise(F.nullif(short, F.lit("")).try_cast("long"))
+
+
+def ref_ranges(c) -> Column:
+    """'1-5,7' -> [(1, 5), (7, 7)], as structs of lo and hi; parts that are no numbers are dropped, also reversed ranges.
+    A range is one entry, however long it is."""
+    parts = F.filter(F.split(F.regexp_replace(col(c), r"\s*-\s*", "-"), r"[,，\s]+"), lambda p: p.rlike(r"^\d+(-\d+)?$"))
+    ends = F.transform(parts, lambda p: F.struct(whole(F.split(p, "-")[0]).alias("lo"), whole(F.element_at(F.split(p, "-"), -1)).alias("hi")))
+    return F.filter(ends, lambda r: r["lo"] <= r["hi"])
+
+
+def range_size(ranges: Column) -> Column:
+    """How many numbers the ranges hold together."""
+    return F.aggregate(ranges, F.lit(0).cast("decimal(38,0)"), lambda a, r: (a + r["hi"] - r["lo"] + 1).cast("decimal(38,0)"))
+
+
+def range_total(ranges: Column) -> Column:
+    """Sum of all numbers in the ranges."""
+    def one(r: Column) -> Column:
+        ends, n = r["lo"] + r["hi"], r["hi"] - r["lo"] + 1  # one of the two is even
+        wide = lambda x: x.cast("decimal(19,0)")
+        return F.when(n % 2 == 0, wide(ends) * wide(F.shiftright(n, 1))).otherwise(wide(F.shiftright(ends, 1)) * wide(n))
+
+    return F.aggregate(ranges, F.lit(0).cast("decimal(38,0)"), lambda a, r: (a + one(r)).cast("decimal(38,0)"))
 
 
 def hamming(a, b) -> Column:

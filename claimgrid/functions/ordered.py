@@ -111,3 +111,27 @@ def bracket(points: DataFrame, probes: DataFrame, keys: list[str], value: str, s
     both = last_known(both, keys, "_x", F.col("_pt"), "below", span)
     both = next_known(both, keys, "_x", F.col("_pt"), "above", span)
     return both.where("_pr is not null").select(*keys, F.col("_x").alias(value), "below", "above")
+
+
+def missing_between(ranges: DataFrame, points: DataFrame, keys: list[str], value: str, span: int = SPAN) -> DataFrame:
+    """``ranges`` (keys, lo, hi and other columns) with ``missing``: how many whole numbers from lo to hi are no point of
+    the key, and the first and last of them; ranges without any are left out.
+
+    Points carry their rank and the run of neighbouring numbers they stand in. The first point at or above lo and the last
+    at or below hi then decide: their ranks give the number of points between, their runs the first and last gap. A range
+    is one row, whatever its length.
+    """
+    p = points.select(*keys, F.col(value).cast("long").alias("_x")).where("_x is not null").distinct()
+    p = cut(running_sum(p, keys, "_x", F.lit(1), "_rank").withColumn("_run", F.col("_x") - F.col("_rank")))
+    runs = p.groupBy(*keys, "_run").agg(F.min("_x").alias("_start"), F.max("_x").alias("_end"))
+    p = cut(p.join(runs, [*keys, "_run"]).drop("_run"))
+    ends = ranges.select(*keys, F.explode(F.array("lo", "hi")).alias("_x"))
+    near = bracket(p.select(*keys, "_x"), ends, keys, "_x", span)
+    first = near.where("above is not null").select(*keys, F.col("_x").alias("lo"), F.col("above").alias("_a")).join(p.select(*keys, F.col("_x").alias("_a"), F.col("_rank").alias("_ra"), F.col("_end").alias("_ea")), [*keys, "_a"])
+    last = near.where("below is not null").select(*keys, F.col("_x").alias("hi"), F.col("below").alias("_b")).join(p.select(*keys, F.col("_x").alias("_b"), F.col("_rank").alias("_rb"), F.col("_start").alias("_sb")), [*keys, "_b"])
+    d = ranges.join(first, [*keys, "lo"], "left").join(last, [*keys, "hi"], "left")
+    inside = F.when(F.col("_a") <= F.col("hi"), F.col("_rb") - F.col("_ra") + 1).otherwise(0)
+    d = d.withColumn("missing", F.col("hi") - F.col("lo") + 1 - inside).where("missing > 0")
+    d = d.withColumn("first_missing", F.when(F.col("_a") == F.col("lo"), F.col("_ea") + 1).otherwise(F.col("lo")))
+    d = d.withColumn("last_missing", F.when(F.col("_b") == F.col("hi"), F.col("_sb") - 1).otherwise(F.col("hi")))
+    return d.drop("_a", "_ra", "_ea", "_b", "_rb", "_sb")

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from claimgrid.functions import text as T
-from claimgrid.functions.numbers import expand_refs, integer, number
+from claimgrid.functions.numbers import integer, number, ref_ranges
 from claimgrid.functions.ordered import last_known, neighbours, next_row, previous_row
 from claimgrid.rules import values as V
 
@@ -158,7 +158,7 @@ def split_references(texts: DataFrame, marker: str = V.REFERENCE_MARKERS[0], sto
 
 
 def citations(body: DataFrame, names: dict[str, list[str]] = V.DATABASE_REFERENCES, text: str = "body") -> DataFrame:
-    """Resource names followed within 24 letters by a bracketed reference list, one row per number."""
+    """Resource names followed within 24 letters by a bracketed reference list, one row per number or range (ref to ref_to)."""
     flat = F.regexp_replace(text, r"(?U)\s+", " ")
     arrays = []
     for name, words in names.items():
@@ -172,8 +172,8 @@ def citations(body: DataFrame, names: dict[str, list[str]] = V.DATABASE_REFERENC
             )
             arrays.append(T.each(zipped, "hit", resource=name))
     hits = body.select(K, F.explode(F.flatten(F.array(*arrays))).alias("h"))
-    each = hits.select(K, "h.resource", F.trim("h.hit.context").alias("context"), F.explode(expand_refs("h.hit.refs")).alias("ref"))
-    return each.dropDuplicates([K, "resource", "ref", "context"])
+    each = hits.select(K, "h.resource", F.trim("h.hit.context").alias("context"), F.explode(ref_ranges("h.hit.refs")).alias("r"))
+    return each.select(K, "resource", "context", F.col("r.lo").alias("ref"), F.col("r.hi").alias("ref_to")).dropDuplicates([K, "resource", "ref", "ref_to", "context"])
 
 
 def pair_claims(lines: DataFrame, keyword: str = "mantel") -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from claimgrid.functions import text as T
 from claimgrid.functions.keyed import contains_join, keep_first, matching, samples
-from claimgrid.functions.numbers import integer, number
-from claimgrid.functions.ordered import bracket, last_known
+from claimgrid.functions.numbers import integer, number, whole
+from claimgrid.functions.ordered import bracket, last_known, missing_between
 from claimgrid.operators.extract import K, extract
 from claimgrid.rules import values as V
 
@@ -178,22 +178,27 @@ def dataset_presence(report_ids: DataFrame, dir_ids: DataFrame, code_ids: DataFr
 def citation_check(citations: DataFrame, references: DataFrame, mentions: DataFrame, names=V.DATABASE_REFERENCES) -> DataFrame:
     """Citations whose number does not exist or points to another resource, and mentions without a number.
 
-    ``mentions``: project_id, resource. Only projects with a reference list are judged.
+    ``mentions``: project_id, resource. Only projects with a reference list are judged. A cited range is one row for each
+    problem, with the first and last number that has it and how many have it.
     """
     have_list = references.groupBy(K).agg(F.max("ref").alias("_max"))
     low = F.lower("reference")
     fits = matching(references, [(T.any_contains(low, ws), {"resource": n}) for n, ws in names.items()], [K, "ref"])
     cand = samples(fits.withColumn("ref", F.lpad(F.col("ref").cast("string"), 6, "0")), [K, "resource"], "ref", 10, "candidates")
-    cited = citations.select(K, "resource", "ref").distinct().join(have_list, K)
-    out_of_range = cited.where("ref < 1 or ref > _max").select(K, "resource", "ref").withColumn("problem", F.lit("out_of_range"))
-    wrong = cited.where("ref between 1 and _max").join(fits, [K, "resource", "ref"], "left_anti").select(K, "resource", "ref").withColumn("problem", F.lit("mismatch"))
+    cited = citations.select(K, "resource", "ref", "ref_to").distinct().join(have_list, K)
+    layout = [K, "resource", "ref", "ref_to", (F.col("ref_to") - F.col("ref") + 1).alias("refs"), F.lit("out_of_range").alias("problem")]
+    below = cited.where("ref < 1").withColumn("ref_to", F.least("ref_to", F.lit(0))).select(*layout)
+    above = cited.where("ref_to > _max").withColumn("ref", F.greatest("ref", F.col("_max") + 1)).select(*layout)
+    within = cited.select(K, "resource", F.greatest("ref", F.lit(1)).alias("lo"), F.least("ref_to", "_max").alias("hi")).where("lo <= hi").distinct()
+    wrong = missing_between(within, fits, [K, "resource"], "ref").select(
+        K, "resource", F.col("first_missing").alias("ref"), F.col("last_missing").alias("ref_to"), F.col("missing").alias("refs"), F.lit("mismatch").alias("problem"))
     bare = (
         mentions.select(K, "resource").distinct().join(have_list.select(K), K, "left_semi")
         .join(citations.select(K, "resource").distinct(), [K, "resource"], "left_anti")
-        .select(K, "resource", F.lit(None).cast("long").alias("ref"), F.lit("no_citation").alias("problem"))
+        .select(K, "resource", *[F.lit(None).cast("long").alias(c) for c in ("ref", "ref_to", "refs")], F.lit("no_citation").alias("problem"))
     )
     sev = F.when(F.col("problem") == "no_citation", "MAJOR").otherwise("CRITICAL")
-    return out_of_range.unionByName(wrong).unionByName(bare).join(cand, [K, "resource"], "left").withColumn("severity", sev)
+    return below.unionByName(above).unionByName(wrong).unionByName(bare).join(cand, [K, "resource"], "left").withColumn("severity", sev)
 
 
 def path_claims(lines: DataFrame) -> DataFrame:
@@ -218,12 +223,12 @@ def missing_in_range(lines: DataFrame) -> DataFrame:
     p = V.FIGURE_RANGE
     g = [F.regexp_extract_all("text", F.lit(p), F.lit(i)).alias(n) for i, n in enumerate(["p1", "a", "p2", "b"], 1)]
     r = lines.select(K, "line", F.explode(F.arrays_zip(*g)).alias("r")).where("r.p1 = r.p2")
-    a, b = F.col("r.a").cast("int"), F.col("r.b").cast("int")
-    need = r.where(a <= b).select(K, "line", F.col("r.p1").alias("prefix"), F.explode(F.sequence(a, b)).alias("n"))
+    need = r.select(K, "line", F.col("r.p1").alias("prefix"), whole(F.col("r.a")).alias("lo"), whole(F.col("r.b")).alias("hi")).where("lo <= hi")
     seen = lines.select(K, F.explode(F.regexp_extract_all(F.replace("text", F.lit(" ")), F.lit(r"Fig\.?(\d+-\d+)"), F.lit(1))).alias("f"))
-    seen = seen.select(K, F.split("f", "-")[0].alias("prefix"), F.split("f", "-")[1].cast("int").alias("n")).distinct()
-    return need.join(seen, [K, "prefix", "n"], "left_anti").groupBy(K, "line", "prefix").agg(
-        F.count(F.lit(1)).alias("missing"), F.min("n").alias("first_missing"), F.max("n").alias("last_missing")).withColumn("severity", F.lit("MAJOR"))
+    seen = seen.select(K, F.split("f", "-")[0].alias("prefix"), whole(F.split("f", "-")[1]).alias("n"))
+    found = missing_between(need, seen, [K, "prefix"], "n")
+    per = found.groupBy(K, "line", "prefix").agg(F.sum("missing").alias("missing"), F.min("first_missing").alias("first_missing"), F.max("last_missing").alias("last_missing"))
+    return per.withColumn("severity", F.lit("MAJOR"))
 
 
 def claim_without_asset(lines: DataFrame, markers: DataFrame, dirs: DataFrame, files: DataFrame, words: list[str], dir_words: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from claimgrid.functions import text as T
 from claimgrid.functions.keys import finding_key, map_hash, raw_finding_id, severity_rank
-from claimgrid.functions.numbers import bonferroni, correlation_band, expand_refs, first_number, gradient_hash, level_score, number, p_significant, percent_in_parens, statistic_reading
+from claimgrid.functions.numbers import bonferroni, correlation_band, first_number, gradient_hash, level_score, number, p_significant, percent_in_parens, range_size, range_total, ref_ranges, statistic_reading
 from claimgrid.operators import extract as X, ordered_checks as W, predicates as P, reconcile as J
 from claimgrid.plans.queries.base import VIEWS, query
 from claimgrid.rules import values as V
@@ -73,8 +73,8 @@ def _(s):
 @query("F07_reference_ranges", """
 select o_orderkey, cast(o_custkey % 7 + 2 as bigint) as refs, cast((o_custkey % 7 + 1) * (o_custkey % 7 + 2) / 2 + 40 as bigint) as total from orders""")
 def _(s):
-    refs = expand_refs(F.concat(F.lit("1-"), F.col("o_custkey") % 7 + 1, F.lit(" , 40，x")))
-    return s.orders.select("o_orderkey", F.size(refs).cast("long").alias("refs"), F.aggregate(refs, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    refs = ref_ranges(F.concat(F.lit("1-"), F.col("o_custkey") % 7 + 1, F.lit(" , 40，x")))
+    return s.orders.select("o_orderkey", range_size(refs).cast("long").alias("refs"), range_total(refs).cast("long").alias("total"))
 
 
 @query("F08_dotted_ids", """
