@@ -315,11 +315,13 @@ def unknown_symbols(symbols: DataFrame, table_symbols: DataFrame, distance: int
     lost = symbols.select(K, "symbol").distinct().join(have, [K, "symbol"], "left_anti")
 
     def rests(symbols: DataFrame) -> DataFrame:
-        out = symbols.withColumn("_rest", F.col("symbol"))
+        """Hashes of all rests of a symbol, made within its row; what two symbols have in common by chance falls to the
+        edit distance below."""
+        shorter = "transform(sequence(1, length(r)), i -> concat(substr(r, 1, i - 1), substr(r, i + 1)))"
+        every = "array(symbol)"
         for _ in range(distance):
-            shorter = F.expr("case when length(_rest) > 0 then transform(sequence(1, length(_rest)), i -> concat(substr(_rest, 1, i - 1), substr(_rest, i + 1))) else array() end")
-            out = out.withColumn("_rest", F.explode(F.array_distinct(F.concat(F.array("_rest"), shorter)))).distinct()
-        return out
+            every = f"array_distinct(flatten(transform({every}, r -> case when length(r) > 0 then concat(array(r), {shorter}) else array(r) end)))"
+        return symbols.select(K, "symbol", F.explode(F.transform(F.expr(every), lambda r: F.xxhash64(r))).alias("_rest"))
 
     near = rests(lost).join(rests(have).withColumnRenamed("symbol", "_s"), [K, "_rest"]).select(K, "symbol", "_s").distinct()
     near = near.withColumn("_d", F.levenshtein("symbol", "_s")).where(F.col("_d") <= distance)

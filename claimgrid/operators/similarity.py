@@ -11,6 +11,7 @@ from claimgrid.functions.keyed import first_k
 from claimgrid.functions.numbers import hamming
 from claimgrid.operators.extract import K
 from claimgrid.rules import values as V
+from claimgrid.session import cut
 
 
 # --- models ---------------------------------------------------------------------------------------
@@ -164,23 +165,25 @@ def history_hints(findings: DataFrame, history: DataFrame, k: int = 3, least: fl
     """Past findings of the same category whose words have a Jaccard similarity of ``least`` with a current one, best
     ``k`` as hints.
 
-    A finding of n words shares at least ``least`` x n of them with such a past one, so it must share one of its
-    n - ceil(least x n) + 1 rarest; words are counted in the history. The score is exact for every candidate.
+    With n words here and p words there, at least a = t / (1 + t) x (n + p) must be common, so one of the n - a + 1 words
+    that are rarest in the history must be. The more words the past finding has, the fewer and rarer words lead to it, and
+    frequent words lead only to short ones. Only words of current findings are kept of the history. The score is exact
+    for every candidate; their texts are joined last.
     """
-    h = history.select(F.col("finding_id").alias("past_id"), "category", F.explode(T.tokens("description")).alias("_w"))
-    f = findings.select("finding_id", "category", F.explode(T.tokens("description")).alias("_w"))
-    # only words of current findings are counted and kept, before anything is shuffled by word
-    used = h.join(f.select("category", "_w").distinct(), ["category", "_w"], "left_semi")
+    words = lambda d, name: d.select(F.col("finding_id").alias(name), "category", T.tokens("description").alias("_t")).withColumn("_size", F.size("_t"))
+    now, past = words(findings, "finding_id"), words(history, "past_id")
+    f = now.select("finding_id", "category", F.col("_size").alias("_n"), F.explode("_t").alias("_w"))
+    h = past.select("past_id", "category", F.col("_size").alias("_p"), F.explode("_t").alias("_w"))
+    used = cut(h.join(f.select("category", "_w").distinct(), ["category", "_w"], "left_semi"))  # the history is cut into words once
     freq = used.groupBy("category", "_w").agg(F.count(F.lit(1)).alias("_f"))
-    sizes = f.groupBy("finding_id").agg(F.count(F.lit(1)).alias("_size"))
-    turn = F.row_number().over(Window.partitionBy("finding_id").orderBy(F.coalesce("_f", F.lit(0)), "_w"))
-    rare = f.join(freq, ["category", "_w"], "left").withColumn("_turn", turn).join(sizes, "finding_id").where(F.col("_turn") <= F.col("_size") - F.ceil(F.round(F.col("_size") * least, 6)) + 1)
-    near = rare.select("finding_id", "category", "_w").join(used, ["category", "_w"]).select("finding_id", "past_id").distinct()
-    # the texts are joined to the candidate ids last, so that they do not travel with every word
-    past = history.select(F.col("finding_id").alias("past_id"), T.tokens("description").alias("_p"))
-    now = findings.select("finding_id", T.tokens("description").alias("_n"))
-    both = near.join(now, "finding_id").join(past, "past_id")
-    union = F.size("_n") + F.size("_p") - F.size(F.array_intersect("_n", "_p"))
-    scored = both.withColumn("score", F.round(F.size(F.array_intersect("_n", "_p")) / union, 6))
-    scored = scored.where(F.col("score") >= least)
+    turn = F.row_number().over(Window.partitionBy("finding_id").orderBy("_f", "_w"))  # words without any past finding stand first
+    ranked = f.join(freq, ["category", "_w"], "left").withColumn("_turn", turn).where("_f is not null")
+    t = least - 1e-6  # scores are rounded
+    common = F.ceil(F.round(F.lit(t / (1 + t)) * (F.col("_n") + F.col("_p")), 6))
+    near = ranked.join(used, ["category", "_w"]).where(F.col("_turn") <= F.col("_n") - common + 1).select("finding_id", "past_id").distinct()
+    near = cut(near)  # read twice: once to choose the texts that are cut into words again
+    met = history.select(F.col("finding_id").alias("past_id"), "description").join(near.select("past_id").distinct(), "past_id", "left_semi")
+    both = near.join(now.select("finding_id", F.col("_t").alias("_a")), "finding_id").join(met.select("past_id", T.tokens("description").alias("_b")), "past_id")
+    shared = F.size(F.array_intersect("_a", "_b"))
+    scored = both.withColumn("score", F.round(shared / (F.size("_a") + F.size("_b") - shared), 6)).where(F.col("score") >= least)
     return first_k(scored.select("finding_id", "past_id", "score"), ["finding_id"], [F.desc("score"), F.asc("past_id")], k)
