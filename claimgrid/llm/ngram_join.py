@@ -208,13 +208,15 @@ def taken_apart(large: DataFrame, percent: int) -> DataFrame:
 def clusters(seen: DataFrame, percent: int = 90) -> DataFrame:
     """node, cluster, members, centre, doc_id, key: documents, one for each set, that may be linked through others of
     their cluster. ``centre``: the node of which most first shingles stand in other documents too."""
-    heads = grouped(seen.filter("node is not null"), "node").agg(F.min(F.struct("doc_id", "key")).alias("head")).drop(DEAL)
+    heads = grouped(seen.filter("node is not null"), "node").agg(F.min(F.struct("doc_id", "key")).alias("head"), F.max("n").alias("n")).drop(DEAL)
+    sizes, heads = heads.select("node", "n"), heads.drop("n")
     sets = seen.join(heads, "node").filter("doc_id = head.doc_id and key = head.key")
-    at = sets.select("node", "n", F.explode("first").alias("shingle"))
-    found = grouped(at, "shingle").count().drop(DEAL).filter("count > 1")
+    at = sets.select("node", F.explode("first").alias("shingle"))
+    # dealt by one more bit, like ``grouped``, which costs nothing in the shuffle; the size is joined to the lists, not sent with every shingle
+    found = at.groupBy("shingle", F.pmod("shingle", F.lit(2)).alias(DEAL)).count().drop(DEAL).filter("count > 1")
     smallest = F.ceil(F.col("n") * percent / 100)
     need = F.floor(smallest / 20) + 1  # shingles shared even with the smallest possible partner
-    shared = at.join(found, "shingle").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("count", "shingle"))).alias("shared")).filter(F.size("shared") >= need)
+    shared = at.join(found, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("count", "shingle"))).alias("shared")).join(sizes, "node").filter(F.size("shared") >= need)
     prefix = written(shared.select("node", "n", F.size("shared").alias("typical"), F.slice("shared.shingle", F.lit(1), (F.size("shared") - need + 1).cast("int")).alias("prefix")), "join-prefixes")
     groups = prefix.select("node", "n", "prefix", F.xxhash64("n", "prefix").alias("grp"))
     members = groups.select("node", "grp")
