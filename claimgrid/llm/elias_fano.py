@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import mmap
-import tempfile
 
 import numpy as np
 
@@ -113,29 +112,32 @@ class Level:
         return Level(EliasFano.encode(pointer), EliasFano.encode(base), EliasFano.encode(base[context] + successor), *quantise(prob), *quantise(rest))
 
     def find(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """Entry of each (context, successor), -1 if there is none."""
+        """Entry of each (context, successor), -1 if there is none. The successors of a context are those between its
+        base and the next one's, which its pointers bound."""
         out = np.full(len(context), -1, np.int64)
         if not self.value.n or not len(context):
             return out
-        pair, back = np.unique(context << 22 | successor, return_inverse=True)
-        context, successor = pair >> 22, pair & ((1 << 22) - 1)
-        base, limit = self.base.take(context), self.base.take(context + 1)
-        ok = successor < limit - base
-        found = np.full(len(pair), -1, np.int64)
-        found[ok] = self.value.find((base + successor)[ok])
-        return found[back]
+        base, limit, low, high = self._at(self.base, context), self._at(self.base, context + 1), self.first(context), self.first(context + 1)
+        ok = np.flatnonzero((successor < limit - base) & (high > low))
+        wanted, back = np.unique((base + successor)[ok], return_inverse=True)
+        out[ok] = self.value.find(wanted)[back]
+        return out
+
+    @staticmethod
+    def _at(sequence: EliasFano, places: np.ndarray) -> np.ndarray:
+        only, back = np.unique(places, return_inverse=True)
+        return sequence.take(only)[back]
 
     def first(self, context: np.ndarray) -> np.ndarray:
-        only, back = np.unique(context, return_inverse=True)
-        return self.pointer.take(only)[back]
+        return self._at(self.pointer, context)
 
     def arrays(self) -> list[np.ndarray]:
         return [*self.pointer.arrays(), *self.base.arrays(), *self.value.arrays(), self.prob, self.probs, self.rest, self.rests]
 
 
 class Trie:
-    """Levels of two- and three-grams over word numbers. The successors of the third level are not words but places
-    among the successors of the shorter context, which are fewer."""
+    """Levels of an n-gram trie. A level's contexts are places in an ascending list, its successors are numbers that tell
+    the successors of one context apart."""
 
     def __init__(self, levels: list[Level]):
         self.levels = levels
@@ -145,49 +147,12 @@ class Trie:
 
     @staticmethod
     def load(data: bytes) -> "Trie":
-        """Map the levels from a file that has no name any more, so that it goes with the process."""
-        with tempfile.TemporaryFile() as f:
-            f.write(data)
-            f.flush()
-            view = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        """The levels over a memory map that holds all their arrays; no file of one machine is needed."""
+        view = mmap.mmap(-1, len(data))
+        view.write(data)
         arrays = unpacked(view)
         levels = []
         for k in range(0, len(arrays), 16):
             made = [EliasFano(int(arrays[i][0]), int(arrays[i][1]), *arrays[i + 1: i + 4]) for i in range(k, k + 12, 4)]
             levels.append(Level(*made, *arrays[k + 12: k + 16]))
         return Trie(levels)
-
-
-class Part:
-    """The n-grams of one part of the hashed keys: a level whose contexts and successors are places in the part's own
-    ascending Elias-Fano sequences of hashes (63 bits), with a second code for each entry, what it leaves as a context."""
-
-    def __init__(self, contexts: EliasFano, words: EliasFano, level: Level):
-        self.contexts, self.words, self.level = contexts, words, level
-
-    @staticmethod
-    def build(context: np.ndarray, word: np.ndarray, prob: np.ndarray, rest: np.ndarray) -> "Part":
-        contexts, a = np.unique(context.view(np.uint64) >> np.uint64(1), return_inverse=True)
-        words, b = np.unique(word.view(np.uint64) >> np.uint64(1), return_inverse=True)
-        order = np.lexsort((b, a))
-        return Part(EliasFano.encode(contexts.astype(np.int64)), EliasFano.encode(words.astype(np.int64)), Level.build(len(contexts), a[order], b[order], prob[order], rest[order]))
-
-    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Entry of each pair of hashes, -1 if there is none."""
-        places = []
-        for held, hashes in ((self.contexts, context), (self.words, word)):
-            only, back = np.unique(hashes.view(np.uint64) >> np.uint64(1), return_inverse=True)
-            places.append(held.find(only.astype(np.int64))[back])
-        out = np.full(len(context), -1, np.int64)
-        ok = (places[0] >= 0) & (places[1] >= 0)
-        out[ok] = self.level.find(places[0][ok], places[1][ok])
-        return out
-
-    def dump(self) -> bytes:
-        return packed([*self.contexts.arrays(), *self.words.arrays(), *self.level.arrays()])
-
-    @staticmethod
-    def load(data: bytes) -> "Part":
-        arrays = unpacked(data)
-        made = [EliasFano(int(arrays[i][0]), int(arrays[i][1]), *arrays[i + 1: i + 4]) for i in range(0, 20, 4)]
-        return Part(made[0], made[1], Level(*made[2:], *arrays[20:24]))

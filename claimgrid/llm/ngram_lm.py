@@ -1,10 +1,16 @@
 """LM scoring with Elias-Fano n-gram tries.
 
-Word counts come from all training texts. The most frequent words, at most ``MAX_KNOWN``, are sent to the executors
-with their counts; the other tokens of a text meet their counts in a join. All two- and three-grams counted ``LEAST``
-times or more are kept, over all words and whatever the size of the input. They are dealt by a hash into parts of bounded
-size, each an Elias-Fano trie in the shared folder. Texts are scored in blocks of a few MB: the different n-grams of a
-block are sent to their parts, and what is found comes back to the block. Words and n-grams are named by 64-bit hashes.
+All two-grams counted ``LEAST`` times or more are kept, and all three-grams so counted whose two two-grams are kept,
+whatever the size of the input. N-grams are dealt by their context into parts of bounded size; a context that holds a
+large share of the tokens is dealt by its successors too. Each part is one level of a trie: pointers to the successors
+of each context, the successors as a monotone sequence, and quantised probabilities, all in one memory map, searched
+relative to the context.
+
+Texts are held in blocks of a few MB. Each block sends its different two-grams to their parts with the number of times
+they stand in training texts. A part sums these, builds its level, looks up what each block asked for, and answers in the
+order of the questions: a bit for each two-gram and the probability of those that it holds. With the answers a block
+knows which three-grams can be kept at all, and asks for these in the same way. So every n-gram is shuffled once, as a
+question, and answers need no names. Contexts are named by 64 bits, the successors of one context by ``BITS`` bits.
 
 Smoothing is interpolated absolute discounting: p(w | c) = (n(c w) - D) / n(c) + rest(c) * p(w | shorter c) for what the
 tries hold and rest(c) * p(w | shorter c) otherwise, where rest(c) is what the kept successors leave. The shortest
@@ -18,17 +24,40 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimgrid.llm import flat
-from claimgrid.llm.elias_fano import Part
-from claimgrid.llm.tables import DEAL, crc_part, grouped, keyed, plain_id, query, table, written
+from claimgrid.llm.elias_fano import Level, Trie
+from claimgrid.llm.tables import LAST_ID, crc_part, plain_id, query, table, written
 
-MAX_KNOWN, LEAST, DISCOUNT = 1 << 18, 2, 0.6
+LEAST, DISCOUNT = 2, 0.6
 START, END = np.uint64(0x5D588B656C078965), np.uint64(0x27BB2EE687B0B0FD)
-SLICE, BLOCK, PART_BYTES = 4 << 20, 2 << 20, 4 << 20
+#: Bytes of text in a block, bytes of text whose n-grams make a part, and the share (one in SHARE) of all tokens from
+#: which a context is dealt by its successors: at most 2 * SHARE + 1 words and SHARE two-grams have it.
+BLOCK, PART_BYTES, SHARE = 8 << 20, 32 << 20, 1024
+BITS = 40
+CELL, ANSWER = "part int, block long, cell binary", "block long, part int, cell binary, name long, value double"
+TAKEN, TYPES, OFTEN = -1, -2, -3  # in place of a block: what a part says to all of them
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers, the first bytes of all numbers, then the second ones and so on, compressed."""
+    head = np.array([len(arrays), *(x for a in arrays for x in (ord(a.dtype.char), len(a)))], np.int64)
+    body = b"".join([head.tobytes(), *(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays)])
+    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    body = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    count = int(np.frombuffer(body, np.int64, 1)[0])
+    at, out = 8 + 16 * count, []
+    for kind, n in np.frombuffer(body, np.int64, 2 * count, 8).reshape(-1, 2).tolist():
+        kind = np.dtype(chr(kind))
+        out.append(np.ascontiguousarray(np.frombuffer(body, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n).T).view(kind).reshape(n))
+        at += n * kind.itemsize
+    return out
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,277 +71,279 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, first + np.arange(len(first))
 
 
-def _sum(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    names, at = np.unique(values, return_inverse=True)
-    return names, np.bincount(at, counts, len(names)).astype(np.int64)
-
-
-def _tally(grams_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts that are summed within the task first, some slices at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-        for batch in batches:
-            for _, data, off in flat.slices(batch, limit=SLICE):
-                found = np.unique(grams_of(*tokens(data, off)), return_counts=True)
-                held.append(found)
-                size += len(found[0])
-                if size > 1_500_000:
-                    names, counts = _sum(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
-                    held, size = [], 0
-                    yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(counts)], ["gram", "n"])
-        if held:
-            names, counts = _sum(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
-            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(counts)], ["gram", "n"])
-
-    return run
+def _key(words: np.ndarray) -> np.ndarray:
+    """What tells a word from the other successors of a context."""
+    return (words >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _numbers(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Place of each hash in the ascending vocabulary, -1 if it is not in it."""
-    if not len(vocabulary):
-        return np.full(len(hashes), -1, np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == hashes, at, -1)
+def _joined(context: np.ndarray, successor: np.ndarray) -> np.ndarray:
+    """The name of a context with one more word."""
+    return flat.mix(flat.mix(context) * np.uint64(flat.BASE) + successor.astype(np.uint64))
 
 
-def _joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The name of a context with one more word."""
-    return flat.mix(flat.mix(context) * np.uint64(flat.BASE) + word)
+def _part(names: np.ndarray, parts: int) -> np.ndarray:
+    return ((flat.mix(names) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
 
-def _grams(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each token the one before it (the start before the first), the name of both, the context of two words, and
-    whether there is one (not before the first token)."""
-    before = np.append(START, hashes[:-1])
-    before[first[:-1]] = START
-    two = _joined(before, hashes)
-    context = np.append(START, two[:-1])
-    has = np.ones(len(hashes), bool)
-    has[first[:-1]] = False
-    return before, two, context, has
+def _is_in(names: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which names are in an ascending list, and the place of each."""
+    if not len(held):
+        return np.zeros(len(names), bool), np.zeros(len(names), np.int64)
+    at = np.minimum(np.searchsorted(held, names), len(held) - 1)
+    return held[at] == names, at
 
 
-def _tally_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two- and three-grams with the name of their last two words, summed within the task, some slices at a time."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Consecutive texts of about BLOCK bytes, with their tokens counted, and the words and starts that a block's training
+    texts hold in a quarter of the share of a hot context or more (at most 4 * SHARE words)."""
     held: list[tuple[np.ndarray, ...]] = []
-
-    def summed() -> tuple[np.ndarray, ...]:
-        name, context, word, last, three, n = (np.concatenate(x) for x in zip(*held))
-        _, at, back = np.unique(name, return_index=True, return_inverse=True)
-        return name[at], context[at], word[at], last[at], three[at], np.bincount(back, n, len(at)).astype(np.int64)
+    size, block = 0, TaskContext.get().partitionId() << 32
 
     def out() -> pa.RecordBatch:
-        _, context, word, last, three, n = summed()
-        return pa.RecordBatch.from_arrays([pa.array(context.view(np.int64)), pa.array(word.view(np.int64)), pa.array(last.view(np.int64)), pa.array(three), pa.array(n)], ["context", "word", "last", "three", "n"])
+        ids, learn, data = (np.concatenate([h[i] for h in held]) for i in range(3))
+        lengths = np.concatenate([np.diff(h[3]) for h in held])
+        hashes, first = tokens(data, np.append(0, np.cumsum(lengths)))
+        train = np.repeat(learn, np.diff(first))
+        names, n = np.unique(hashes[train], return_counts=True)
+        names, n = np.append(names, START), np.append(n, learn.sum())
+        often = n * 4 * SHARE >= train.sum()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([block]), pa.array([len(data)]), pa.array([len(hashes)]), pa.array([int(train.sum())]), pa.array([pack(ids, learn, lengths)]), pa.array([pa.compress(data.tobytes(), codec="zstd", asbytes=True)]),
+             pa.array([names[often].view(np.int64)]), pa.array([n[often].astype(np.int64)])], ["block", "bytes", "tokens", "train", "rows", "texts", "often", "times"])
 
-    size = 0
     for batch in batches:
-        for _, data, off in flat.slices(batch, limit=SLICE):
-            hashes, first = tokens(data, off)
-            before, two, context, has = _grams(hashes, first)
-            names = np.concatenate([two, _joined(context[has], hashes[has])])
-            name, at, n = np.unique(names, return_index=True, return_counts=True)
-            held.append((name, np.concatenate([before, context[has]])[at], np.concatenate([hashes, hashes[has]])[at], np.concatenate([two, two[has]])[at], at >= len(two), n))
-            size += len(name)
-            if size > 1_500_000:
+        for rows, data, off in flat.slices(batch, limit=BLOCK // 2):
+            if size and size + len(data) > BLOCK:
                 yield out()
-                held, size = [], 0
+                held, size, block = [], 0, block + 1
+            held.append((rows.column(0).to_numpy(), rows.column(1).to_numpy(zero_copy_only=False), data, off))
+            size += len(data)
     if held:
         yield out()
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with the number of their block: consecutive texts of about BLOCK bytes."""
-    block, size = TaskContext.get().partitionId() << 32, 0
-    for batch in batches:
-        for rows, data, _ in flat.slices(batch, limit=BLOCK):
-            if size and size + len(data) > BLOCK:
-                block, size = block + 1, 0
-            size += len(data)
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(np.full(rows.num_rows, block))], ["doc_id", "key", "text", "block"])
-
-
-def _part(names: np.ndarray, parts: int) -> np.ndarray:
-    return ((names >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
+class Grams:
+    """Words and two-grams of a block: ``ids`` of the tokens among the ascending ``words``, the token before each (the start
+    before the first), and the number of each two-gram among the ascending ``pairs`` (before * number of words + token)."""
+
+    def __init__(self, size: int, rows: bytes, texts: bytes):
+        self.doc_ids, self.learn, lengths = unpack(rows)
+        data = np.frombuffer(pa.decompress(texts, decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+        hashes, self.first = tokens(data, np.append(0, np.cumsum(lengths)))
+        self.words, at = np.unique(np.append(START, hashes), return_inverse=True)
+        self.start, self.ids, self.width = at[0], at[1:], len(self.words)
+        self.before = np.append(self.start, self.ids[:-1])
+        self.before[self.first[:-1]] = self.start
+        self.train = np.repeat(self.learn, np.diff(self.first))
+        self.pairs, self.pair = np.unique(self.before * self.width + self.ids, return_inverse=True)
+
+    def asked(self, hot: np.ndarray, parts: int) -> "Asked":
+        n = np.bincount(self.ids, self.train, self.width).astype(np.int64)
+        n[self.start] = self.learn.sum()
+        times = np.bincount(self.pair, self.train, len(self.pairs)).astype(np.int32)
+        return Asked(self.words, n, self.pairs // self.width, _key(self.words[self.pairs % self.width]), times, hot, parts)
+
+    def above(self, kept: np.ndarray) -> None:
+        """With the two-grams that are ``kept``: the kept one before each token (-1 if there is none), the ascending names
+        of these contexts, and the three-grams that both of whose two-grams are kept."""
+        above = np.append(-1, self.pair[:-1])
+        above[self.first[:-1]] = -1
+        self.has = (above >= 0) & kept[above]
+        self.contexts = np.unique(above[self.has])
+        pairs = self.pairs[self.contexts]
+        names = _joined(self.words[pairs // self.width], _key(self.words[pairs % self.width]))
+        order = np.argsort(names)
+        self.contexts, self.names = self.contexts[order], names[order]
+        place = np.full(len(self.pairs), -1, np.int64)
+        place[self.contexts] = np.arange(len(order))
+        self.context = np.where(self.has, place[above], -1)
+        self.maybe = self.has & kept[self.pair]
+        self.threes, self.three = np.unique(self.context[self.maybe] * self.width + self.ids[self.maybe], return_inverse=True)
+
+    def asked_above(self, n: np.ndarray, hot: np.ndarray, parts: int) -> "Asked":
+        times = np.bincount(self.three, self.train[self.maybe], len(self.threes)).astype(np.int32)
+        return Asked(self.names, n[self.contexts], self.threes // self.width, _key(self.words[self.threes % self.width]), times, hot, parts)
+
+
+class Asked:
+    """Questions of a block: contexts (ascending names) and their successors (ascending within a context), dealt into the
+    parts. A context goes to the part of its name and its successors with it; those of a hot context are spread."""
+
+    def __init__(self, names: np.ndarray, n: np.ndarray, context: np.ndarray, successor: np.ndarray, times: np.ndarray, hot: np.ndarray, parts: int):
+        self.names, self.n, self.successor, self.times = names, n, successor, times
+        self.contexts = np.concatenate([np.arange(len(names)), context])
+        self.hot = _is_in(names, hot)[0]
+        home = _part(names, parts)
+        part = np.concatenate([home, np.where(self.hot[context], _part(_joined(names[context], successor), parts), home[context])])
+        self.order = np.argsort((part * len(names) + self.contexts) * 2 + (np.arange(len(part)) >= len(names)), kind="stable")
+        part = part[self.order]
+        self.cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)]), len(part))
+        self.parts = part[self.cuts[:-1]]
+
+    def cells(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each part: its number, the contexts, whether each is at home there, how many successors each has, and these."""
+        for k, part in enumerate(self.parts.tolist()):
+            entry = self.order[self.cuts[k]: self.cuts[k + 1]]
+            context, pair = self.contexts[entry], entry >= len(self.names)
+            new = np.append(True, context[1:] != context[:-1])
+            yield part, context[new], ~pair[new], np.bincount(np.cumsum(new) - 1, pair, new.sum()).astype(np.int32), entry[pair] - len(self.names)
+
+    def batch(self, block: int, everywhere: bool) -> pa.RecordBatch:
+        """``everywhere``: the number of a context is the same in all blocks, so every part may have it."""
+        made = [pack(np.diff(self.names[c], prepend=np.uint64(0)), self.n[c] * (home | everywhere), k, np.diff(self.successor[s], prepend=0) & ((1 << BITS) - 1), self.times[s]) for _, c, home, k, s in self.cells()]
+        return pa.RecordBatch.from_arrays([pa.array(self.parts.astype(np.int32)), pa.array(np.full(len(made), block)), pa.array(made, pa.binary())], ["part", "block", "cell"])
+
+    def answered(self, answers: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Whether each pair is kept, log10 of its discounted share, its number, and for each context log10 of the rest and
+        the number. ``answers`` in the order of the parts."""
+        kept, share, times = np.zeros(len(self.times), bool), np.zeros(len(self.times)), np.zeros(len(self.times), np.int64)
+        rest, n = np.zeros(len(self.names)), np.zeros(len(self.names), np.int64)
+        for (_, c, home, _, s), data in zip(self.cells(), answers, strict=True):
+            bits, value, number, left, total = unpack(data)
+            hit = s[np.unpackbits(bits, count=len(s)).astype(bool)]
+            kept[hit], share[hit], times[hit] = True, value, number
+            rest[c[home]], n[c[home]] = left[home], total[home]
+        return kept, share, times, rest, n
+
+
+def _answers(everywhere: bool, hot: np.ndarray, parts: int, often: float) -> Callable[[pa.Table], pa.Table]:
+    """The work of one part: the level of what was counted LEAST times or more, and the answers to all blocks.
+    ``everywhere`` as in the questions. In a hot context whose number no part knows the shares are counts."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        own, blocks = rows["part"][0].as_py(), rows["block"].to_pylist()
+        cells = [unpack(x) for x in rows["cell"].to_pylist()]
+        names, n, k = np.concatenate([np.cumsum(c[0], dtype=np.uint64) for c in cells]), np.concatenate([c[1] for c in cells]), np.concatenate([c[2] for c in cells])
+        successor = np.concatenate([np.cumsum(c[3]) & ((1 << BITS) - 1) for c in cells])
+        times = np.concatenate([c[4] for c in cells])
+        sizes = [(len(c[0]), len(c[3])) for c in cells]
+        del cells
+        contexts, place = np.unique(names, return_inverse=True)
+        total = np.bincount(place, n, len(contexts)).astype(np.int64)
+        if everywhere:
+            total[place] = n
+        context = np.repeat(place, k)
+        grams, gram = np.unique(context.astype(np.uint64) << np.uint64(BITS) | successor.astype(np.uint64), return_inverse=True)
+        counted = np.bincount(gram, times, len(grams)).astype(np.int64)
+        keep = counted >= LEAST
+        grams, counted = grams[keep], counted[keep]
+        of, follower = (grams >> np.uint64(BITS)).astype(np.int64), (grams & np.uint64((1 << BITS) - 1)).astype(np.int64)
+        is_hot = _is_in(contexts, hot)[0]
+        taken = np.bincount(of, counted - DISCOUNT, len(contexts))
+        left = np.log10(np.where(is_hot | (taken == 0), 1.0, (total - taken) / np.maximum(total, 1)))
+        divisor = np.where(is_hot & (not everywhere), 1, total)
+        level = Trie.load(Trie([Level.build(len(contexts), of, follower, np.log10((counted - DISCOUNT) / divisor[of]), left)]).dump()).levels[0]
+        found = level.find(context, successor)
+        rests = level.rests[level.rest[place]].astype(np.float16)
+        made, a, b = [], 0, 0
+        for c, s in sizes:
+            hit = found[b: b + s]
+            held = hit[hit >= 0]
+            made.append(pack(np.packbits(hit >= 0), level.probs[level.prob[held]].astype(np.float16), counted[held] * (not everywhere), rests[a: a + c], total[place[a: a + c]] * (not everywhere)))
+            a, b = a + c, b + s
+        said = [(TAKEN, contexts[i], taken[i]) for i in np.flatnonzero(is_hot & (taken > 0)).tolist()]
+        if not everywhere:
+            said.append((TYPES, np.uint64(0), float(((total > 0) & (contexts != START) & (_part(contexts, parts) == own)).sum())))
+            large = np.flatnonzero(counted >= often)
+            said += zip([OFTEN] * len(large), _joined(contexts[of[large]], follower[large]), counted[large].tolist())
+        return pa.table([
+            pa.array([*blocks, *(x[0] for x in said)], pa.int64()), pa.array([own] * (len(blocks) + len(said)), pa.int32()), pa.array([*made, *[None] * len(said)], pa.binary()),
+            pa.array([*[None] * len(blocks), *(int(x[1].view(np.int64)) for x in said)], pa.int64()), pa.array([*[None] * len(blocks), *(float(x[2]) for x in said)], pa.float64())], ["block", "part", "cell", "name", "value"])
 
+    return run
 
-def _wanted(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The different contexts and n-grams of each block, a row for each part that is asked for some."""
 
+def _ask(hot: np.ndarray, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            block = batch.column("block").to_numpy()
-            cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-            for low, high in zip(cuts, np.append(cuts[1:], len(block))):
-                for _, data, off in flat.slices(batch.slice(low, high - low), limit=SLICE):
-                    hashes, first = tokens(data, off)
-                    before, two, context, has = _grams(hashes, first)
-                    alone = np.unique(before)
-                    contexts, words = np.concatenate([alone, before, context[has]]), np.concatenate([np.zeros(len(alone), np.uint64), hashes, hashes[has]])
-                    names, at = np.unique(_joined(contexts, words), return_index=True)
-                    part = _part(names, parts)
-                    at = at[np.argsort(part, kind="stable")]
-                    only, starts = np.unique(np.sort(part), return_index=True)
-                    pieces = list(zip(starts.tolist(), np.append(starts[1:], len(at)).tolist()))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(only), pa.array(np.full(len(only), block[low])), pa.array([contexts[at[a:b]].tobytes() for a, b in pieces]), pa.array([words[at[a:b]].tobytes() for a, b in pieces])],
-                        ["part", "block", "contexts", "words"])
+            for block, size, rows, texts in zip(*(batch.column(c) for c in ("block", "bytes", "rows", "texts"))):
+                yield Grams(size.as_py(), rows.as_py(), texts.as_py()).asked(hot, parts).batch(block.as_py(), False)
 
     return run
 
 
-def _named_parts(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            context, word = (batch.column(c).to_numpy().view(np.uint64) for c in ("context", "word"))
-            yield pa.RecordBatch.from_arrays([pa.array(_part(_joined(context, word), parts)), *batch.columns], ["part", *batch.schema.names])
+def _grams(blocks: pa.Table) -> Grams:
+    return Grams(*(blocks[c][0].as_py() for c in ("bytes", "rows", "texts")))
+
+
+def _told(answers: pa.Table, level: int) -> list[bytes]:
+    mine = sorted((p, c) for p, c, x in zip(*(answers[c].to_pylist() for c in ("part", "cell", "level"))) if x == level)
+    return [c for _, c in mine]
+
+
+def _ask_above(hot: np.ndarray, hot_above: np.ndarray, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        grams = _grams(blocks)
+        kept, _, times, _, _ = grams.asked(hot, parts).answered(_told(answers, 2))
+        grams.above(kept)
+        return pa.Table.from_batches([grams.asked_above(times, hot_above, parts).batch(blocks["block"][0].as_py(), True)])
 
     return run
 
 
-def _build(rows: pa.Table) -> pa.Table:
-    made = Part.build(*(rows[c].to_numpy() for c in ("context", "word", "prob", "rest")))
-    return pa.table({"part": rows["part"][:1], "trie": pa.array([made.dump()], pa.binary())})
-
-
-def _answer(asked: pa.Table, tries: pa.Table) -> pa.Table:
-    """For each block what the trie of the part holds of it: names, probabilities and rests."""
-    out: list[list] = [[], [], [], []]
-    if asked.num_rows and tries.num_rows:
-        trie = Part.load(tries["trie"][0].as_py())
-        level = trie.level
-        contexts, words = ([np.frombuffer(x, np.uint64) for x in asked[c].to_pylist()] for c in ("contexts", "words"))
-        all_contexts, all_words = np.concatenate(contexts), np.concatenate(words)
-        found = trie.find(all_contexts, all_words)
-        low = 0
-        for block, piece in zip(asked["block"].to_pylist(), contexts):
-            at = low + np.flatnonzero(found[low: low + len(piece)] >= 0)
-            low += len(piece)
-            if len(at):
-                entry = found[at]
-                for to, value in zip(out, (block, _joined(all_contexts[at], all_words[at]).tobytes(), level.probs[level.prob[entry]].tobytes(), level.rests[level.rest[entry]].tobytes())):
-                    to.append(value)
-    return pa.table([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])], ["block", "names", "probs", "rests"])
-
-
-def _score(held: Broadcast) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        model = held.value
-        joined = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in found[c].to_pylist())])
-        names, at = np.unique(joined("names", np.uint64), return_index=True)
-        probs, rests = (np.append(joined(c, np.float32)[at], 0).astype(float) for c in ("probs", "rests"))
-        made = []
-        for batch in texts.combine_chunks().to_batches():
-            for rows, data, off in flat.slices(batch, limit=SLICE):
-                hashes, first = tokens(data, off)
-                known = _numbers(model["known"], hashes)
-                plain = np.where(known >= 0, model["known_log"][known] if len(model["known"]) else 0.0, 0.0)
-                before, name, context, has = _grams(hashes, first)
-                two = _numbers(names, name)
-                alone = _numbers(names, _joined(before, np.zeros(len(before), np.uint64)))
-                three = np.where(has, _numbers(names, _joined(context, hashes)), -1)
-                above = np.append(-1, two[:-1])
-                above[first[:-1]] = -1  # -1 stands for the last place, which holds 0
-                hit = (three >= 0) | (two >= 0)
-                more = np.where(three >= 0, probs[three], rests[above] + np.where(two >= 0, probs[two], rests[alone])) - hit * plain
-                tail = np.flatnonzero(known < 0)
-                doc = flat.doc_of(first, tail)
-                order = np.lexsort((hashes[tail], doc))
-                tail, doc = tail[order], doc[order]
-                new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (hashes[tail][1:] != hashes[tail][:-1]))[: len(tail)])
-                sizes = np.diff(np.append(new, len(tail)))
-                hits = np.diff(np.append(0, np.cumsum(hit[tail]))[np.append(new, len(tail))])
-                cuts = np.searchsorted(doc[new], np.arange(rows.num_rows + 1)).astype(np.int32)
-                sums = lambda v: np.add.reduceat(v, first[:-1])  # noqa: E731  every text has a token
-                made.append(pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), rows.column("key"), pa.array(np.diff(first)), pa.array(sums((known >= 0).astype(np.int64))), pa.array(sums(plain)), pa.array(sums(more)),
-                     pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([pa.array(hashes[tail[new]].view(np.int64)), pa.array(sizes), pa.array(hits)], ["gram", "times", "hits"]))],
-                    ["doc_id", "key", "n_tokens", "n_known", "base", "more", "tail"]))
-        return pa.Table.from_batches(made, None if made else SCORED_ARROW)
+def _left(names: np.ndarray, n: np.ndarray, rest: np.ndarray, taken: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The rest of each context, those of hot contexts from what all parts took of them."""
+    found, at = _is_in(names, taken[0])
+    out = 10.0 ** rest
+    out[found] = 1 - taken[1][at[found]] / n[found]
+    return out
+
+
+def _score(hot: np.ndarray, hot_above: np.ndarray, taken: tuple[np.ndarray, np.ndarray], taken_above: tuple[np.ndarray, np.ndarray], parts: int, slots: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        g = _grams(blocks)
+        asked = g.asked(hot, parts)
+        kept, share, times, rest, n = asked.answered(_told(answers, 2))
+        rest = _left(g.words, n, rest, taken)
+        context = g.pairs // g.width
+        share = np.where(kept, 10.0 ** share / np.where(asked.hot[context], np.maximum(n[context], 1), 1), 0.0)
+        plain = (n[g.ids] + 0.5) / slots
+        p = share[g.pair] + rest[g.before] * plain
+        g.above(kept)
+        of = times[g.contexts]
+        held, share, _, rest, _ = g.asked_above(times, hot_above, parts).answered(_told(answers, 3))
+        rest = _left(g.names, of, rest, taken_above)
+        p[g.has] *= rest[g.context[g.has]]
+        p[np.flatnonzero(g.maybe)] += np.where(held, 10.0 ** share, 0.0)[g.three]
+        at = g.first[:-1]  # every text has a token
+        sums = lambda v: np.add.reduceat(v, at) if len(at) else v
+        return pa.table([pa.array(g.doc_ids), pa.array(np.diff(g.first)), pa.array(sums((n[g.ids] > 0).astype(np.int64))), pa.array(sums(np.log10(plain))), pa.array(sums(np.log10(p)))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-SCORED = "doc_id long, key long, n_tokens long, n_known long, base double, more double, tail array<struct<gram:bigint,times:bigint,hits:bigint>>"
-SCORED_ARROW = pa.schema([*((c, pa.int64()) for c in ("doc_id", "key", "n_tokens", "n_known")), ("base", pa.float64()), ("more", pa.float64()), ("tail", pa.list_(pa.struct([(c, pa.int64()) for c in ("gram", "times", "hits")])))])
-
-
-def bounded(counts: DataFrame, most: int, least: int = 1) -> DataFrame:
-    """The counts above the smallest power of two, ``least`` at least, that leaves at most ``most`` of them."""
-    steps = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("step")).agg(F.count("*").alias("k")).collect()  # at most 64 rows
-    floor, kept = 62, 0
-    for step, k in sorted(((r.step, r.k) for r in steps), reverse=True):
-        if kept + k > most:
-            break
-        floor, kept = step, kept + k
-    return counts.filter(F.col("n") >= max(least, 1 << floor))
-
-
-def _collected(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    rows = counts.select("gram", "n").toArrow()
-    return rows["gram"].to_numpy(), rows["n"].to_numpy()
-
-
-def _entries(texts: DataFrame, counts: DataFrame, total: int, types: int, documents: int) -> DataFrame:
-    """context, word, prob, rest: for each kept n-gram log10 of its probability and of what its own kept successors leave.
-    For each word as a context a row with the word 0."""
-    grams = texts.mapInArrow(_tally_grams, "context long, word long, last long, three boolean, n long").groupBy("context", "word", "three").agg(F.sum("n").alias("n"), F.first("last").alias("last"))
-    grams = written(grams.filter(F.col("n") >= LEAST), "lm-grams")
-    two, three = grams.filter("not three").drop("three"), grams.filter("three").drop("three")
-    start = int(np.array([START]).view(np.int64)[0])
-    whole = counts.unionByName(texts.sparkSession.createDataFrame([(start, documents)], "gram long, n long"))
-    left = lambda: F.log10((F.col("of") - F.coalesce("taken", F.lit(0.0))) / F.col("of"))
-    taken = lambda df: grouped(df, "context").agg(F.sum(F.col("n") - DISCOUNT).alias("taken")).drop(DEAL)
-    first = written(taken(two).join(whole.select(F.col("gram").alias("context"), F.col("n").alias("of")), "context").select("context", "of", left().alias("rest")), "lm-contexts")
-    one = F.log10((F.col("of_word") + 0.5) / F.lit(total + 0.5 * (types + 1)))
-    second = (two.join(first.withColumnRenamed("rest", "above"), "context").join(counts.select(F.col("gram").alias("word"), F.col("n").alias("of_word")), "word")
-              .select("context", "word", "last", F.col("n").alias("of"), ((F.col("n") - DISCOUNT) / F.col("of") + F.pow(F.lit(10.0), F.col("above") + one)).alias("prob")))
-    second = second.join(taken(three).withColumnRenamed("context", "last"), "last", "left").select("context", "word", "last", "of", "prob", left().alias("rest"))
-    second = written(second, "lm-two")
-    third = (three.join(second.select(F.col("last").alias("context"), "of", "rest"), "context").join(second.select("last", "prob"), "last")
-             .select("context", "word", F.log10((F.col("n") - DISCOUNT) / F.col("of") + F.pow(F.lit(10.0), "rest") * F.col("prob")).alias("prob"), F.lit(0.0).alias("rest")))
-    return (first.select("context", F.lit(0).cast("long").alias("word"), F.lit(0.0).alias("prob"), "rest")
-            .unionByName(second.select("context", "word", F.log10("prob").alias("prob"), "rest")).unionByName(third))
-
-
-def train(texts: DataFrame, parts: int) -> tuple[DataFrame, dict, DataFrame]:
-    """Counts of all words, the bounded list of known words for the executors, and the tries. ``texts``: doc_id, key, text."""
-    counts = written(texts.mapInArrow(_tally(lambda hashes, first: hashes), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "lm-words")
-    end = int(np.array([END]).view(np.int64)[0])
-    sums = counts.agg(F.sum("n").alias("tokens"), F.count("*").alias("types"), F.sum(F.when(F.col("gram") == end, F.col("n"))).alias("ends")).first()
-    total, types, documents = int(sums.tokens or 0), int(sums.types), int(sums.ends or 0)
-    known, n = _collected(bounded(counts, MAX_KNOWN))
-    order = np.argsort(known.view(np.uint64))
-    known, n = known.view(np.uint64)[order], n[order]
-    log = np.log10((n + 0.5) / (total + 0.5 * (types + 1)))
-    entries = _entries(texts, counts, total, types, documents)
-    tries = entries.mapInArrow(_named_parts(parts), "part int, context long, word long, prob double, rest double").groupBy("part").applyInArrow(_build, "part int, trie binary")
-    return counts, {"known": known, "known_log": log, "total": total, "types": types}, written(tries, "lm-tries")
+def _ascending(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    names = np.array([r.name for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(names)
+    return names[order], np.array([r.value for r in rows], float)[order]
 
 
 def score(docs: DataFrame, learn: Column) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row of docs; learns from rows with ``learn``.
 
     A null text is empty and has one token, its end. Repeated rows are each scored, and each learnt from. Without
-    training rows N and V are 0 and every token has the same probability of one. Result rows keep repeated rows."""
-    texts = docs.select(F.col("doc_id"), F.col("text"))
-    blocks = written(keyed(texts).mapInArrow(_blocks, "doc_id long, key long, text string, block long"), "lm-blocks")
-    parts = 1 + int(blocks.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES
-    counts, model, tries = train(keyed(texts.filter(learn)), parts)
-    total, slots = model["total"], model["total"] + 0.5 * (model["types"] + 1)
-    asked = blocks.mapInArrow(_wanted(parts), "part int, block long, contexts binary, words binary")
-    found = asked.groupBy("part").cogroup(tries.groupBy("part")).applyInArrow(_answer, "block long, names binary, probs binary, rests binary")
-    scored = written(blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), SCORED), "lm-scored")
-    tail = scored.select("doc_id", "key", F.explode("tail").alias("t")).select("doc_id", "key", "t.gram", "t.times", "t.hits").dropDuplicates(["doc_id", "key", "gram"])
-    least = F.lit(0.0) + F.log10(F.lit(0.5 / slots))
-    plain = F.coalesce(F.log10((F.col("n") + 0.5) / F.lit(slots)), least)
-    rare = tail.join(counts, "gram", "left").groupBy("doc_id", "key").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * plain).alias("rare"), F.sum(F.col("hits") * plain).alias("back"))
-    base = F.col("base") + F.coalesce("rare", F.lit(0.0))
-    return scored.drop("tail").join(rare, ["doc_id", "key"], "left").select(
-        plain_id(), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("more") - F.coalesce("back", F.lit(0.0))).alias("score"))
+    training rows N and V are 0 and every token has the same probability of one; without rows there is no result. A text
+    of over BLOCK bytes is a block of its own, so it must fit into a task. Other columns are not looked at."""
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col("text").cast("string").alias("text"))
+    blocks = written(texts.mapInArrow(_blocks, "block long, bytes long, tokens long, train long, rows binary, texts binary, often array<long>, times array<long>"), "lm-blocks")
+    size = blocks.agg(F.sum("bytes").alias("bytes"), F.sum("train").alias("train")).first()
+    total, parts = int(size.train or 0), 1 + int(size.bytes or 0) // PART_BYTES
+    often = blocks.select(F.explode(F.arrays_zip("often", "times")).alias("x")).groupBy(F.col("x.often").alias("name")).agg(F.sum("x.times").alias("value"))
+    hot = _ascending(often.filter(F.col("value") * (2 * SHARE) >= total).collect())[0]  # at most 2 * SHARE words and the start
+    whole = blocks.select("block", "bytes", "rows", "texts")
+
+    two = written(whole.mapInArrow(_ask(hot, parts), CELL).groupBy("part").applyInArrow(_answers(False, hot, parts, max(LEAST, total / SHARE)), ANSWER), "lm-two")
+    types = int(two.filter(F.col("block") == TYPES).agg(F.sum("value")).first()[0] or 0)
+    hot_above = _ascending(two.filter(F.col("block") == OFTEN).collect())[0]  # at most SHARE two-grams
+    of = lambda df: _ascending(df.filter(F.col("block") == TAKEN).groupBy("name").agg(F.sum("value").alias("value")).collect())  # noqa: E731  hot contexts only
+    told = two.filter("block >= 0").select("block", "part", "cell", F.lit(2).alias("level"))
+    asked = whole.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_ask_above(hot, hot_above, parts), CELL)
+    three = written(asked.groupBy("part").applyInArrow(_answers(True, hot_above, parts, 0.0), ANSWER), "lm-three")
+
+    told = told.unionByName(three.filter("block >= 0").select("block", "part", "cell", F.lit(3).alias("level")))
+    scored = whole.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
+        _score(hot, hot_above, of(two), of(three), parts, total + 0.5 * (types + 1)), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return scored.select(plain_id(), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 @query("op3_lm_scoring")

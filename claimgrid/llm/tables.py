@@ -15,6 +15,7 @@ from claimgrid.session import shared_path, tune
 LAST_ID = (1 << 63) - 1
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 DEAL = "_deal"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_ROWS, BATCH_BYTES = 4000, 32 << 20
 
 
@@ -48,10 +49,16 @@ def plain_id() -> Column:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder. Later steps start from its files, whichever executors are lost."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` as a table in the shared folder. Later steps start from its files, whichever executors are lost. The shuffle
+    files of the job that wrote it serve nothing after it, so Spark removes them when it ends."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def grouped(df: DataFrame, *keys: str) -> GroupedData:
