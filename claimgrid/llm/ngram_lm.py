@@ -36,9 +36,9 @@ LEAST, DISCOUNT = 2, 0.6
 START, END = np.uint64(0x5D588B656C078965), np.uint64(0x27BB2EE687B0B0FD)
 #: Bytes of text in a block, bytes of text whose n-grams make a part, and the share (one in SHARE) of all tokens from
 #: which a context is dealt by its successors: at most 2 * SHARE + 1 words and SHARE two-grams have it.
-BLOCK, PART_BYTES, SHARE = 8 << 20, 32 << 20, 1024
-BITS = 40
-CELL, ANSWER = "part int, block long, cell binary", "block long, part int, cell binary, name long, value double"
+BLOCK, PART_BYTES, SHARE = 8 << 20, 24 << 20, 1024
+BITS, LEVEL = 40, 3  # of the names of successors, and of the compression of texts
+CELL, ANSWER = "part int, block long, cell binary", "block long, part int, cell binary, shares binary, name long, value double"
 TAKEN, TYPES, OFTEN = -1, -2, -3  # in place of a block: what a part says to all of them
 
 
@@ -108,7 +108,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, n = np.append(names, START), np.append(n, learn.sum())
         often = n * 4 * SHARE >= train.sum()
         return pa.RecordBatch.from_arrays(
-            [pa.array([block]), pa.array([len(data)]), pa.array([len(hashes)]), pa.array([int(train.sum())]), pa.array([pack(ids, learn, lengths)]), pa.array([pa.compress(data.tobytes(), codec="zstd", asbytes=True)]),
+            [pa.array([block]), pa.array([len(data)]), pa.array([len(hashes)]), pa.array([int(train.sum())]), pa.array([pack(ids, learn, lengths)]), pa.array([pa.Codec("zstd", LEVEL).compress(data.tobytes(), asbytes=True)]),
              pa.array([names[often].view(np.int64)]), pa.array([n[often].astype(np.int64)])], ["block", "bytes", "tokens", "train", "rows", "texts", "often", "times"])
 
     for batch in batches:
@@ -193,17 +193,23 @@ class Asked:
         made = [pack(np.diff(self.names[c], prepend=np.uint64(0)), self.n[c] * (home | everywhere), k, np.diff(self.successor[s], prepend=0) & ((1 << BITS) - 1), self.times[s]) for _, c, home, k, s in self.cells()]
         return pa.RecordBatch.from_arrays([pa.array(self.parts.astype(np.int32)), pa.array(np.full(len(made), block)), pa.array(made, pa.binary())], ["part", "block", "cell"])
 
-    def answered(self, answers: list[bytes]) -> tuple[np.ndarray, ...]:
-        """Whether each pair is kept, log10 of its discounted share, its number, and for each context log10 of the rest and
-        the number. ``answers`` in the order of the parts."""
-        kept, share, times = np.zeros(len(self.times), bool), np.zeros(len(self.times)), np.zeros(len(self.times), np.int64)
-        rest, n = np.zeros(len(self.names)), np.zeros(len(self.names), np.int64)
-        for (_, c, home, _, s), data in zip(self.cells(), answers, strict=True):
-            bits, value, number, left, total = unpack(data)
+    def kept(self, answers: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each pair is kept, and its number. ``answers`` in the order of the parts, here and below."""
+        kept, times = np.zeros(len(self.times), bool), np.zeros(len(self.times), np.int64)
+        for (*_, s), data in zip(self.cells(), answers, strict=True):
+            bits, number = unpack(data)
             hit = s[np.unpackbits(bits, count=len(s)).astype(bool)]
-            kept[hit], share[hit], times[hit] = True, value, number
+            kept[hit], times[hit] = True, number
+        return kept, times
+
+    def shares(self, kept: np.ndarray, answers: list[bytes]) -> tuple[np.ndarray, ...]:
+        """log10 of the discounted share of each pair kept, and for each context log10 of the rest and the number."""
+        share, rest, n = np.zeros(len(self.times)), np.zeros(len(self.names)), np.zeros(len(self.names), np.int64)
+        for (_, c, home, _, s), data in zip(self.cells(), answers, strict=True):
+            value, left, total = unpack(data)
+            share[s[kept[s]]] = value
             rest[c[home]], n[c[home]] = left[home], total[home]
-        return kept, share, times, rest, n
+        return share, rest, n
 
 
 def _answers(everywhere: bool, hot: np.ndarray, parts: int, often: float) -> Callable[[pa.Table], pa.Table]:
@@ -217,7 +223,7 @@ def _answers(everywhere: bool, hot: np.ndarray, parts: int, often: float) -> Cal
         successor = np.concatenate([np.cumsum(c[3]) & ((1 << BITS) - 1) for c in cells])
         times = np.concatenate([c[4] for c in cells])
         sizes = [(len(c[0]), len(c[3])) for c in cells]
-        del cells
+        del cells, rows
         contexts, place = np.unique(names, return_inverse=True)
         total = np.bincount(place, n, len(contexts)).astype(np.int64)
         if everywhere:
@@ -225,6 +231,7 @@ def _answers(everywhere: bool, hot: np.ndarray, parts: int, often: float) -> Cal
         context = np.repeat(place, k)
         grams, gram = np.unique(context.astype(np.uint64) << np.uint64(BITS) | successor.astype(np.uint64), return_inverse=True)
         counted = np.bincount(gram, times, len(grams)).astype(np.int64)
+        del gram, times, names, n, k
         keep = counted >= LEAST
         grams, counted = grams[keep], counted[keep]
         of, follower = (grams >> np.uint64(BITS)).astype(np.int64), (grams & np.uint64((1 << BITS) - 1)).astype(np.int64)
@@ -235,11 +242,12 @@ def _answers(everywhere: bool, hot: np.ndarray, parts: int, often: float) -> Cal
         level = Trie.load(Trie([Level.build(len(contexts), of, follower, np.log10((counted - DISCOUNT) / divisor[of]), left)]).dump()).levels[0]
         found = level.find(context, successor)
         rests = level.rests[level.rest[place]].astype(np.float16)
-        made, a, b = [], 0, 0
+        made, shares, a, b = [], [], 0, 0
         for c, s in sizes:
             hit = found[b: b + s]
             held = hit[hit >= 0]
-            made.append(pack(np.packbits(hit >= 0), level.probs[level.prob[held]].astype(np.float16), counted[held] * (not everywhere), rests[a: a + c], total[place[a: a + c]] * (not everywhere)))
+            made.append(pack(np.packbits(hit >= 0), counted[held] * (not everywhere)))
+            shares.append(pack(level.probs[level.prob[held]].astype(np.float16), rests[a: a + c], total[place[a: a + c]] * (not everywhere)))
             a, b = a + c, b + s
         said = [(TAKEN, contexts[i], taken[i]) for i in np.flatnonzero(is_hot & (taken > 0)).tolist()]
         if not everywhere:
@@ -247,8 +255,8 @@ def _answers(everywhere: bool, hot: np.ndarray, parts: int, often: float) -> Cal
             large = np.flatnonzero(counted >= often)
             said += zip([OFTEN] * len(large), _joined(contexts[of[large]], follower[large]), counted[large].tolist())
         return pa.table([
-            pa.array([*blocks, *(x[0] for x in said)], pa.int64()), pa.array([own] * (len(blocks) + len(said)), pa.int32()), pa.array([*made, *[None] * len(said)], pa.binary()),
-            pa.array([*[None] * len(blocks), *(int(x[1].view(np.int64)) for x in said)], pa.int64()), pa.array([*[None] * len(blocks), *(float(x[2]) for x in said)], pa.float64())], ["block", "part", "cell", "name", "value"])
+            pa.array([*blocks, *(x[0] for x in said)], pa.int64()), pa.array([own] * (len(blocks) + len(said)), pa.int32()), *(pa.array([*x, *[None] * len(said)], pa.binary()) for x in (made, shares)),
+            pa.array([*[None] * len(blocks), *(int(x[1].view(np.int64)) for x in said)], pa.int64()), pa.array([*[None] * len(blocks), *(float(x[2]) for x in said)], pa.float64())], ["block", "part", "cell", "shares", "name", "value"])
 
     return run
 
@@ -266,15 +274,15 @@ def _grams(blocks: pa.Table) -> Grams:
     return Grams(*(blocks[c][0].as_py() for c in ("bytes", "rows", "texts")))
 
 
-def _told(answers: pa.Table, level: int) -> list[bytes]:
-    mine = sorted((p, c) for p, c, x in zip(*(answers[c].to_pylist() for c in ("part", "cell", "level"))) if x == level)
+def _told(answers: pa.Table, level: int, column: str = "cell") -> list[bytes]:
+    mine = sorted((p, c) for p, c, x in zip(*(answers[c].to_pylist() for c in ("part", column, "level"))) if x == level)
     return [c for _, c in mine]
 
 
 def _ask_above(hot: np.ndarray, hot_above: np.ndarray, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         grams = _grams(blocks)
-        kept, _, times, _, _ = grams.asked(hot, parts).answered(_told(answers, 2))
+        kept, times = grams.asked(hot, parts).kept(_told(answers, 2))
         grams.above(kept)
         return pa.Table.from_batches([grams.asked_above(times, hot_above, parts).batch(blocks["block"][0].as_py(), True)])
 
@@ -293,7 +301,8 @@ def _score(hot: np.ndarray, hot_above: np.ndarray, taken: tuple[np.ndarray, np.n
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         g = _grams(blocks)
         asked = g.asked(hot, parts)
-        kept, share, times, rest, n = asked.answered(_told(answers, 2))
+        kept, times = asked.kept(_told(answers, 2))
+        share, rest, n = asked.shares(kept, _told(answers, 2, "shares"))
         rest = _left(g.words, n, rest, taken)
         context = g.pairs // g.width
         share = np.where(kept, 10.0 ** share / np.where(asked.hot[context], np.maximum(n[context], 1), 1), 0.0)
@@ -301,7 +310,9 @@ def _score(hot: np.ndarray, hot_above: np.ndarray, taken: tuple[np.ndarray, np.n
         p = share[g.pair] + rest[g.before] * plain
         g.above(kept)
         of = times[g.contexts]
-        held, share, _, rest, _ = g.asked_above(times, hot_above, parts).answered(_told(answers, 3))
+        asked = g.asked_above(times, hot_above, parts)
+        held, _ = asked.kept(_told(answers, 3))
+        share, rest, _ = asked.shares(held, _told(answers, 3, "shares"))
         rest = _left(g.names, of, rest, taken_above)
         p[g.has] *= rest[g.context[g.has]]
         p[np.flatnonzero(g.maybe)] += np.where(held, 10.0 ** share, 0.0)[g.three]
@@ -336,12 +347,11 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     types = int(two.filter(F.col("block") == TYPES).agg(F.sum("value")).first()[0] or 0)
     hot_above = _ascending(two.filter(F.col("block") == OFTEN).collect())[0]  # at most SHARE two-grams
     of = lambda df: _ascending(df.filter(F.col("block") == TAKEN).groupBy("name").agg(F.sum("value").alias("value")).collect())  # noqa: E731  hot contexts only
-    told = two.filter("block >= 0").select("block", "part", "cell", F.lit(2).alias("level"))
-    asked = whole.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_ask_above(hot, hot_above, parts), CELL)
+    told = lambda df, level: df.filter("block >= 0").select("block", "part", "cell", "shares", F.lit(level).alias("level"))
+    asked = whole.groupBy("block").cogroup(told(two, 2).drop("shares").groupBy("block")).applyInArrow(_ask_above(hot, hot_above, parts), CELL)
     three = written(asked.groupBy("part").applyInArrow(_answers(True, hot_above, parts, 0.0), ANSWER), "lm-three")
 
-    told = told.unionByName(three.filter("block >= 0").select("block", "part", "cell", F.lit(3).alias("level")))
-    scored = whole.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
+    scored = whole.groupBy("block").cogroup(told(two, 2).unionByName(told(three, 3)).groupBy("block")).applyInArrow(
         _score(hot, hot_above, of(two), of(three), parts, total + 0.5 * (types + 1)), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select(plain_id(), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
