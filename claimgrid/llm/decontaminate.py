@@ -1,16 +1,19 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits, lower-cased in A-Z. Test items are taken in blocks of bounded size; each block is
-sent to the executors and the documents are read against it twice, once to count in how many documents each seed (three
-words of an item) stands, once to align. Of each item the most frequent seeds are left out, as many as an item that
-reaches the score can spare: with m of n words kept in runs and the others replaced or left out, 2m - (n - m) >= 2n *
-score leaves at least 3m - 2n - 2 of its seeds whole. Around every rare seed that a document shares with an item, the
-document's words are aligned with the whole item (+2 a match, -1 a mismatch or gap). A pair is reported when its best
-score is at least ``score`` of what the item reaches against itself.
+Words are runs of letters and digits, lower-cased in A-Z. Alignment gives +2 a match, -1 a mismatch or gap; a pair is
+reported when its best alignment reaches the share ``score`` of what the item reaches against itself (items of fewer than
+LEAST_WORDS words: all of it, so that only their whole word sequence is found).
+
+An alignment that reaches it matches at least ceil(score * n) of the n words of the item and spans at most 3n - 2n * score
+words of the document. Of any n - ceil(score * n) + t words of the item it therefore holds t within that span, whatever was
+replaced, left out or put in between. The rarest words of the item are taken for it, so a seed is an n-gram of t rare words
+with gaps, and no pair is lost to the seeds. Items are taken in blocks of bounded size; each block is sent to the executors
+and the documents are read against it twice, once to count its words, once to find seeds and to align.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,7 +25,6 @@ from pyspark.sql import functions as F
 from claimgrid.llm import flat
 from claimgrid.llm.tables import query, table
 
-SEED = 3
 SCORE = 0.6
 LEAST_WORDS = 8
 BLOCK_BYTES = 8 << 20
@@ -34,15 +36,12 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return flat.word_hashes(low, starts, ends), first
 
 
-def seeds(words: np.ndarray) -> np.ndarray:
-    at = np.arange(max(0, len(words) - SEED + 1))
-    return flat.stretch_hash(flat.prefix_hash(words, flat.BASE), at, at + SEED, flat.BASE)
-
-
-def spared(n: int, score: float = SCORE) -> int:
-    """How many seeds an item of ``n`` words can do without."""
-    kept = (1 + 2 * score) / 3 * n
-    return max(0, int(np.floor(3 * kept - 2 * n)) - 3)
+def needed(n: int, score: float) -> tuple[float, int, int, int]:
+    """For an item of ``n`` words: the share of its own score it must reach, how many of its rarest words are looked for,
+    how many of these must stand together, and in how many words of the document."""
+    share = score if n >= LEAST_WORDS else 1.0
+    together = max(1, n // 5)
+    return share, n - math.ceil(share * n - 1e-9) + together, together, math.floor((3 - 2 * share) * n + 1e-9)
 
 
 def align(item: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,63 +85,77 @@ def _hits(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[tupl
     for batch in batches:
         for rows, data, off in flat.slices(batch):
             words, first = tokens(data, off)
-            grams = seeds(words)
-            at = np.flatnonzero(flat.inside(first, len(words), SEED))
-            place = np.minimum(np.searchsorted(known, grams[at]), max(0, len(known) - 1))
-            found = known[place] == grams[at] if len(known) else np.zeros(len(at), bool)
-            yield rows, words, first, at[found], place[found]
+            place = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
+            at = np.flatnonzero(known[place] == words) if len(known) else np.zeros(0, np.int64)
+            yield rows, words, first, at, place[at]
 
 
 def _frequency(block: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = block.value["seeds"]
+        known = block.value["words"]
         total = np.zeros(len(known), np.int64)
-        for _, _, first, at, place in _hits(batches, known):
-            pairs = np.unique(flat.doc_of(first, at) * max(1, len(known)) + place)
-            total += np.bincount(pairs % max(1, len(known)), minlength=len(known))
+        for _, _, _, _, place in _hits(batches, known):
+            total += np.bincount(place, minlength=len(known))
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["seed", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["word", "n"])
 
     return run
 
 
-def _matched(rare: Broadcast, score: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _windows(doc: np.ndarray, item: np.ndarray, at: np.ndarray, first: np.ndarray, together: np.ndarray, reach: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(document, item, first word, word after the last): wherever enough rare words of the item stand together, with all
+    that an alignment over them can reach. Windows that overlap are one; long ones are cut into pieces that overlap by
+    the reach, so that every alignment lies in a piece."""
+    order = np.lexsort((at, item, doc))
+    doc, item, at = doc[order], item[order], at[order]
+    last = np.arange(len(at)) + together[item] - 1
+    inside = last < len(at)
+    k, last = np.flatnonzero(inside), last[inside]
+    close = (doc[last] == doc[k]) & (item[last] == item[k]) & (at[last] - at[k] < reach[item[k]])
+    k, last = k[close], last[close]
+    doc, item = doc[k], item[k]
+    low, high = np.maximum(at[last] - reach[item] + 1, first[doc]), np.minimum(at[k] + reach[item], first[doc + 1])
+    new = np.ones(len(k), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (low[1:] > high[:-1])  # both ends rise within a pair
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(k))[: len(head)] - 1
+    for d, i, a, b in zip(doc[head].tolist(), item[head].tolist(), low[head].tolist(), high[tail].tolist()):
+        over = int(reach[i])
+        step = 3 * over
+        while b - a > step + over:
+            yield d, i, a, a + step + over
+            a += step
+        yield d, i, a, b
+
+
+def _matched(rare: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = rare.value
-        known, first_use, item_of, offset, items = (held[k] for k in ("seeds", "first_use", "item", "offset", "items"))
-        sizes = np.array([len(w) for w in items], np.int64)
+        known, first_use, item_of, items, share, together, reach = (held[k] for k in ("words", "first_use", "item", "items", "share", "together", "reach"))
         for rows, words, first, at, place in _hits(batches, known):
             uses = first_use[place + 1] - first_use[place]
             use = np.repeat(first_use[place], uses) + np.arange(uses.sum()) - np.repeat(np.cumsum(uses) - uses, uses)
             at, item = np.repeat(at, uses), item_of[use]
-            doc, n = flat.doc_of(first, at), sizes[item]
-            low = np.maximum(at - offset[use] - n // 2, first[doc])
-            high = np.minimum(at - offset[use] + n + n // 2, first[doc + 1])
-            order = np.lexsort((low, item, doc))
             out: dict[tuple[int, int], tuple[int, int, int]] = {}
-            spans: list[list[int]] = []
-            for d, i, a, b in zip(doc[order].tolist(), item[order].tolist(), low[order].tolist(), high[order].tolist()):
-                if spans and spans[-1][:2] == [d, i] and a <= spans[-1][3]:
-                    spans[-1][3] = max(spans[-1][3], b)
-                else:
-                    spans.append([d, i, a, b])
-            spans.sort(key=lambda x: (len(items[x[1]]), x[3] - x[2]))
-            while spans:
-                n = len(items[spans[0][1]])
-                take = 1
-                while take < len(spans) and len(items[spans[take][1]]) == n and (take + 1) * (n + spans[take][3] - spans[take][2]) < 1_000_000 and spans[take][3] - spans[take][2] <= 2 * (spans[0][3] - spans[0][2]) + n:
-                    take += 1
-                some, spans = spans[:take], spans[take:]
-                part = np.zeros((take, max(x[3] - x[2] for x in some)), np.uint64)
+            spans = sorted(_windows(flat.doc_of(first, at), item, at, first, together, reach), key=lambda x: (len(items[x[1]]), x[3] - x[2], x))
+            begin = 0
+            while begin < len(spans):
+                n, least = len(items[spans[begin][1]]), spans[begin][3] - spans[begin][2]
+                end = begin + 1
+                while end < len(spans) and len(items[spans[end][1]]) == n and (end + 1 - begin) * (n + spans[end][3] - spans[end][2]) < 1_000_000 and spans[end][3] - spans[end][2] <= 2 * least + n:
+                    end += 1
+                some, begin = spans[begin:end], end
+                part = np.zeros((len(some), max(x[3] - x[2] for x in some)), np.uint64)
                 for k, (_, _, a, b) in enumerate(some):
                     part[k, : b - a] = words[a:b]
                 best, left, right = align(np.stack([items[x[1]] for x in some]), part)
                 for (d, i, a, _), value, x, y in zip(some, best.tolist(), left.tolist(), right.tolist()):
-                    if value >= score * 2 * n and value > out.get((d, i), (0,))[0]:
-                        out[d, i] = (value, a - int(first[d]) + x, a - int(first[d]) + y)
+                    if value >= share[i] * 2 * n - 1e-9:
+                        # of equal scores the one that ends first
+                        out[d, i] = max(out.get((d, i), (0, 0, 0)), (value, -(a - int(first[d]) + y), -(a - int(first[d]) + x)))
             keys = sorted(out)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array([[{"item_id": held["ids"][i], "score": out[d, i][0] / (2 * len(items[i])), "first_word": out[d, i][1], "last_word": out[d, i][2]} for d, i in mine] for mine in _by_doc(keys, rows.num_rows)],
+                [rows.column(0), pa.array([[{"item_id": held["ids"][i], "score": out[d, i][0] / (2 * len(items[i])), "first_word": -out[d, i][2], "last_word": -out[d, i][1]} for d, i in mine] for mine in _by_doc(keys, rows.num_rows)],
                                           pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int32()), ("last_word", pa.int32())])))], ["row", "matches"])
 
     return run
@@ -156,7 +169,7 @@ def _by_doc(keys: list[tuple[int, int]], n: int) -> list[list[tuple[int, int]]]:
 
 
 def blocks(benchmark: DataFrame) -> Iterator[dict]:
-    """Words and seeds of the items, about BLOCK_BYTES of text at a time. An item of over BLOCK_BYTES is a block."""
+    """The items and their different words, about BLOCK_BYTES of text at a time. An item of over BLOCK_BYTES is a block."""
     items = benchmark.filter("text is not null and item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(total // BLOCK_BYTES) + 1
@@ -166,41 +179,43 @@ def blocks(benchmark: DataFrame) -> Iterator[dict]:
         for row in rows:
             data = np.frombuffer(row.text.encode(), np.uint8)
             words = tokens(data, np.array([0, len(data)]))[0]
-            if len(words) >= LEAST_WORDS:
+            if len(words):
                 made.append((row.item_id, words))
-        own = [seeds(w) for _, w in made]
-        yield {"ids": [i for i, _ in made], "items": [w for _, w in made], "own": own, "seeds": np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)}
+        yield {"ids": [i for i, _ in made], "items": [w for _, w in made], "words": np.unique(np.concatenate([w for _, w in made])) if made else np.zeros(0, np.uint64)}
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFrame:
     """row (all columns of docs), matches: array of item_id, score, first_word, last_word.
 
-    Null texts and null or empty items match nothing; neither do items of fewer than LEAST_WORDS words. Repeated items
-    count once, repeated documents each. With no items every document comes back without matches."""
+    Null texts and null or empty items match nothing. Items of fewer than LEAST_WORDS words match where their whole word
+    sequence stands; an item of one word thus matches wherever the word stands. Repeated items count once, repeated
+    documents each. Of several places with the best score the one that ends first is given. Long texts are read whole, in
+    pieces. With no items every document comes back without matches."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
     context = docs.sparkSession.sparkContext
     matches = "array<struct<item_id:bigint,score:double,first_word:int,last_word:int>>"
     out = None
     for block in blocks(benchmark):
-        known = block["seeds"]
-        counts = rows.select("text").mapInArrow(_frequency(context.broadcast({"seeds": known})), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
+        known = block["words"]
+        counts = rows.select("text").mapInArrow(_frequency(context.broadcast({"words": known})), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
         often = np.zeros(len(known), np.int64)
-        for r in counts:  # at most one for each seed of the block
-            often[r.seed] = r.n
+        for r in counts:  # at most one for each word of the block
+            often[r.word] = r.n
+        rules = [needed(len(w), score) for w in block["items"]]
         uses = []
-        for i, own in enumerate(block["own"]):
+        for i, own in enumerate(block["items"]):
             place = np.searchsorted(known, own)
-            rare = np.lexsort((own, often[place]))[: len(own) - min(spared(len(block["items"][i])), len(own) - 1)]
-            uses += [(int(place[k]), i, int(k)) for k in rare]
-        uses.sort()
-        use = np.array(uses, np.int64).reshape(-1, 3)
+            rare = np.lexsort((own, often[place]))[: rules[i][1]]
+            uses += [(k, i) for k in np.unique(place[rare]).tolist()]
+        use = np.array(sorted(uses), np.int64).reshape(-1, 2)
         keep, first_use = np.unique(use[:, 0], return_index=True)
-        held = context.broadcast({"ids": block["ids"], "items": block["items"], "seeds": known[keep], "first_use": np.append(first_use, len(use)), "item": use[:, 1], "offset": use[:, 2]})
+        held = context.broadcast({"ids": block["ids"], "items": block["items"], "words": known[keep], "first_use": np.append(first_use, len(use)), "item": use[:, 1],
+                                  "share": [r[0] for r in rules], "together": np.array([r[2] for r in rules], np.int64), "reach": np.array([r[3] for r in rules], np.int64)})
         src = rows if out is None else out
         found = src.select("row" if out is None else F.struct("row", "matches").alias("row"), F.col("row.text").cast("string").alias("text")) if out is not None else rows
         shape = f"row {kind}, matches {matches}" if out is None else f"row struct<row:{kind},matches:{matches}>, matches {matches}"
-        made = found.mapInArrow(_matched(held, score), shape)
+        made = found.mapInArrow(_matched(held), shape)
         out = made if out is None else made.select("row.row", F.concat("row.matches", "matches").alias("matches"))
     return out
 

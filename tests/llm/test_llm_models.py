@@ -211,10 +211,39 @@ def test_decontamination(spark, monkeypatch):
     bench = spark.createDataFrame(items + items[:2], "item_id long, text string")
     got = {(r.row.doc_id, m.item_id) for r in decontaminate.contaminated(frame(spark, docs), bench).collect() for m in r.matches}
     assert got == {(50, 2), (51, 5), (52, 7)}
+    assert {r.row.doc_id for r in decontaminate.contaminated(frame(spark, [(1, "far Too, short."), (2, "too very short"), (3, "too")]), bench).collect() if r.matches} == {1}
     out = decontaminate.contaminated(frame(spark, docs), bench.limit(0))
     assert out.count() == len(docs) and out.filter(F.size("matches") > 0).count() == 0
 
 
+def test_decontamination_misses_nothing(spark):
+    """Items of 1 to 40 words, copies with words put in, left out and replaced: the same pairs and scores as brute force."""
+    rng = random.Random(8)
+    common, words = [f"c{i}" for i in range(4)], [f"w{i}" for i in range(60)]
+
+    def text(n: int) -> list[str]:
+        return [rng.choice(common if rng.random() < 0.4 else words) for _ in range(n)]
+
+    items = [text(n) for n in (1, 2, 3, 5, 7, 8, 9, 11, 14, 20, 20, 27, 40)] + [["c0"] * 12, []]
+    docs = [text(rng.randrange(0, 90)) for _ in range(25)] + [["c0", "c1"] * 700, []]
+    for item in items[2:-1]:
+        for rate in (0.0, 0.1, 0.2, 0.35):
+            copy = [w for x, r in [(x, rng.random()) for x in item] for w in ([x, "new"] if r < rate else [] if r < 1.3 * rate else ["other"] if r < 1.6 * rate else [x])]
+            docs.append(text(15) + copy + text(10))
+    docs.append([w for k, x in enumerate(items[9]) for w in ([x, "put"] if k % 2 else [x])])  # no three words in a row
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    rows = decontaminate.contaminated(frame(spark, [(i, " ".join(w)) for i, w in enumerate(docs)]), bench).collect()
+    got = {(r.row.doc_id, m.item_id): round(m.score * 2 * len(items[m.item_id])) for r in rows for m in r.matches}
+    want = {}
+    for d, doc in enumerate(docs):
+        for i, item in enumerate(items):
+            value = naive_align(item, doc) if item and doc else 0
+            if item and value >= (decontaminate.SCORE if len(item) >= decontaminate.LEAST_WORDS else 1) * 2 * len(item):
+                want[d, i] = value
+    assert got == want and len(want) > 60
+    assert (len(docs) - 1, 9) in got
+
+
 def test_budgets(spark):
     """Shortages go to siblings before they leave the subtree."""
     leaves = spark.createDataFrame([("web", "en", "a", 10), ("web", "en", "b", 1000), ("web", "de", "a", 40), ("ref", "en", "c", 5000), ("ref", None, None, 7)], "domain string, lang string, source string, tokens long")
