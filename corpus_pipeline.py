@@ -14,6 +14,7 @@ from claimgrid.llm.tables import crc_part, ready, table, written
 
 LEAST_SCORE = 0.5
 SHINGLE_WORDS, LEAST_PERCENT = 5, 80
+LEAST_MATCH_WORDS = 3
 
 
 def with_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +41,10 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a copy of a benchmark item, edited or not, go."""
-    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).filter(F.size("matches") == 0).select("row.*")
+    """Documents that hold a copy of a benchmark item, edited or not, go. A match of fewer than LEAST_MATCH_WORDS words
+    is no copy: items of one or two words stand in ordinary text too."""
+    copies = F.exists("matches", lambda m: m["last_word"] - m["first_word"] + 1 >= LEAST_MATCH_WORDS)
+    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).filter(~copies).select("row.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
