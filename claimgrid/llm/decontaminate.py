@@ -7,7 +7,8 @@ LEAST_WORDS words: all of it, so that only their whole word sequence is found).
 An alignment that reaches it matches at least ceil(score * n) of the n words of the item and spans at most 3n - 2n * score
 words of the document. Of any n - ceil(score * n) + t words of the item it therefore holds t within that span, whatever was
 replaced, left out or put in between. The rarest words of the item are taken for it, so a seed is an n-gram of t rare words
-with gaps, and no pair is lost to the seeds. Items are taken in blocks of bounded size; each block is sent to the executors
+with gaps, and no pair is lost to the seeds. Stretches that hold too few words of the item to match that many are not
+aligned. Items are taken in blocks of bounded size; each block is sent to the executors
 and the documents are read against it twice, once to count its words, once to find seeds and to align.
 """
 
@@ -36,12 +37,17 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return flat.word_hashes(low, starts, ends), first
 
 
+def _least(n: int, share: float) -> int:
+    """How many of ``n`` words match at least in an alignment that reaches the share."""
+    return math.ceil(share * n - 1e-9)
+
+
 def needed(n: int, score: float) -> tuple[float, int, int, int]:
     """For an item of ``n`` words: the share of its own score it must reach, how many of its rarest words are looked for,
     how many of these must stand together, and in how many words of the document."""
     share = score if n >= LEAST_WORDS else 1.0
     together = max(1, n // 5)
-    return share, n - math.ceil(share * n - 1e-9) + together, together, math.floor((3 - 2 * share) * n + 1e-9)
+    return share, n - _least(n, share) + together, together, math.floor((3 - 2 * share) * n + 1e-9)
 
 
 def align(item: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,16 +134,26 @@ def _windows(doc: np.ndarray, item: np.ndarray, at: np.ndarray, first: np.ndarra
         yield d, i, a, b
 
 
+def _enough(part: np.ndarray, own: tuple[np.ndarray, np.ndarray], least: int) -> bool:
+    """Whether a stretch holds as many words of the item, each as often as it stands there at most, as must match."""
+    words, times = own
+    place = np.minimum(np.searchsorted(words, part), len(words) - 1)
+    return int(np.minimum(np.bincount(place[words[place] == part], minlength=len(words)), times).sum()) >= least
+
+
 def _matched(rare: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = rare.value
         known, first_use, item_of, items, share, together, reach = (held[k] for k in ("words", "first_use", "item", "items", "share", "together", "reach"))
+        bags = [np.unique(w, return_counts=True) for w in items]
+        least_match = [_least(len(w), s) for w, s in zip(items, share)]
         for rows, words, first, at, place in _hits(batches, known):
             uses = first_use[place + 1] - first_use[place]
             use = np.repeat(first_use[place], uses) + np.arange(uses.sum()) - np.repeat(np.cumsum(uses) - uses, uses)
             at, item = np.repeat(at, uses), item_of[use]
             out: dict[tuple[int, int], tuple[int, int, int]] = {}
-            spans = sorted(_windows(flat.doc_of(first, at), item, at, first, together, reach), key=lambda x: (len(items[x[1]]), x[3] - x[2], x))
+            found = _windows(flat.doc_of(first, at), item, at, first, together, reach)
+            spans = sorted((x for x in found if _enough(words[x[2]: x[3]], bags[x[1]], least_match[x[1]])), key=lambda x: (len(items[x[1]]), x[3] - x[2], x))
             begin = 0
             while begin < len(spans):
                 n, least = len(items[spans[begin][1]]), spans[begin][3] - spans[begin][2]
