@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from claimgrid.operators import contracts as Q, ordered_checks as W
 from claimgrid.plans.queries.base import VIEWS, query
 from claimgrid.session import shared_path
-from claimgrid.sources.events import field_errors, parse_events, task_events
+from claimgrid.sources.events import field_errors, parse_events, scan_events, task_events
 from claimgrid.streaming import tasks as R
 
 K = "project_id"
@@ -65,6 +65,16 @@ def _(s):
     return parse_events(raw_log(s)).select("line", "event_type", "task_id", "bad")
 
 
+@query("S04_folder_log", """
+select event_id % 64 as log, row_number() over (partition by event_id % 64 order by event_id) as line, case event_type when 'signup' then 'subagent_dispatched' when 'click' then 'subagent_polled' when 'purchase' then 'subagent_completed' when 'error' then null else 'note' end as event_type,
+  case when event_type <> 'error' then cast(user_id as varchar) end as task_id, case when event_type = 'error' then '{broken ' || event_id end as bad from events""")
+def _(s):
+    logs = shared_path(s.spark, "event-logs")
+    raw = raw_log(s).withColumn("log", F.col("line") % 64)
+    raw.repartition("log").sortWithinPartitions("log", "line").select("log", "value").write.partitionBy("log").text(logs)
+    return scan_events(s.spark, logs).select(F.col("log").cast("long").alias("log"), "line", "event_type", "task_id", "bad")
+
+
 @query("R01_event_field_errors", """
 select event_id as line, case when event_type = 'error' then 'not_json' when event_type = 'click' then case when value < 50 then 'agent' else 'agent,attempt' end when value >= 50 then 'attempt' end as problem from events
 where event_type = 'error' or event_type = 'click' or (event_type in ('signup', 'purchase') and value >= 50)""")

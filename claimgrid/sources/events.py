@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from claimgrid.functions import text as T
 from claimgrid.functions.keyed import RULE_ROWS_MAX
@@ -29,10 +29,29 @@ def parse_events(lines: DataFrame, text: str = "value") -> DataFrame:
     return parsed.select(*keep, *[F.when(ok, F.col(f"_e.{f}")).alias(f) for f in EVENT_FIELDS], F.when(~ok, F.col(text)).alias("bad"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of the text files of a folder: value, file, line (from 1, blank lines count) and the folder's partition columns.
+
+    Files stay splittable. The rows of one block of a file have consecutive ids in file order, so a line is its id less
+    the block's first id plus the number of lines in the file's earlier blocks; only one row for each block is gathered.
+    Blocks are counted by a second scan of the same files. Should that be split differently (executors that come or go
+    can change the size of a split), the query stops with an error instead of giving wrong numbers."""
+    read = spark.read.text(path)
+    more = [c for c in read.columns if c != "value"]
+    raw = read.select("value", *more, F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("_path"),
+                      F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    blocks = raw.groupBy("_path", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    at = F.col("_id") - F.col("_first")
+    moved = F.raise_error(F.lit("files were split differently in two scans; set spark.sql.files.minPartitionNum")).cast("long")
+    line = F.when((at >= 0) & (at < F.col("_n")), at + F.col("_before") + 1).otherwise(moved)
+    return raw.join(blocks, ["_path", "_block"], "left").select("value", *more, "file", line.alias("line"))
+
+
 def scan_events(spark: SparkSession, path: str) -> DataFrame:
-    """A log folder. ``file`` and ``offset`` (the byte-ordered row of the file) locate every row."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
-    return parse_events(raw)
+    """A log folder. ``file`` and ``line`` locate every row."""
+    return parse_events(numbered_lines(spark, path))
 
 
 def scan_event_lines(texts: DataFrame, key: str = "project_id") -> DataFrame:

@@ -62,6 +62,29 @@ def test_event_log_round_trip(spark, tmp_path):
     assert [(r.task_id, r.event) for r in E.task_events(d).collect()] == [("t1", "dispatched")]
 
 
+def test_lines_of_split_files_keep_their_numbers(spark, tmp_path):
+    """Files of many blocks, equal names in two folders, blank lines, all kinds of line ends, an empty file."""
+    want = []
+    for log, n, end in ((1, 700, "\n"), (2, 40, "\r\n"), (3, 1, "\n"), (4, 0, "\n")):
+        (tmp_path / f"log={log}").mkdir()
+        texts = ["" if i % 7 == 3 else f"{log} {i} " + "x" * (i % 90) for i in range(n)]
+        (tmp_path / f"log={log}" / "a.jsonl").write_bytes(end.join(texts).encode())
+        want += [(log, "a.jsonl", i + 1, t) for i, t in enumerate(texts)]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        d = E.numbered_lines(spark, str(tmp_path))
+        assert d.rdd.getNumPartitions() > 10
+        assert sorted((r.log, r.file, r.line, r.value) for r in d.collect()) == sorted(want)
+        blank = E.scan_events(spark, str(tmp_path))
+        assert blank.count() == sum(t.strip() != "" for *_, t in want) and blank.where("bad is null").count() == 0
+        assert {(r.log, r.line) for r in blank.collect()} == {(a, n) for a, _, n, t in want if t}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_findings_sink_and_rules(spark, tmp_path):
     f = spark.createDataFrame([("a", "FATAL", "c1"), ("b", "INFO", "c2")], "project_id string, severity string, check_id string")
     E.write_findings(f, str(tmp_path / "out"))
