@@ -7,13 +7,14 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from claimgrid.functions.keys import finding_key
 from claimgrid.operators.aggregate import quality_gate, severity_counts
 from claimgrid.operators.compare import union_findings
 from claimgrid.rules import values as V
 
 FINDING = (
     "project_id string, check_id string, priority string, severity string, category string, message string, module string, path string, line bigint, "
-    "claimed string, actual string, context string"
+    "claimed string, actual string, context string, evidence string, finding_key string"
 )
 #: Names of severities that some rules use, and the one of the five they count as.
 SEVERITY_NAMES = {"SERIOUS": "CRITICAL", "ERROR": "MAJOR", "WARN": "WARNING", "NOTE": "INFO"}
@@ -56,7 +57,10 @@ def check(check_id: str, priority: str, needs: set[str]):
 
 
 def as_findings(df: DataFrame, check_id: str, priority: str = "P1", **columns: str) -> DataFrame:
-    """Bring an operator's result to the finding columns. ``columns`` maps a finding column to an SQL expression."""
+    """Bring an operator's result to the finding columns. ``columns`` maps a finding column to an SQL expression.
+
+    Where the result has no ``evidence``, it is what was claimed and what was found; ``finding_key`` is the stable key of
+    the finding, by which findings of several routes are matched."""
     out = []
     for p in FINDING.split(", "):
         name, typ = p.split()
@@ -75,7 +79,11 @@ def as_findings(df: DataFrame, check_id: str, priority: str = "P1", **columns: s
             named = F.coalesce(*[F.when(upper == a, b) for a, b in SEVERITY_NAMES.items()], upper)
             c = F.when(named.isin(V.SEVERITIES), named).otherwise("MAJOR")  # what has no known severity must not pass unseen
         out.append(c.cast(typ).alias(name))
-    return df.select(*out)
+    d = df.select(*out)
+    said = F.concat_ws("; ", F.concat(F.lit("claimed: "), F.col("claimed")), F.concat(F.lit("found: "), F.col("actual")))
+    d = d.withColumn("evidence", F.coalesce("evidence", F.when(said != "", said), "message", "context"))
+    key = finding_key("category", "check_id", "module", "path", F.col("line").cast("string"), "evidence", ("severity", "message"))
+    return d.withColumn("finding_key", F.coalesce("finding_key", key))
 
 
 def failed(spark: SparkSession, check_id: str, priority: str, error: Exception) -> DataFrame:
