@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F, Window
+from pyspark.sql import DataFrame, functions as F, Window
 
 from claimgrid.functions import text as T
 from claimgrid.functions.keyed import first_k
@@ -70,15 +70,12 @@ def differing_models(models: DataFrame) -> DataFrame:
 BANDS = 8  # eight bands of eight bits: five differing bits leave at least three bands untouched
 
 
-def _band_keys(max_dist: int) -> tuple[Column, Column]:
-    """(choices, key): every choice of the bands that must agree as a literal list of shifts, and the key of one
-    choice ``c`` with its number ``n``. Two fingerprints within the distance share at least one key."""
+def _band_choices(max_dist: int) -> list[tuple[int, ...]]:
+    """Every choice of the bands that must agree. Two fingerprints within the distance agree in at least one."""
     must = BANDS - max_dist
     if not 1 <= must <= 6:
         raise ValueError(f"max_dist must be between {BANDS - 6} and {BANDS - 1}")
-    picks = F.array(*[F.array(*[F.lit(8 * i) for i in pick]) for pick in combinations(range(BANDS), must)])
-    key = F.expr("aggregate(c, cast(n as bigint), (acc, i) -> shiftleft(acc, 8) | (shiftrightunsigned(fingerprint, i) & 255))")
-    return picks, key
+    return list(combinations(range(BANDS), must))
 
 
 def near_duplicates(fp: DataFrame, max_dist: int = 5) -> DataFrame:
@@ -87,15 +84,31 @@ def near_duplicates(fp: DataFrame, max_dist: int = 5) -> DataFrame:
     ``fp``: project_id, asset, fingerprint. Exact copies are collapsed to one row per fingerprint before
     any pair is formed, so a fingerprint shared by a third of all assets costs one row. Each fingerprint
     is then sent to the key of every choice of three of its eight bands (24 bits each), which finds all
-    pairs within five bits. A pair found under several keys is reported once.
+    pairs within five bits. A pair counts under the first choice of bands in which it agrees only.
+
+    The rows made for the keys are many times those they are made of, which the planner does not know, so the join on
+    them is told never to broadcast. Only keys and fingerprints go through it; assets are joined to the pairs found.
     """
     one = fp.groupBy(K, "fingerprint").agg(F.min("asset").alias("asset"), F.count(F.lit(1)).alias("copies"))
-    picks, key = _band_keys(max_dist)
-    keyed = one.select(K, "fingerprint", "asset", "copies", F.posexplode(picks).alias("n", "c")).select(K, "fingerprint", "asset", "copies", key.alias("_k"))
-    a = keyed.select(K, "_k", F.col("fingerprint").alias("fp_a"), F.col("asset").alias("asset_a"), F.col("copies").alias("copies_a"))
-    b = keyed.select(K, "_k", F.col("fingerprint").alias("fp_b"), F.col("asset").alias("asset_b"), F.col("copies").alias("copies_b"))
-    near = a.join(b, [K, "_k"]).where((F.col("asset_a") < F.col("asset_b")) & (hamming("fp_a", "fp_b") <= max_dist))
-    pairs = near.groupBy(K, "asset_a", "asset_b", "copies_a", "copies_b").agg(F.min(hamming("fp_a", "fp_b")).alias("distance"))
+    choices = _band_choices(max_dist)
+    shifts = lambda bands: F.array(*[F.lit(8 * i) for i in bands]) if bands else F.array().cast("array<int>")
+    key = F.expr("aggregate(c, cast(n as bigint), (acc, i) -> shiftleft(acc, 8) | (shiftrightunsigned(fingerprint, i) & 255))")
+    keyed = one.select(K, "fingerprint", F.posexplode(F.array(*map(shifts, choices))).alias("n", "c")).select(K, "fingerprint", key.alias("_k"))
+    a = keyed.select(K, "_k", F.col("fingerprint").alias("fp_a"))
+    b = keyed.select(K, "_k", F.col("fingerprint").alias("fp_b"))
+    met = a.join(b.hint("merge"), [K, "_k"]).where((F.col("fp_a") < F.col("fp_b")) & (hamming("fp_a", "fp_b") <= max_dist))
+    earlier = F.array(*[shifts(sorted(set(range(c[-1])) - set(c))) for c in choices])
+    at = F.shiftrightunsigned("_k", 8 * len(choices[0])).cast("int")
+    agrees = lambda i: F.call_function("shiftrightunsigned", F.col("fp_a").bitwiseXOR(F.col("fp_b")), i).bitwiseAND(F.lit(255)) == 0
+    met = met.where(~F.exists(F.get(earlier, at), agrees)).select(K, "fp_a", "fp_b")
+    side = lambda x: one.select(K, F.col("fingerprint").alias(f"fp_{x}"), F.col("asset").alias(f"asset_{x}"), F.col("copies").alias(f"copies_{x}"))
+    both = met.join(side("a").hint("shuffle_hash"), [K, "fp_a"]).join(side("b").hint("shuffle_hash"), [K, "fp_b"])
+    first = F.col("asset_a") < F.col("asset_b")
+    pick = lambda c, x, y: F.when(first, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}"))
+    near = both.where("asset_a <> asset_b").select(
+        K, pick("asset", "a", "b").alias("asset_a"), pick("asset", "b", "a").alias("asset_b"), pick("copies", "a", "b").alias("copies_a"), pick("copies", "b", "a").alias("copies_b"),
+        hamming("fp_a", "fp_b").alias("distance"))
+    pairs = near.groupBy(K, "asset_a", "asset_b", "copies_a", "copies_b").agg(F.min("distance").alias("distance"))
     return pairs.withColumn("severity", F.lit("WARNING"))
 
 
