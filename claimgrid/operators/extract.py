@@ -157,9 +157,15 @@ def split_references(texts: DataFrame, marker: str = V.REFERENCE_MARKERS[0], sto
     return body, refs
 
 
+ASCII_FOLD = ("\u017f\u212a\u0131\u0130", "skii")  # the only other letters that a pattern without case takes for one of a to z
+
+
 def citations(body: DataFrame, names: dict[str, list[str]] = V.DATABASE_REFERENCES, text: str = "body") -> DataFrame:
     """Resource names followed within 24 letters by a bracketed reference list, one row per number or range (ref to ref_to)."""
-    flat = F.regexp_replace(text, r"(?U)\s+", " ")
+    # columns of their own, so that they are made once a text and not once a name
+    flat, folded = F.col("_flat"), F.col("_folded")
+    body = body.select(K, F.regexp_replace(text, r"(?U)\s+", " ").alias("_flat")).where(F.contains("_flat", F.lit("[")))
+    body = body.select(K, "_flat", F.lower(F.translate("_flat", *ASCII_FOLD)).alias("_folded"))
     arrays = []
     for name, words in names.items():
         alts = sorted({name.lower(), *[w.lower() for w in words]}, key=lambda w: (-len(w), w))
@@ -170,8 +176,9 @@ def citations(body: DataFrame, names: dict[str, list[str]] = V.DATABASE_REFERENC
                 F.regexp_extract_all(flat, F.lit(p), F.lit(1)).alias("context"),
                 F.regexp_extract_all(flat, F.lit(p), F.lit(2)).alias("refs"),
             )
-            arrays.append(T.each(zipped, "hit", resource=name))
-    hits = body.select(K, F.explode(F.flatten(F.array(*arrays))).alias("h"))
+            found = T.each(zipped, "hit", resource=name)
+            arrays.append(F.when(F.contains(folded, F.lit(a)), found) if a.isascii() else found)  # a text is searched for the names it holds
+    hits = body.select(K, F.explode(F.flatten(F.array_compact(F.array(*arrays)))).alias("h"))
     each = hits.select(K, "h.resource", F.trim("h.hit.context").alias("context"), F.explode(ref_ranges("h.hit.refs")).alias("r"))
     return each.select(K, "resource", "context", F.col("r.lo").alias("ref"), F.col("r.hi").alias("ref_to")).dropDuplicates([K, "resource", "ref", "ref_to", "context"])
 
