@@ -37,6 +37,7 @@ START, END = np.uint64(0x5D588B656C078965), np.uint64(0x27BB2EE687B0B0FD)
 #: Bytes of text in a block, bytes of text whose n-grams make a part, and the share (one in SHARE) of all tokens from
 #: which a context is dealt by its successors: at most 2 * SHARE + 1 words and SHARE two-grams have it.
 BLOCK, PART_BYTES, SHARE = 8 << 20, 24 << 20, 1024
+SLICE = 512 << 10
 BITS, LEVEL = 40, 3  # of the names of successors, and of the compression of texts
 CELL, ANSWER = "part int, block long, cell binary", "block long, part int, cell binary, shares binary, name long, value double"
 TAKEN, TYPES, OFTEN = -1, -2, -3  # in place of a block: what a part says to all of them
@@ -61,7 +62,18 @@ def unpack(data: bytes) -> list[np.ndarray]:
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens of each text, with an end after its words, and the index of the first of each."""
+    """Hashes of the tokens of each text, with an end after its words, and the index of the first of each. Texts of about
+    SLICE bytes are worked on together, as this takes many times their memory; a word has the same hash in any slice."""
+    made, low = [], 0
+    while low < len(off) - 1:
+        high = max(low + 1, int(np.searchsorted(off, off[low] + SLICE, side="right")) - 1)
+        made.append(_tokens(data[off[low]: off[high]], off[low: high + 1] - off[low]))
+        low = high
+    base = np.cumsum([0, *(len(h) for h, _ in made)])
+    return np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in made)]), np.concatenate([*(f[:-1] + b for (_, f), b in zip(made, base)), base[-1:]])
+
+
+def _tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     data = flat.lower_ascii(data)
     starts, ends, first = flat.words(data, off)
     n = np.diff(first)
