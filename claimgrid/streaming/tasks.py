@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
@@ -14,7 +13,7 @@ from claimgrid.session import shared_path
 from claimgrid.sources.events import parse_events
 
 STATUS_SCHEMA = "task_id string, attempt bigint, status string, seconds double, polls bigint"
-STATE_SCHEMA = "dispatches bigint, terminals bigint, completions bigint, polls bigint, start_us bigint, finish_us bigint, first_poll_us bigint, last_poll_us bigint, first_us bigint"
+STATE_SCHEMA = "dispatches bigint, terminals bigint, completions bigint, polls bigint, start_us bigint, finish_us bigint, first_poll_us bigint, last_poll_us bigint, first_us bigint, closed_ms bigint"
 WAIT_SECONDS, KEEP_SECONDS, LATE_SECONDS = 86_400, 7 * 86_400, 3_600
 CLOSING = "\x00closing"
 END_OF_TIME = "9999-01-01 00:00:00"
@@ -26,13 +25,15 @@ def stream_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 class AttemptProcessor(StatefulProcessor):
-    """Per (task, attempt): nine numbers of state, and one verdict when no more events of it can come.
+    """Per (task, attempt): a few numbers of state, and one verdict when no more events of it can come.
 
-    An attempt is open for ``wait`` seconds of event time from its first event, whatever that is, so every key has a
-    timer. Then the verdict goes out and a mark that the attempt is closed stays for ``keep`` seconds: what comes later
-    finds the mark and changes nothing, so there is no second verdict. A second timer clears the mark.
+    An attempt is open for ``wait`` seconds of event time from its first event, whatever that is. Then the verdict goes
+    out and a mark that the attempt is closed stays for ``keep`` seconds: what comes later finds the mark and changes
+    nothing, so there is no second verdict. A second timer clears the mark. A timer or a mark that the watermark has
+    passed already is not stored: such an attempt gets its verdict at once.
 
-    The input is already combined per minute before the shuffle, so a busy task sends one row per minute
+    Counts and mark are one value of state and the time of the timer follows from it, as each call of the state costs a
+    round trip. The input is already combined per minute before the shuffle, so a busy task sends one row per minute
     here, whatever its number of events.
     """
 
@@ -42,7 +43,6 @@ class AttemptProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("attempt", STATE_SCHEMA)
-        self.closed = handle.getValueState("closed", "at_ms bigint")
 
     @staticmethod
     def _least(a, b):
@@ -52,41 +52,10 @@ class AttemptProcessor(StatefulProcessor):
     def _most(a, b):
         return b if a is None else a if b is None else max(a, b)
 
-    def _out(self, key, s, status) -> pd.DataFrame:
-        seconds = (s[5] - s[4]) / 1e6 if s[4] is not None and s[5] is not None else None
-        # plain object columns: the Arrow writer does not take chunked string columns
-        text = {"task_id": pd.Series([str(key[0])], dtype=object), "status": pd.Series([status], dtype=object)}
-        return pd.DataFrame({"task_id": text["task_id"], "attempt": [int(key[1])], "status": text["status"], "seconds": pd.Series([seconds], dtype="float64"), "polls": [int(s[3])]})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self.closed.exists():
-            for _ in rows:
-                pass
-            return iter(())
-        s = list(self.state.get()) if self.state.exists() else [0, 0, 0, 0, None, None, None, None, None]
-        for pdf in rows:
-            for r in pdf.astype(object).where(pdf.notna(), None).itertuples():
-                for i, n in enumerate(("dispatches", "terminals", "completions", "polls")):
-                    s[i] += int(getattr(r, n))
-                s[4] = self._least(s[4], r.start_us)
-                s[5] = self._least(s[5], r.finish_us)
-                s[6] = self._least(s[6], r.first_poll_us)
-                s[7] = self._most(s[7], r.last_poll_us)
-                s[8] = self._least(s[8], r.first_us)
-        self.state.update(tuple(None if v is None else int(v) for v in s))
-        for t in list(self.handle.listTimers()):  # an earlier event may have come since
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(int(s[8] // 1000) + self.wait * 1000)
-        return iter(())
+    def _due(self, s) -> int:
+        return int(s[8] // 1000) + self.wait * 1000
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.closed.exists():
-            self.closed.clear()
-            return
-        if not self.state.exists():
-            return
-        s = list(self.state.get())
-        at = expiredTimerInfo.getExpiryTimeInMs()
+    def _verdict(self, key, s) -> Row:
         if s[0] != 1 or s[1] > 1:
             status = "not_one_dispatch_and_terminal"
         elif s[1] == 0:
@@ -97,10 +66,54 @@ class AttemptProcessor(StatefulProcessor):
             status = "duration_out_of_range"
         else:
             status = "completed" if s[2] else "failed"
-        self.state.clear()
-        self.closed.update((at,))
-        self.handle.registerTimer(at + self.keep * 1000)
-        yield self._out(key, s, status)
+        seconds = (s[5] - s[4]) / 1e6 if s[4] is not None and s[5] is not None else None
+        return Row(task_id=str(key[0]), attempt=int(key[1]), status=status, seconds=seconds, polls=s[3])
+
+    def _close(self, at: int, now: int, stored: bool) -> None:
+        if at + self.keep * 1000 > now:
+            self.state.update((0, 0, 0, 0, None, None, None, None, None, at))
+            self.handle.registerTimer(at + self.keep * 1000)
+        elif stored:
+            self.state.clear()
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.state.get()
+        if held is not None and held[9] is not None:
+            for _ in rows:
+                pass
+            return iter(())
+        s = list(held) if held is not None else [0, 0, 0, 0, None, None, None, None, None, None]
+        for r in rows:
+            s[0] += r.dispatches
+            s[1] += r.terminals
+            s[2] += r.completions
+            s[3] += r.polls
+            s[4] = self._least(s[4], r.start_us)
+            s[5] = self._least(s[5], r.finish_us)
+            s[6] = self._least(s[6], r.first_poll_us)
+            s[7] = self._most(s[7], r.last_poll_us)
+            s[8] = self._least(s[8], r.first_us)
+        due, now = self._due(s), timerValues.getCurrentWatermarkInMs()
+        before = self._due(held) if held is not None else None
+        if before is not None and before != due:  # an earlier event has come
+            self.handle.deleteTimer(before)
+        if due <= now and before != due:  # a timer of this time would go off in this batch, after all rows of the attempt
+            self._close(due, now, held is not None)
+            return iter((self._verdict(key, s),))
+        self.state.update(tuple(s))
+        if before != due:
+            self.handle.registerTimer(due)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        s = self.state.get()
+        if s is None:
+            return
+        if s[9] is not None:
+            self.state.clear()
+            return
+        self._close(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs(), True)
+        yield self._verdict(key, s)
 
     def close(self) -> None:
         pass
@@ -124,7 +137,7 @@ def attempt_stream(events: DataFrame, limit: int = V.TASK_SECONDS_MAX, late: str
             F.min(F.when(e == "polled", us)).alias("first_poll_us"), F.max(F.when(e == "polled", us)).alias("last_poll_us"), F.min(us).alias("first_us")))
     flat = per_minute.select(F.window_time("window").alias("minute"), "task_id", "attempt", "dispatches", "terminals", "completions", "polls",
                              "start_us", "finish_us", "first_poll_us", "last_poll_us", "first_us")
-    return flat.groupBy("task_id", "attempt").transformWithStateInPandas(
+    return flat.groupBy("task_id", "attempt").transformWithState(
         statefulProcessor=AttemptProcessor(limit, wait, keep), outputStructType=STATUS_SCHEMA, outputMode="Append", timeMode="EventTime")
 
 

@@ -2,7 +2,7 @@
 
 import glob
 
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from claimgrid.operators.ordered_checks import attempt_facts, attempt_status
 from claimgrid.streaming import tasks as R
@@ -73,3 +73,48 @@ def test_audits_read_their_own_buckets(spark, tmp_path):
     buckets = {r.b for r in spark.createDataFrame([(3,), (70,)], "project_id long").select(R.project_bucket("project_id", 64).alias("b")).collect()}
     met = {int(f.split("_bucket=")[1].split("/")[0]) for f in read[-1] if "_bucket=" in f}
     assert met == buckets and len(glob.glob(f"{out}/lines/_bucket=*")) > 30  # the rest of the history is not read
+
+
+def test_attempts_ask_the_state_once_and_store_nothing_that_is_over(spark):
+    class Stored:
+        def __init__(self, value=None):
+            self.value, self.calls = value, []
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+        def clear(self):
+            self.calls.append("clear")
+            self.value = None
+
+        def registerTimer(self, at):
+            self.calls.append(f"timer {at}")
+
+        def deleteTimer(self, at):
+            self.calls.append(f"no timer {at}")
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    def row(at, dispatches=0, polls=0, done=0):
+        us = at * 1_000_000
+        return Row(dispatches=dispatches, terminals=done, completions=done, polls=polls, start_us=us if dispatches else None, finish_us=us if done else None,
+                   first_poll_us=us if polls else None, last_poll_us=us if polls else None, first_us=us)
+
+    whole = [row(10, dispatches=1), row(20, polls=1), row(30, done=1)]
+    p = R.AttemptProcessor(1800, wait=100, keep=1000)
+    p.handle = p.state = Stored()
+    assert [(r.status, r.polls, r.seconds) for r in p.handleInputRows(("t", 1), iter(whole), Now(2_000_000))] == [("completed", 1, 20.0)]
+    assert p.state.calls == ["get"]  # over and past its mark: nothing is stored
+    p.handle = p.state = Stored()
+    assert [r.status for r in p.handleInputRows(("t", 1), iter(whole), Now(500_000))] == ["completed"]
+    assert p.state.calls == ["get", "update", "timer 1110000"] and list(p.handleInputRows(("t", 1), iter(whole), Now(500_000))) == []
+    p.handle = p.state = Stored()
+    assert [list(p.handleInputRows(("t", 1), iter([r]), Now(0))) for r in reversed(whole)] == [[], [], []]
+    assert [c for c in p.state.calls if "timer" in c] == ["timer 130000", "no timer 130000", "timer 120000", "no timer 120000", "timer 110000"]
