@@ -37,10 +37,15 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str], content: str)
 
 
 def item_diff(old: DataFrame, new: DataFrame, cols: list[str]) -> DataFrame:
-    """Items only in the new revision and only in the old one."""
-    o, n = old.select(*cols).distinct(), new.select(*cols).distinct()
-    return n.join(o, cols, "left_anti").withColumn("change", F.lit("added")).unionByName(
-        o.join(n, cols, "left_anti").withColumn("change", F.lit("removed")))
+    """Items only in the new revision and only in the old one; an item with a null is equal to none.
+
+    Both revisions meet in one aggregation, so that a task holds one table of its items and can spill it."""
+    side = lambda d, new: d.select(*cols, F.lit(new).alias("_new"))
+    g = side(new, True).unionByName(side(old, False)).groupBy(*cols).agg(F.bool_or("_new").alias("_n"), F.bool_or(~F.col("_new")).alias("_o"))
+    whole = reduce(lambda w, c: w & F.col(c).isNotNull(), cols, F.lit(True))
+    both = F.col("_n") & F.col("_o")
+    change = F.when(both & whole, F.array().cast("array<string>")).when(both, F.array(F.lit("added"), F.lit("removed"))).when(F.col("_n"), F.array(F.lit("added"))).otherwise(F.array(F.lit("removed")))
+    return g.select(*cols, F.explode(change).alias("change"))
 
 
 def coverage(raw: DataFrame, disposed: DataFrame, keys: list[str]) -> DataFrame:
