@@ -65,7 +65,7 @@ def contains_join(left: DataFrame, text: str, right: DataFrame, needle: str, key
     wanted = right.where(F.length(n) > 0).select(*keys, n.alias("_n")).distinct()
     own = reduce(lambda w, g: w.when(F.length("_n") == g, runs("_n", g)), range(1, gram), F).otherwise(runs("_n", gram))
     parts = wanted.select(*keys, "_n", F.explode(F.array_distinct(own)).alias("_gram"))
-    texts = left.select(*keys, folded.alias("_t"))
+    texts = left.select(*keys, folded.alias("_t")).distinct()
     every = F.array_distinct(F.flatten(F.array(*[runs("_t", g) for g in range(1, gram + 1)])))
     probe = texts.select(*keys, F.xxhash64("_t").alias("_h"), F.explode(every).alias("_gram")).join(parts.select(*keys, "_gram").distinct(), [*keys, "_gram"], "left_semi").distinct()
     often = probe.groupBy(*keys, "_gram").agg(F.count(F.lit(1)).alias("_f"))

@@ -139,16 +139,23 @@ def linked(a: str, b: str, threshold: float) -> Column:
     return ~vetoed(a, b) & (same | (link_score(a, b) >= threshold))
 
 
+LINK_FIELDS = ["agent", "ord", "finding_key", "raw_finding_id", "_loc", "_dim", "_rule", "_tok", "_cat", "_sem", "_full", "_secs", "_best"]
+
+
 def link_pairs(items: DataFrame, threshold: float = 0.4) -> DataFrame:
     """Verified links between findings of different routes, from blocks that no link can miss.
 
     A link of at least 0.4 needs one of: equal key, equal semantic tuple, equal location, an equal or
     enclosing section, a location inside the other, equal dimension and rule, or equal words together with
-    an equal dimension or rule. Each of these is an equi-join; equal categories are part of every key.
+    an equal dimension or rule. Each of these is an equi-join; equal categories are part of every key. Keys are
+    hashes, as every pair is verified, and a pair is scored under the smallest key it shares. Findings travel with the
+    fields that a link needs and no others, and are written once, evenly dealt: otherwise each of the scans below would
+    work out the fields again, for every use of one.
     """
     if threshold < 0.4:
         raise ValueError("the blocks are complete for thresholds of 0.4 and more")
-    x = F.struct(*items.columns)
+    items = cut(items.select(K, *LINK_FIELDS).repartition(K, "ord"))
+    x = F.struct(*LINK_FIELDS)
     ups = F.transform(F.sequence(F.lit(1), F.size(F.split("_best", r"\."))), lambda n: F.concat_ws(".", F.slice(F.split("_best", r"\."), F.lit(1), n)))
 
     def all_ups(secs: str) -> Column:
@@ -172,11 +179,12 @@ def link_pairs(items: DataFrame, threshold: float = 0.4) -> DataFrame:
             out.append(F.transform(all_ups("_secs"), lambda u: F.concat_ws(sep, F.lit("s1"), u)))
             out.append(F.transform("_secs", lambda u: F.concat_ws(sep, F.lit("s2"), u)))
         empty = F.array().cast("array<string>")
-        return F.explode(F.array_distinct(F.flatten(F.array(*[F.coalesce(o, empty) for o in out]))))
+        every = F.flatten(F.array(*[F.coalesce(o, empty) for o in out]))
+        return F.array_distinct(F.transform(every, lambda k: F.xxhash64(F.col("_cat"), k)))
 
-    left = items.select(K, F.col("_cat").alias("_c"), x.alias("a"), keys("left").alias("_k"))
-    right = items.select(K, F.col("_cat").alias("_c"), x.alias("b"), keys("right").alias("_k"))
-    near = left.join(right, [K, "_c", "_k"]).where("a.agent <> b.agent and a.ord < b.ord").select(K, "a", "b")
+    left = items.select(K, x.alias("a"), keys("left").alias("_ka")).withColumn("_k", F.explode("_ka"))
+    right = items.select(K, x.alias("b"), keys("right").alias("_kb")).withColumn("_k", F.explode("_kb"))
+    near = left.join(right, [K, "_k"]).where("a.agent <> b.agent and a.ord < b.ord").where(F.col("_k") == F.array_min(F.array_intersect("_ka", "_kb"))).select(K, "a", "b")
     # one location inside the other, where one of them at least has no section number
     located = items.where(F.col("_loc") != "").select(K, "_loc", F.col("_best").isNull().alias("_bare"), x.alias("x"))
     bare = located.where("_bare")
