@@ -18,7 +18,8 @@ from claimgrid.session import cut
 
 
 def predictor_sets(models: DataFrame) -> DataFrame:
-    """Distinct predictor sets of each script with the first model that uses each."""
+    """Distinct predictor sets of each script with the first model that uses each. They are read several times, so both
+    operators below write them once and models are extracted once."""
     return models.groupBy(K, "path", "predictors").agg(
         F.count(F.lit(1)).alias("models"), F.min(F.struct("line", "model")).alias("m")
     ).select(K, "path", "predictors", F.concat_ws(",", "predictors").alias("set_key"), "models", F.col("m.line").alias("line"), F.col("m.model").alias("model"),
@@ -31,7 +32,7 @@ def nested_models(models: DataFrame) -> DataFrame:
     Equal sets are collapsed first. A superset holds every predictor of the subset, so the subset looks
     for candidates under its rarest predictor only.
     """
-    return _nested(predictor_sets(models)).drop("small_key", "large_key").withColumn("severity", F.lit("CRITICAL"))
+    return _nested(cut(predictor_sets(models))).drop("small_key", "large_key").withColumn("severity", F.lit("CRITICAL"))
 
 
 def _nested(sets: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def differing_models(models: DataFrame) -> DataFrame:
     A set differs both ways from every other large set it is not nested with; the number follows from
     counts, so the pairs are not listed.
     """
-    sets = predictor_sets(models).where("size >= 3")
+    sets = cut(predictor_sets(models).where("size >= 3"))
     n = sets.groupBy(K, "path").agg(F.count(F.lit(1)).alias("_n"))
     pair = F.explode(F.array("small_key", "large_key")).alias("set_key")
     near = _nested(sets).select(K, "path", pair).groupBy(K, "path", "set_key").agg(F.count(F.lit(1)).alias("_nested"))
