@@ -6,7 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from claimgrid.session import cut
+
 RULE_ROWS_MAX = 10_000
+#: Keys with at most so many needles meet their texts as one list.
+FEW_NEEDLES = 128
 
 
 def rule_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -53,6 +57,28 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def contains_join(left: DataFrame, text: str, right: DataFrame, needle: str, keys: list[str], gram: int = 4) -> DataFrame:
     """Inner join of rows whose ``text`` contains ``needle`` (case folded), within equal keys.
 
+    The rows of ``right`` of a key travel as one list to the texts of that key, where each needle is tested; the list holds
+    FEW_NEEDLES rows at most. Keys with more rows go through parts of the needles instead.
+    """
+    n = F.lower(F.col(needle))
+    own, others = [c for c in left.columns if c not in keys], [c for c in right.columns if c not in keys]
+    dealt = [*keys, "_deal"]  # grouped by a hash besides, so that the join deals both sides out and a hot key can be split
+    named = right.where(F.length(n) > 0).select(*keys, F.xxhash64(*keys).alias("_deal"), n.alias("_needle"), *others)
+    some = first_k(named, dealt, [F.col("_needle")], FEW_NEEDLES + 1)
+    lists = cut(some.groupBy(*dealt).agg(F.collect_list(F.struct("_needle", *others)).alias("_all")).drop("_deal"))
+    few, many = lists.where(F.size("_all") <= FEW_NEEDLES), lists.where(F.size("_all") > FEW_NEEDLES).select(*keys)
+    folded = F.lower(F.col(text))
+    held = F.explode(F.filter("_all", lambda r: F.contains(F.col("_folded"), r["_needle"]))).alias("_r")
+    met = left.withColumn("_folded", folded).join(few, keys).select(*keys, *own, held)
+    met = met.select(*keys, *own, *[F.col("_r")[c].alias(c) for c in others])
+    if many.isEmpty():
+        return met
+    return met.unionByName(_by_parts(left.join(many, keys, "left_semi"), text, right.join(many, keys, "left_semi"), needle, keys, gram))
+
+
+def _by_parts(left: DataFrame, text: str, right: DataFrame, needle: str, keys: list[str], gram: int) -> DataFrame:
+    """``contains_join`` for any number of needles.
+
     A text that contains a needle contains every run of ``gram`` letters of it (a shorter needle is its own run), so the
     join is an equi-join on (keys, run). Of each needle only the run that the fewest texts hold is used, which also
     parts needles that begin alike. Texts are named by a hash meanwhile and join last, for the exact test.

@@ -11,6 +11,7 @@ from claimgrid.functions.keyed import contains_join, keep_first
 from claimgrid.functions.keys import severity_rank
 from claimgrid.operators.extract import K
 from claimgrid.rules import values as V
+from claimgrid.session import cut
 
 
 def union_findings(parts: list[DataFrame]) -> DataFrame:
@@ -119,14 +120,14 @@ def match_rows_issues(rows: DataFrame, issues: DataFrame) -> tuple[DataFrame, Da
     else one title holds the other. ``rows``: project_id, row_id, title, refs, issue_id; ``issues``:
     project_id, issue_id, title, refs."""
     by_id = rows.where(~T.is_blank("issue_id")).join(issues.select(K, "issue_id"), [K, "issue_id"], "left_semi").select(K, "row_id", "issue_id")
-    rest = rows.join(by_id.select(K, "row_id").distinct(), [K, "row_id"], "left_anti")
+    rest = rows.join(by_id.select(K, "row_id"), [K, "row_id"], "left_anti")
     ri = issues.select(K, "issue_id", F.explode("refs").alias("ref"))
     by_ref = rest.select(K, "row_id", F.explode("refs").alias("ref")).join(ri, [K, "ref"]).select(K, "row_id", "issue_id").distinct()
     rt = rest.select(K, "row_id", F.lower(F.trim("title")).alias("rt")).where("rt <> ''")
     it = issues.select(K, "issue_id", F.lower(F.trim("title")).alias("it")).where("it <> ''")
     down = contains_join(rt, "rt", it, "it", [K]).select(K, "row_id", "issue_id")
     up = contains_join(it, "it", rt, "rt", [K]).select(K, "row_id", "issue_id")
-    matches = by_id.union(by_ref).union(down).union(up).distinct()
+    matches = cut(by_id.union(by_ref).union(down).union(up).distinct())  # read three times
     return matches, rows.join(matches, [K, "row_id"], "left_anti"), issues.join(matches, [K, "issue_id"], "left_anti")
 
 

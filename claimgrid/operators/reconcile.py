@@ -363,14 +363,14 @@ def label_swap(claims: DataFrame, results: DataFrame) -> DataFrame:
     agree when one holds the other, ignoring case, blanks and underscores. When another entity is
     significant for the same partner the labels look swapped.
     """
-    c = claims.select(K, F.upper("entity").alias("entity"), T.label_key("partner").alias("pk")).distinct()
+    c = cut(claims.select(K, F.upper("entity").alias("entity"), T.label_key("partner").alias("pk")).distinct())
     r = results.select(K, F.upper("entity").alias("r_entity"), T.label_key("partner").alias("rk"), number("p").alias("p")).where("p is not null")
-    # results are reduced per partner before they meet the claims
-    per_pair = r.groupBy(K, "rk", "r_entity").agg(F.min("p").alias("min_p"))
+    # results are reduced per partner before they meet the claims; what is read several times is written once
+    per_pair = cut(r.groupBy(K, "rk", "r_entity").agg(F.min("p").alias("min_p")))
     rk, pk = per_pair.select(K, "rk").distinct(), c.select(K, "pk").distinct()
     one = contains_join(rk, "rk", pk, "pk", [K]).select(K, "rk", "pk")
     two = contains_join(pk, "pk", rk, "rk", [K]).select(K, "rk", "pk")
-    match = one.union(two).distinct()
+    match = cut(one.union(two).distinct())
     best = match.join(per_pair.where("min_p < 0.05"), [K, "rk"]).groupBy(K, "pk").agg(F.min(F.struct(F.col("min_p"), F.col("r_entity"))).alias("b"))
     own = (
         c.join(match, [K, "pk"]).join(per_pair.withColumnRenamed("r_entity", "entity"), [K, "rk", "entity"])
