@@ -211,12 +211,15 @@ def path_claims(lines: DataFrame) -> DataFrame:
 
 
 def missing_paths(claimed: DataFrame, files: DataFrame) -> DataFrame:
-    """Claimed paths that are neither a delivered file nor a folder above one (top folder optional)."""
+    """Claimed paths that are neither a delivered file nor a folder above one (top folder optional).
+
+    Of the files and their folders only what is claimed is kept before anything is gathered."""
     parts = T.path_parts("path")
     ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat_ws("/", F.slice(parts, F.lit(1), n)))
     inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1)))
     below = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(inner)), lambda n: F.concat_ws("/", F.slice(inner, F.lit(1), n))))
-    have = files.select(K, F.explode(F.concat(ups, F.coalesce(below, F.array().cast("array<string>")))).alias("claimed_path")).distinct()
+    have = files.select(K, F.explode(F.concat(ups, F.coalesce(below, F.array().cast("array<string>")))).alias("claimed_path"))
+    have = have.join(claimed.select(K, "claimed_path").distinct(), [K, "claimed_path"], "left_semi").distinct()
     return claimed.join(have, [K, "claimed_path"], "left_anti").withColumn("severity", F.lit("MAJOR"))
 
 
