@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from claimgrid.functions import text as T
-from claimgrid.functions.keyed import contains_join, keep_first, matching, samples
+from claimgrid.functions.keyed import FEW_NEEDLES, contains_join, first_k, keep_first, matching, samples
 from claimgrid.functions.numbers import integer, number, whole
 from claimgrid.functions.ordered import bracket, last_known, missing_between
 from claimgrid.operators.extract import K, extract
@@ -313,11 +313,32 @@ def raw_p_downstream(results: DataFrame, downstream: DataFrame) -> DataFrame:
 def unknown_symbols(symbols: DataFrame, table_symbols: DataFrame, distance: int = 2) -> DataFrame:
     """Symbols of the text that no result table holds, with the nearest table symbol within two edits.
 
-    Two words within ``distance`` edits have a common rest after at most ``distance`` letters are left out of each,
-    so candidates share the project and such a rest.
+    The table symbols of a project travel as one list to its symbols, where each is tested; the list holds FEW_NEEDLES
+    symbols at most. Projects with more of them compare the rests of symbols instead.
     """
     have = table_symbols.select(K, "symbol").distinct()
     lost = symbols.select(K, "symbol").distinct().join(have, [K, "symbol"], "left_anti")
+    dealt = [K, "_deal"]  # so that the join deals both sides out and a hot project can be split
+    some = first_k(have.where("symbol is not null").withColumn("_deal", F.xxhash64(K)), dealt, [F.col("symbol")], FEW_NEEDLES + 1)
+    lists = cut(some.groupBy(*dealt).agg(F.collect_list("symbol").alias("_all")).drop("_deal"))
+    few, many = lists.where(F.size("_all") <= FEW_NEEDLES), lists.where(F.size("_all") > FEW_NEEDLES).select(K)
+    edits = F.transform("_all", lambda s: F.struct(F.levenshtein("symbol", s).alias("_d"), s.alias("_s")))
+    nearest = lambda d: d.join(few, K, "left").select(K, "symbol", F.array_min(F.filter(edits, lambda r: r["_d"] <= distance)).alias("b"))
+    if many.isEmpty():
+        best = nearest(lost)
+    else:
+        own = lost.join(many, K, "left_semi")
+        near = _nearest_by_rests(own, have.join(many, K, "left_semi"), distance)
+        best = nearest(lost.join(many, K, "left_anti")).unionByName(own.join(near, [K, "symbol"], "left"))
+    return best.select(K, "symbol", F.col("b._s").alias("nearest"), F.col("b._d").alias("edits")).withColumn("severity", F.lit("WARNING"))
+
+
+def _nearest_by_rests(lost: DataFrame, have: DataFrame, distance: int) -> DataFrame:
+    """project_id, symbol, b (edits, nearest) for any number of table symbols.
+
+    Two words within ``distance`` edits have a common rest after at most ``distance`` letters are left out of each,
+    so candidates share the project and such a rest.
+    """
 
     def rests(symbols: DataFrame) -> DataFrame:
         """Hashes of all rests of a symbol, made within its row; what two symbols have in common by chance falls to the
@@ -330,8 +351,7 @@ def unknown_symbols(symbols: DataFrame, table_symbols: DataFrame, distance: int
 
     near = rests(lost).join(rests(have).withColumnRenamed("symbol", "_s"), [K, "_rest"]).select(K, "symbol", "_s").distinct()
     near = near.withColumn("_d", F.levenshtein("symbol", "_s")).where(F.col("_d") <= distance)
-    best = near.groupBy(K, "symbol").agg(F.min(F.struct("_d", "_s")).alias("b"))
-    return lost.join(best, [K, "symbol"], "left").select(K, "symbol", F.col("b._s").alias("nearest"), F.col("b._d").alias("edits")).withColumn("severity", F.lit("WARNING"))
+    return near.groupBy(K, "symbol").agg(F.min(F.struct("_d", "_s")).alias("b"))
 
 
 # --- directions in sentences ----------------------------------------------------------------------

@@ -13,3 +13,33 @@ def test_paths_nobody_claims_are_not_gathered(spark):
     assert sorted(r.line for r in out.collect()) == [4, 5, 6, 6, 7, 8]
     text = out._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in text and text.index("LeftAnti") < text.index("Aggregate") < text.index("LeftSemi") < text.index("explode(")
+
+
+def edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_symbols_meet_the_list_of_their_project(spark, monkeypatch):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("ABé1") for _ in range(rnd.randint(0, 5)))
+    keys = [1, 1, 1, 2, 3, None]
+    lost = [(rnd.choice(keys), rnd.choice([word(), word(), word(), None])) for _ in range(120)]
+    have = [(rnd.choice([1, 1, 2, None]), rnd.choice([word(), word(), word(), None])) for _ in range(60)]
+    want = set()
+    for k, s in set(lost):
+        own = {t for j, t in have if j == k and k is not None and t is not None}
+        if s is None or s not in own:
+            near = min(((edits(s, t), t) for t in own if edits(s, t) <= 2), default=(None, None), key=lambda x: (x[0], x[1].encode())) if s is not None else (None, None)
+            want.add((k, s, near[1], near[0], "WARNING"))
+    a, b = (spark.createDataFrame(x, "project_id long, symbol string") for x in (lost, have))
+    for few in (128, 15, 0):  # all projects by lists, project 1 by rests, all by rests
+        monkeypatch.setattr(J, "FEW_NEEDLES", few)
+        out = J.unknown_symbols(a, b)
+        rows = [tuple(r) for r in out.collect()]
+        assert set(rows) == want and len(rows) == len(want) > 50
+        assert ("_rest" in out._jdf.queryExecution().optimizedPlan().toString()) == (few < 128)
