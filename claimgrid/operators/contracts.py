@@ -11,7 +11,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from claimgrid.functions import text as T
-from claimgrid.functions.keyed import keep_first
 from claimgrid.functions.numbers import has_zone, instant
 from claimgrid.operators.compare import coverage, duplicate_keys, orphans, union_findings
 from claimgrid.operators.extract import K
@@ -240,22 +239,33 @@ def arbitration(dispositions: DataFrame, links: DataFrame, canonical: DataFrame,
     findings). ``declared``: project_id, raw_finding_count, status, unresolved_count. ``merged``: project_id,
     canonical_id covered by a merge decision."""
     parts = [
-        validate(dispositions, [filled("raw_finding_id"), one_of("decision", V.ARBITRATION_DECISIONS), filled("reason")], "raw_finding_id", [K, "raw_finding_id"]),
+        validate(dispositions, [filled("raw_finding_id"), one_of("decision", V.ARBITRATION_DECISIONS), filled("reason")], "raw_finding_id"),
         validate(canonical, [filled("canonical_id"), one_of("severity", V.SEVERITIES), *[filled(f) for f in V.SEMANTIC_FIELDS]], "canonical_id", [K, "canonical_id"]),
         validate(declared, [one_of("status", V.ARBITRATION_STATUSES), non_negative("unresolved_count")], K),
         _rows(declared, (F.col("status") == "leader_confirmed") & (F.col("unresolved_count") != 0), "confirmed_with_unresolved", K, "error"),
     ]
-    d = keep_first(dispositions.select(K, "raw_finding_id", "decision"), [K, "raw_finding_id"], ["decision"])
-    to = links.select(K, "raw_finding_id", "canonical_id").distinct()
-    linked = d.join(to.select(K, "raw_finding_id").distinct().withColumn("_l", F.lit(True)), [K, "raw_finding_id"], "left")
-    n = dispositions.where(~T.is_blank("raw_finding_id")).groupBy(K).agg(F.countDistinct("raw_finding_id").alias("_n"))
+    raw = [K, "raw_finding_id"]
+    # dispositions and links meet in one aggregation; a decision is its place among the known ones, so that the first is a minimum of numbers
+    order = sorted(V.ARBITRATION_DECISIONS)
+    place = reduce(lambda w, i: w.when(F.col("decision") < order[i], 2 * i + 1).when(F.col("decision") == order[i], 2 * i + 2), range(len(order)), F.when(F.col("decision").isNull(), 0))
+    both = dispositions.select(*raw, place.otherwise(2 * len(order) + 1).alias("_at")).unionByName(links.select(*raw, F.lit(None).cast("int").alias("_at")))
+    by_raw = cut(both.groupBy(*raw).agg(F.count("_at").alias("_n"), F.min("_at").alias("_at"), F.bool_or(F.col("_at").isNull()).alias("_l"))).where("_n > 0")
+    linked = F.col("_l") & F.col(K).isNotNull() & F.col("raw_finding_id").isNotNull()
+    known = {x: 2 * i + 2 for i, x in enumerate(order)}
+    codes = F.array_compact(F.array(
+        F.when(F.col("_n") > 1, "raw_finding_id_repeated"), F.when((F.col("_at") == known["reject"]) & linked, "reject_maps_to_finding"),
+        F.when(F.col("_at").isin([n for x, n in known.items() if x != "reject"]) & ~linked, "decision_maps_to_none")))
+    n = by_raw.where(~T.is_blank("raw_finding_id")).groupBy(K).agg(F.count(F.lit(1)).alias("_n"))
+    # so do links and sources; a link is judged by one join with the canonical findings
+    way = [K, "canonical_id", "raw_finding_id"]
+    met = links.select(*way, F.lit(True).alias("_l")).unionByName(sources.select(*way, F.lit(False).alias("_l"))).groupBy(*way).agg(F.bool_or("_l").alias("_l"), F.bool_and("_l").alias("_only"))
+    to = met.where("_l").join(canonical.select(K, "canonical_id", F.lit(True).alias("_c")).distinct(), [K, "canonical_id"], "left")
+    astray = F.when(F.col("_c").isNull(), "maps_to_unknown_finding").when(F.col("_only") | F.col("raw_finding_id").isNull(), "mapping_absent_from_sources")
     parts += [
-        _rows(linked, (F.col("decision") == "reject") & F.col("_l").isNotNull(), "reject_maps_to_finding", "raw_finding_id", "error"),
-        _rows(linked, F.col("decision").isin([x for x in V.ARBITRATION_DECISIONS if x != "reject"]) & F.col("_l").isNull(), "decision_maps_to_none", "raw_finding_id", "error"),
+        by_raw.select(K, F.col("raw_finding_id").cast("string").alias("subject"), F.explode(codes).alias("code"), F.lit("error").alias("kind")),
         _rows(declared.join(n, K, "left"), F.col("raw_finding_count") != F.coalesce("_n", F.lit(0)), "raw_count_differs", K, "error"),
-        _rows(orphans(to, canonical, [K, "canonical_id"]), F.lit(True), "maps_to_unknown_finding", "raw_finding_id", "error"),
-        _rows(orphans(to.join(canonical.select(K, "canonical_id"), [K, "canonical_id"], "left_semi"), sources, [K, "canonical_id", "raw_finding_id"]), F.lit(True), "mapping_absent_from_sources", "raw_finding_id", "error"),
-        _rows(orphans(sources, dispositions, [K, "raw_finding_id"]), F.lit(True), "source_not_disposed", "raw_finding_id", "error"),
+        to.select(K, F.col("raw_finding_id").cast("string").alias("subject"), astray.alias("code"), F.lit("error").alias("kind")).where("code is not null"),
+        _rows(sources.join(by_raw.select(*raw), raw, "left_anti"), F.lit(True), "source_not_disposed", "raw_finding_id", "error"),
         _rows(orphans(canonical, sources, [K, "canonical_id"]), F.lit(True), "finding_without_source", "canonical_id", "error"),
     ]
     conf = declared.where("status = 'leader_confirmed'").select(K)
