@@ -192,13 +192,16 @@ def ml_lineage(metrics: DataFrame, predictions: DataFrame, selections: DataFrame
 
 def high_risk(modules: DataFrame, dimensions: DataFrame, packages: DataFrame) -> DataFrame:
     """``modules``: project_id, module_id, module_type. ``dimensions``: project_id, module_id, dimension, status.
-    ``packages``: project_id, module_id, item_id, status. The required items are a literal list per type."""
+    ``packages``: project_id, module_id, item_id, status. The required items are a literal list per type.
+
+    Records are many times the rows they may be exploded from, which the planner does not know, so the joins are told never
+    to broadcast."""
     table = F.create_map(*[x for t, items in V.HIGH_RISK_PACKAGES.items() for x in (F.lit(t), F.array(*map(F.lit, items)))])
     good = modules.where(F.col("module_type").isin(list(V.HIGH_RISK_PACKAGES)))
     need_dim = good.select(K, "module_id", F.explode(F.array(*map(F.lit, V.HIGH_RISK_DIMENSIONS))).alias("dimension"))
-    d = need_dim.join(dimensions, [K, "module_id", "dimension"], "left").withColumn("subject", F.concat_ws("/", "module_id", "dimension"))
+    d = need_dim.join(dimensions.hint("merge"), [K, "module_id", "dimension"], "left").withColumn("subject", F.concat_ws("/", "module_id", "dimension"))
     need_item = good.select(K, "module_id", F.explode(F.element_at(table, F.col("module_type"))).alias("item_id"))
-    p = need_item.join(packages, [K, "module_id", "item_id"], "left").withColumn("subject", F.concat_ws("/", "module_id", "item_id"))
+    p = need_item.join(packages.hint("merge"), [K, "module_id", "item_id"], "left").withColumn("subject", F.concat_ws("/", "module_id", "item_id"))
     ok_dim = F.coalesce(F.col("status").isin(V.DIMENSION_STATUSES), F.lit(False))
     ok_item = F.coalesce(F.col("status").isin(V.EVIDENCE_STATUSES), F.lit(False))
     return union_findings([

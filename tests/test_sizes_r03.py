@@ -6,6 +6,25 @@ from claimgrid.operators import contracts as Q, reconcile as J
 from claimgrid.rules import values as V
 
 
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_high_risk_records_are_never_broadcast(spark):
+    m = spark.createDataFrame([(1, "a", "molecular_docking"), (1, "a", "molecular_docking"), (2, "b", "odd"), (None, "c", "virtual_knockout")], "project_id long, module_id string, module_type string")
+    d = spark.createDataFrame([(1, "a", "reproducible", "pass"), (1, "a", "reproducible", "fail"), (1, "a", "extra", "odd"), (None, "c", "module_exists", "pass")], "project_id long, module_id string, dimension string, status string")
+    p = spark.createDataFrame([(1, "a", "ligand_list", "missing"), (1, "a", None, "odd")], "project_id long, module_id string, item_id string, status string")
+    out = Q.high_risk(m, d, p)
+    assert "Broadcast" not in plan(out)
+    n = {k: len(V.HIGH_RISK_PACKAGES[k]) for k in ("molecular_docking", "virtual_knockout")}
+    got = {}
+    for r in out.collect():
+        got[(r.project_id, r.code)] = got.get((r.project_id, r.code), 0) + 1
+    dims = len(V.HIGH_RISK_DIMENSIONS)
+    assert got == {(2, "module_type_invalid"): 1, (1, "dimension_status_invalid"): 2 * (dims - 1), (1, "dimension_review"): 2, (None, "dimension_status_invalid"): dims,
+                   (1, "item_without_disposition"): 2 * (n["molecular_docking"] - 1), (1, "evidence_review"): 2, (None, "item_without_disposition"): n["virtual_knockout"]}
+
+
 def test_paths_nobody_claims_are_not_gathered(spark):
     claimed = spark.createDataFrame([(1, "a", 1), (1, "a/b/c.csv", 2), (1, "b/c.csv", 3), (1, "c.csv", 4), (1, "x", 5), (2, "a", 6), (2, "a", 6), (None, "a", 7), (1, None, 8)], "project_id long, claimed_path string, line long")
     files = spark.createDataFrame([(1, "a/b/c.csv"), (1, "a/b/c.csv"), (1, "a/d.csv"), (None, "a/b"), (3, None)], "project_id long, path string")
