@@ -213,7 +213,9 @@ def path_claims(lines: DataFrame) -> DataFrame:
 def missing_paths(claimed: DataFrame, files: DataFrame) -> DataFrame:
     """Claimed paths that are neither a delivered file nor a folder above one (top folder optional).
 
-    Of the files and their folders only what is claimed is kept before anything is gathered."""
+    Of the files and their folders only what is claimed is kept before anything is gathered. Claims are read twice and are
+    written once, which also tells the planner their size before it meets the files."""
+    claimed = cut(claimed)
     parts = T.path_parts("path")
     ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat_ws("/", F.slice(parts, F.lit(1), n)))
     inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1)))
