@@ -31,14 +31,11 @@ select project_id, left_id, right_id, cast(score as double) as score from s wher
 
 @query("J25_link_pairs", f"select * from {LINKS} l")
 def _(s):
-    f = s.v_route_findings
-    items = G.prepare(f, ROUTES)
-    names = items.select(K, "ord", "pos")
-    d = G.link_pairs(items)
-    a = names.select(K, F.col("ord").alias("left_ord"), F.concat(F.lit("f"), "pos").alias("l"))
-    b = names.select(K, F.col("ord").alias("right_ord"), F.concat(F.lit("f"), "pos").alias("r"))
-    j = d.join(a, [K, "left_ord"]).join(b, [K, "right_ord"])
-    return j.select(K, F.col("l").alias("left_id"), F.col("r").alias("right_id"), F.round("score", 9).alias("score"))
+    d = G.link_pairs(G.prepare(s.v_route_findings, ROUTES))
+    # each row that has the place of an end is an end
+    d = d.withColumn("_n", F.explode(F.array_repeat(F.lit(0), (F.col("left_times") * F.col("right_times")).cast("int"))))
+    name = lambda side: F.concat(F.lit("f"), G.position(f"{side}_ord", f"{side}_agent", ROUTES))
+    return d.select(K, name("left").alias("left_id"), name("right").alias("right_id"), F.round("score", 9).alias("score"))
 
 
 def _cluster_sql() -> str:
