@@ -205,7 +205,10 @@ def link_pairs(items: DataFrame, threshold: float = 0.4) -> DataFrame:
     few = _met(items if large is None else items.join(large, K, "left_anti"), threshold).select(K, "b", "_times", F.explode("_links").alias("a"))
     few = few.select(K, F.col("a.ord").alias("left_ord"), F.col("b.ord").alias("right_ord"), F.col("a.agent").alias("left_agent"), F.col("b.agent").alias("right_agent"),
                      F.col("a.raw_finding_id").alias("left_id"), F.col("b.raw_finding_id").alias("right_id"), F.col("a.score").alias("score"), F.col("a.times").alias("left_times"), F.col("_times").alias("right_times")).distinct()
-    return few if large is None else few.unionByName(_link_blocks(items.join(large, K, "left_semi"), threshold))
+    if large is None:
+        return few
+    # written first, so that the shuffle files of the lists serve nothing any more when the blocks make theirs
+    return cut(few).unionByName(_link_blocks(items.join(large, K, "left_semi"), threshold))
 
 
 def _link_blocks(items: DataFrame, threshold: float) -> DataFrame:
